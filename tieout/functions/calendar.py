@@ -14,22 +14,25 @@ HOLIDAYS = (
 )
 
 
-def is_business_day(day: Column, holidays: Sequence[str] = HOLIDAYS) -> Column:
-    weekday = F.weekday(day) < 5
-    return weekday & ~day.isin(*[F.lit(h).cast("date") for h in holidays]) if holidays else weekday
+def is_business_day(day: str, holidays: Sequence[str] = HOLIDAYS) -> Column:
+    """`day` is a SQL expression, as in `add_business_days`."""
+    return F.expr(_business_day_sql(day, holidays))
 
 
-def add_business_days(day: Column, count: int, holidays: Sequence[str] = HOLIDAYS) -> Column:
+def _business_day_sql(day: str, holidays: Sequence[str]) -> str:
+    listed = ", ".join(f"DATE'{h}'" for h in holidays)
+    return f"(weekday({day}) < 5" + (f" AND {day} NOT IN ({listed}))" if holidays else ")")
+
+
+def add_business_days(day: str, count: int, holidays: Sequence[str] = HOLIDAYS) -> Column:
     """The `count`-th business day after (before, if negative) `day`; 0 leaves it alone.
 
     Looks at a stretch of days long enough to hold that many business days even
     if every holiday fell into it. Meant for distinct dates, not for every row.
     """
     if count == 0:
-        return day
-    steps = abs(count)
+        return F.expr(day)
+    step, steps = (1, count) if count > 0 else (-1, -count)
     reach = steps + 2 * (steps // 5 + 1) + len(holidays) + 2
-    first, last = (F.date_add(day, 1), F.date_add(day, reach)) if count > 0 else (
-        F.date_add(day, -1), F.date_add(day, -reach))
-    days = F.sequence(first, last, F.expr(f"interval {1 if count > 0 else -1} day"))
-    return F.element_at(F.filter(days, lambda d: is_business_day(d, holidays)), steps)
+    days = f"sequence(date_add({day}, {step}), date_add({day}, {step * reach}), interval {step} day)"
+    return F.expr(f"element_at(filter({days}, d -> {_business_day_sql('d', holidays)}), {steps})")

@@ -87,8 +87,9 @@ def rupees(paise: Column) -> Column:
 
 def round_bps(amount: Column, bps: Column) -> Column:
     """Share of a non-negative amount in basis points, half up, in integers."""
-    scaled = amount.cast("decimal(38,0)") * bps + 5000
-    return F.floor(scaled / 10000).cast("long")
+    # Whole ten-thousands apart from the rest, so the product stays far from overflow.
+    whole, rest = F.call_function("div", amount, F.lit(10000)), amount % 10000
+    return whole * bps + F.call_function("div", rest * bps + 5000, F.lit(10000))
 
 
 def within_fee_band(invoice: Column, gross: Column, bps: int = FEE_BAND_BPS) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tieout.functions.calendar import add_business_days
 from tieout.functions.money import band_limits
 from tieout.model import Books
+from tieout.session import materialize
 from tieout.vocab import INVOICE_WINDOW_BUSINESS_DAYS
 
 _CHUNK_BITS = 12
@@ -24,7 +25,7 @@ def _capture_windows(invoices: DataFrame, days: int) -> DataFrame:
     """(captured_on, issued_at): issue dates in use, by the capture dates their window covers."""
     return (invoices.select("issued_at").distinct()
             .select("issued_at", F.explode(F.sequence(
-                add_business_days(F.col("issued_at"), -days), add_business_days(F.col("issued_at"), days)))
+                add_business_days("issued_at", -days), add_business_days("issued_at", days)))
                 .alias("captured_on")))
 
 
@@ -93,24 +94,25 @@ def resolve_invoices(books: Books, payments: DataFrame) -> DataFrame:
     """Adds `invoice_id` and `resolved_by` to payments (id, invoice_ref, gross, captured_at, ...).
 
     One invoice with the reference: linked. Several: no link and no second try.
-    None: the invoice that alone fits the fee band and the date window.
+    None: the invoice that alone fits the fee band and the date window. The first
+    step is written out, so the second touches only the payments it left open.
     """
-    invoices = books.indexed("invoice")
     references = invoice_references(books)
     cited = payments.join(references, (payments.invoice_ref == references.ref) & (payments.invoice_ref != ""), "left")
-    cited = cited.withColumn("captured_on", F.to_date("captured_at"))
-    open_probe = F.col("ref_hits").isNull()
-    probes = cited.filter(open_probe).select("captured_on", "gross")
-    hits = band_candidates(probes, invoices.select("issued_at", "amount", "ord"))
+    cited = materialize(cited.select(*payments.columns, "ref_hits", "ref_invoice_id"), "cited")
+    how = F.when(F.col("ref_hits") == 1, "ref").otherwise("ref_ambiguous")
+    by_reference = cited.filter("ref_hits is not null").select(
+        *payments.columns, F.when(F.col("ref_hits") == 1, F.col("ref_invoice_id")).alias("invoice_id"),
+        how.alias("resolved_by"))
+
+    invoices = books.indexed("invoice")
+    unresolved = cited.filter("ref_hits is null").withColumn("captured_on", F.to_date("captured_at"))
+    hits = band_candidates(unresolved, invoices.select("issued_at", "amount", "ord"))
     # Only probes with a single fit look up the invoice behind the fingerprint.
-    fits = (hits.join(invoices.select(F.col("id").alias("band_invoice_id"), F.col("ord").alias("invoice_ord")),
-                      (F.col("band_hits") == 1) & (F.col("band_ord") == F.col("invoice_ord")), "left")
-            .select("captured_on", "gross", "band_hits", "band_invoice_id"))
-    fits = fits.select(*[F.col(c).alias(f"fit_{c}") for c in ("captured_on", "gross")], "band_hits", "band_invoice_id")
-    joined = cited.join(
-        fits, open_probe & (cited.captured_on == fits.fit_captured_on) & (cited.gross == fits.fit_gross), "left")
-    invoice_id = F.when(F.col("ref_hits") == 1, F.col("ref_invoice_id")).when(open_probe, F.col("band_invoice_id"))
-    how = (F.when(F.col("ref_hits") == 1, "ref").when(F.col("ref_hits") > 1, "ref_ambiguous")
-           .when(F.col("band_hits") == 1, "band_unique").when(F.col("band_hits") > 1, "band_several")
-           .otherwise("none"))
-    return joined.select(*payments.columns, invoice_id.alias("invoice_id"), how.alias("resolved_by"))
+    named = invoices.select(F.col("id").alias("invoice_id"), F.col("ord").alias("invoice_ord"))
+    fits = hits.join(named, (F.col("band_hits") == 1) & (F.col("band_ord") == F.col("invoice_ord")), "left")
+    fits = fits.select("captured_on", "gross", "band_hits", "invoice_id")
+    how = F.when(F.col("band_hits") == 1, "band_unique").when(F.col("band_hits") > 1, "band_several").otherwise("none")
+    by_band = unresolved.join(fits, ["captured_on", "gross"], "left").select(
+        *payments.columns, "invoice_id", how.alias("resolved_by"))
+    return by_reference.unionByName(materialize(by_band, "by_band"))

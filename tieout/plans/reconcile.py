@@ -83,14 +83,15 @@ def member_rows(chain: DataFrame, groups: DataFrame) -> DataFrame:
     return payments.unionByName(invoices).unionByName(heads)
 
 
-def exception_rows(records: DataFrame, kind: str, code: Column, attempted: Column, stage: Column) -> DataFrame:
+def exception_rows(records: DataFrame, kind: str, code: Column, attempted: Column, stage: Column,
+                   failed_check: Column | None = None) -> DataFrame:
     """File each record of one kind under a code; `records` has the kind's id, amount and ord."""
     return records.select(
         F.concat(F.lit(f"EXC-{kind}-"), F.col("id")).alias("id"), code.alias("code"),
         severity_of(code).alias("severity"), F.col(AMOUNT_OF[kind]).alias("amount_at_risk"),
         F.lit(kind).alias("kind"), F.col("id").alias("record_id"), attempted.alias("attempted"),
         F.lit(None).cast("string").alias("explanation"), action_of(code).alias("suggested_action"),
-        F.lit(None).cast("string").alias("failed_check"), stage.alias("stage"), "ord")
+        (F.lit(None).cast("string") if failed_check is None else failed_check).alias("failed_check"), stage.alias("stage"), "ord")
 
 
 def _settlement_exceptions(outcomes: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def residue(books: Books, accepted_chain: DataFrame, outcomes: DataFrame) -> Dat
 def reconcile(books: Books) -> Run:
     links = materialize(link_settlements(books), "links")
     linked = links.filter(F.col("link_status") == LINKED)
-    chain = materialize(settled_payments(books, linked), "chain")
+    chain = settled_payments(books, linked)
 
     proposals = linked.withColumnRenamed("ord", "prop").join(batch_totals(chain), "prop", "left")
     proposals = proposals.select("prop", "settlement_id", "bank_line_id", batch_residual().alias("residual"),
