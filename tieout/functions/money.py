@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tieout.functions.text import quoted
+from tieout.functions.text import let, quoted
 from tieout.vocab import FEE_BAND_BPS, FEE_BPS, GST_BPS
 
 # Spaces an export may put inside an amount, zero-width space included.
@@ -49,24 +49,36 @@ def plain_text(text: Column) -> Column:
 
 def parse_amount(text: Column) -> Column:
     """`struct(paise, error)`: exactly one side is set. Extra decimals are cut, never rounded."""
-    bare = F.regexp_replace(plain_text(text), _AMOUNT_SPACE, "")
+    return let(F.regexp_replace(plain_text(text), _AMOUNT_SPACE, ""), lambda bare: let(
+        _unwrapped(bare), lambda part: _result(text, bare, _signed(part["inner"], part["negative"]))))
+
+
+def _unwrapped(bare: Column) -> Column:
+    """Without brackets, trailing sign and currency; negative if either of the first two says so."""
     bracketed = bare.startswith("(") & bare.endswith(")")
     inner = F.when(bracketed, F.regexp_replace(bare, "^\\(|\\)$", "")).otherwise(bare)
-    marker = F.lower(F.regexp_extract(inner, _TRAILING_SIGN, 1))
-    unsigned = F.regexp_replace(F.regexp_replace(inner, _TRAILING_SIGN, ""), _CURRENCY_PREFIX, "")
-    minus = unsigned.startswith("-")
-    body = F.regexp_replace(unsigned, "^[+-]", "")
-    negative = bracketed | (marker == "dr") | minus
-    # A second minus is legal only after a first sign was taken off.
-    shape = body.rlike(_AMOUNT_SHAPE)
-    digits = F.replace(body, F.lit(","), F.lit(""))
-    rupees = F.regexp_extract(digits, "^(-?\\d+)", 1)
-    fraction = F.rpad(F.regexp_extract(digits, "\\.(\\d{1,2})", 1), 2, "0")
-    magnitude = rupees.try_cast("decimal(30,0)") * 100 + fraction.try_cast("decimal(2,0)")
-    paise = F.when(shape, F.when(negative, -magnitude).otherwise(magnitude).try_cast("long"))
-    error = F.when(F.coalesce(bare, F.lit("")) == "", F.lit("empty amount")).when(
-        paise.isNull(), F.concat(F.lit("unrecognised amount shape: "), quoted(text)))
-    return F.struct(paise.alias("paise"), error.alias("error"))
+    debit = F.lower(F.regexp_extract(inner, _TRAILING_SIGN, 1)) == "dr"
+    return F.struct(F.regexp_replace(F.regexp_replace(inner, _TRAILING_SIGN, ""), _CURRENCY_PREFIX, "").alias("inner"),
+                    (bracketed | debit).alias("negative"))
+
+
+def _signed(inner: Column, negative: Column) -> Column:
+    """Paise, or null where the text has not the shape of an amount or is too large."""
+    def paise(body: Column) -> Column:
+        digits = F.replace(body, F.lit(","), F.lit(""))
+        whole = F.regexp_extract(digits, "^(-?\\d+)", 1).try_cast("decimal(30,0)")
+        part = F.rpad(F.regexp_extract(digits, "\\.(\\d{1,2})", 1), 2, "0").try_cast("decimal(2,0)")
+        sign = F.when(negative | inner.startswith("-"), -1).otherwise(1)
+        return F.when(body.rlike(_AMOUNT_SHAPE), ((whole * 100 + part) * sign).try_cast("long"))
+    return let(F.regexp_replace(inner, "^[+-]", ""), paise)
+
+
+def _result(text: Column, bare: Column, paise: Column) -> Column:
+    def checked(value: Column) -> Column:
+        error = F.when(F.coalesce(bare, F.lit("")) == "", F.lit("empty amount")).when(
+            value.isNull(), F.concat(F.lit("unrecognised amount shape: "), quoted(text)))
+        return F.struct(value.alias("paise"), error.alias("error"))
+    return let(paise, checked)
 
 
 def format_paise(paise: Column) -> Column:
@@ -144,12 +156,12 @@ def stage_text(millis: Column) -> Column:
     """`740ms` below a second, else `1.4s`."""
     return F.when(millis < 1000, F.concat(F.greatest(F.lit(0), F.round(millis).cast("long")).cast("string"),
                                           F.lit("ms"))).otherwise(
-        F.concat(F.format_number(millis / 1000, "0.0"), F.lit("s")))
+        F.concat(F.format_string("%.1f", millis / 1000), F.lit("s")))
 
 
 def percent_text(rate: Column) -> Column:
-    return F.concat(F.format_number(rate * 100, "0.0"), F.lit("%"))
+    return F.concat(F.format_string("%.1f", rate * 100), F.lit("%"))
 
 
 def optional_text(value: Column) -> Column:
-    return F.coalesce(F.format_number(value, "0.000"), F.lit("-"))
+    return F.when(value.isNull(), F.lit("-")).otherwise(F.format_string("%.3f", value))

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Python's notion of whitespace, which is wider than Java's \s.
 _SPACE = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
+_NUMBER = ("^(?i)[+-]?(?:(?:\\d+(?:_\\d+)*)?\\.?(?:\\d+(?:_\\d+)*)(?:e[+-]?\\d+)?"
+           "|\\d+(?:_\\d+)*\\.(?:e[+-]?\\d+)?|inf|infinity|nan)$")
+
 SUMMARY_MARKERS = (  # fixed values
     "total", "closing balance", "opening balance", "brought forward", "carried forward", "grand tot")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Work `value` out once and use it many times in `body`.
+
+    Plain column references would copy the whole expression into every use.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """Runs of any whitespace become one space; none at the ends."""
     return F.trim(F.regexp_replace(text, f"{_SPACE}+", " "))
@@ -46,11 +59,9 @@ def is_numberish(cell: Column) -> Column:
     bare = F.regexp_replace(bare, "[,₹%]", "")
     bare = F.regexp_replace(bare, "Cr$", "")
     bare = strip(F.regexp_replace(bare, "Dr$", ""))
-    number = bare.rlike(
-        "^(?i)[+-]?(?:(?:\\d+(?:_\\d+)*)?\\.?(?:\\d+(?:_\\d+)*)(?:e[+-]?\\d+)?|\\d+(?:_\\d+)*\\.(?:e[+-]?\\d+)?"
-        "|inf|infinity|nan)$")
     digits = F.length(F.regexp_replace(cell, "[^\\p{Nd}]", ""))
-    return (bare != "") & (number | ((digits >= 4) & cell.rlike("[/-]")))
+    dated = (digits >= 4) & cell.rlike("[/-]")
+    return let(bare, lambda text: (text != "") & (text.rlike(_NUMBER) | dated))
 
 
 def is_blank_row(cells: Column) -> Column:
@@ -58,15 +69,15 @@ def is_blank_row(cells: Column) -> Column:
 
 
 def looks_like_header(cells: Column) -> Column:
-    filled = filled_cells(cells)
-    return (F.size(filled) >= 2) & (F.size(F.filter(filled, is_numberish)) * 3 <= F.size(filled))
+    return let(filled_cells(cells), lambda filled: (F.size(filled) >= 2) & (
+        F.size(F.filter(filled, is_numberish)) * 3 <= F.size(filled)))
 
 
 def is_summary_row(cells: Column) -> Column:
     """A sparse totals or balance line; a full row that mentions a total is data."""
-    filled = filled_cells(cells)
     marker = "|".join(SUMMARY_MARKERS)
-    return (F.size(filled).between(1, 3)) & F.exists(filled, lambda c: F.lower(c).rlike(marker))
+    return let(filled_cells(cells), lambda filled: F.size(filled).between(1, 3) & F.exists(
+        filled, lambda c: F.lower(c).rlike(marker)))
 
 
 def header_names(cells: Column) -> Column:
@@ -75,11 +86,13 @@ def header_names(cells: Column) -> Column:
         cells,
         lambda c, i: F.when(is_blank(c), F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(collapse(c)))
 
-    def numbered(name: Column, i: Column) -> Column:
-        seen = F.size(F.filter(F.slice(named, F.lit(1), i + 1), lambda other: F.lower(other) == F.lower(name)))
-        return F.when(seen > 1, F.concat(name, F.lit("_"), seen.cast("string"))).otherwise(name)
+    def numbered(names: Column) -> Column:
+        def suffixed(name: Column, i: Column) -> Column:
+            seen = F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda other: F.lower(other) == F.lower(name)))
+            return F.when(seen > 1, F.concat(name, F.lit("_"), seen.cast("string"))).otherwise(name)
+        return F.transform(names, suffixed)
 
-    return F.transform(named, numbered)
+    return let(named, numbered)
 
 
 def quoted(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tieout.functions.money import rupees
+from tieout.operators.ordering import with_ordinals
 from tieout.vocab import FORECAST_DAYS, MAX_LISTED_ROWS
 
 COMPARABLE = ("auto_rate", "assist_rate", "open_rate", "precision", "recall", "false_matches", "records",
@@ -151,3 +153,15 @@ def search_records(groups: DataFrame, members: DataFrame, exceptions: DataFrame,
                            F.asc("stage"), F.asc("ord"), F.asc("id")).drop("stage", "ord")
     return in_groups.withColumn("found_in", F.lit("matched_group")).unionByName(
         in_exceptions.withColumn("found_in", F.lit("exception")))
+
+
+def nonzero_days(forecast: DataFrame) -> DataFrame:
+    """The forecast as a report prints it: days on which something moves."""
+    return forecast.filter("recognised <> 0 or blocked <> 0").select(
+        "date", rupees(F.col("recognised")).alias("recognised"), rupees(F.col("blocked")).alias("blocked"))
+
+
+def report_positions(exceptions: DataFrame) -> DataFrame:
+    """Place of every exception in the report: severity first, then exposure."""
+    keyed = exceptions.withColumn("__severity", -F.col("severity")).withColumn("__amount", -F.col("amount_at_risk"))
+    return with_ordinals(keyed, ["__severity", "__amount", "stage", "ord"], "position").drop("__severity", "__amount")

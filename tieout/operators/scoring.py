@@ -165,7 +165,7 @@ def output_hash(groups: DataFrame, members: DataFrame) -> DataFrame:
     per_group = held.groupBy(F.col("group_id").alias("id")).agg(
         F.sum(folded(F.concat_ws(":", "kind", "id"))).alias("members"))
     line = F.concat_ws("|", "id", F.coalesce(F.col("members"), F.lit(0)).cast("string"), "settlement_id",
-                       "bank_line_id", "status", "pass_id", F.format_number("confidence", "0.0000"),
+                       "bank_line_id", "status", "pass_id", F.format_string("%.4f", F.col("confidence")),
                        F.col("residual").cast("string"))
     total = groups.join(per_group, "id", "left").agg(F.count("*").alias("groups"), F.sum(folded(line)).alias("s"))
     return total.select("groups", F.sha2(F.coalesce(F.col("s"), F.lit(0)).cast("string"), 256).alias("output_hash"))

@@ -7,11 +7,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tieout.vocab import SUBSET_CANDIDATES
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
                       for a, b in zip(left, right)])
@@ -33,7 +34,7 @@ def subset_sum(targets: DataFrame, limit: int = SUBSET_CANDIDATES) -> DataFrame:
     no subset or more than one gives null. Amounts are positive.
     """
     tried = F.slice("candidates", 1, limit)
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("tried")) - 1)
+    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("tried")) - 1)
 
     def chosen(mask: Column) -> Column:
         return F.filter("tried", lambda c, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)

@@ -159,3 +159,23 @@ def reconcile(books: Books) -> Run:
     kept = chain.join(failed, "prop", "left_anti")
     exceptions = _settlement_exceptions(outcomes).unionByName(residue(books, kept, outcomes))
     return Run(books, outcomes, kept, groups, member_rows(kept, groups), exceptions)
+
+
+def batch_algebra(books: Books) -> DataFrame:
+    """Every settlement re-added from its payments: gross, reversals and what does not tie out."""
+    payments = books.indexed("payment").select(
+        F.col("id").alias("known_id"), "gross", "status", F.lit(None).cast("string").alias("invoice_id"))
+    settlements = books.indexed("settlement").withColumnRenamed("ord", "prop")
+    rows = books.membership.join(settlements.select(F.col("id").alias("settlement_id"), "prop"), "settlement_id")
+    totals = batch_totals(rows.join(payments, F.col("payment_id") == F.col("known_id"), "left"))
+    return settlements.join(totals, "prop", "left").select(
+        F.col("id").alias("settlement_id"), F.coalesce("gross_total", F.lit(0)).cast("long").alias("gross"),
+        F.coalesce("reversed_total", F.lit(0)).cast("long").alias("reversed"), "payout",
+        batch_residual().cast("long").alias("residual"))
+
+
+def unbalanced_batches(books: Books) -> DataFrame:
+    """How many settlements break the accounting identity, and by how much in all."""
+    return batch_algebra(books).agg(
+        F.count("*").alias("settlements"), F.count_if(F.col("residual") != 0).alias("unbalanced"),
+        F.coalesce(F.sum(F.abs("residual")), F.lit(0)).alias("residual_total"))

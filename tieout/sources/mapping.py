@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tieout.functions.text import header_signature
 
@@ -94,7 +95,11 @@ def map_headers(role: str, headers: list[str]) -> dict[str, str | None]:
     return resolved
 
 
-@F.pandas_udf("array<struct<field: string, resolved: boolean>>")
+_MAPPED = T.ArrayType(T.StructType([T.StructField("field", T.StringType()),
+                                    T.StructField("resolved", T.BooleanType())]))
+
+
+@F.pandas_udf(_MAPPED)
 def _mapped(roles: pd.Series, headers: pd.Series) -> pd.Series:
     out = []
     for role, names in zip(roles, headers):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tieout.functions.text import (
-    collapse, filled_cells, header_names, is_blank, is_blank_row, is_summary_row, looks_like_header)
+    collapse, filled_cells, header_names, is_blank, is_blank_row, is_summary_row, let, looks_like_header)
 from tieout.session import materialize
 
 MAX_ROWS = 200_000
@@ -70,27 +70,27 @@ def decode(files: DataFrame) -> DataFrame:
 
 def _mode(values: Column) -> Column:
     """`struct(count, -position, value)` of the most common value, first seen wins ties."""
-    return F.array_max(F.transform(F.array_distinct(values), lambda v, i: F.struct(
-        F.size(F.filter(values, lambda w: w == v)).alias("count"), (-i).alias("rank"), v.alias("value"))))
+    return let(values, lambda vs: F.array_max(F.transform(F.array_distinct(vs), lambda v, i: F.struct(
+        F.size(F.filter(vs, lambda w: w == v)).alias("count"), (-i).alias("rank"), v.alias("value")))))
 
 
 def choose_delimiter(text: Column) -> Column:
     """The separator that splits the sampled lines most alike; width only breaks ties."""
-    lines = F.slice(F.split(text, "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"), 1, HEADER_SCAN_LIMIT)
-    sample = F.slice(F.filter(lines, lambda line: ~is_blank(line)), 1, BODY_SAMPLE)
-
-    def score(rank: int, delimiter: str) -> Column:
-        mark = "\\" + delimiter if delimiter == "|" else delimiter
-        quoted = f"(^|{mark})\"(?:[^\"]|\"\")*(?:\"|$)"
-        widths = F.transform(sample, lambda line: F.size(F.split(F.regexp_replace(line, quoted, "$1"), mark)))
-        best = _mode(widths)
-        agreement = best["count"] / F.size(sample)
-        legal = (best["value"] >= 2) & (agreement >= MIN_DELIMITER_AGREEMENT)
-        return F.when(legal, F.struct(agreement.alias("agreement"), best["value"].alias("width"),
-                                      F.lit(-rank).alias("rank"), F.lit(delimiter).alias("delimiter")))
+    def chosen(sample: Column) -> Column:
+        def score(rank: int, delimiter: str) -> Column:
+            mark = "\\" + delimiter if delimiter == "|" else delimiter
+            quoted = f"(^|{mark})\"(?:[^\"]|\"\")*(?:\"|$)"
+            widths = F.transform(sample, lambda line: F.size(F.split(F.regexp_replace(line, quoted, "$1"), mark)))
+            return let(_mode(widths), lambda best: F.when(
+                (best["value"] >= 2) & (best["count"] / F.size(sample) >= MIN_DELIMITER_AGREEMENT),
+                F.struct((best["count"] / F.size(sample)).alias("agreement"), best["value"].alias("width"),
+                         F.lit(-rank).alias("rank"), F.lit(delimiter).alias("delimiter"))))
+
+        best = F.array_max(F.array_compact(F.array(*[score(i, d) for i, d in enumerate(DELIMITERS)])))
+        return F.coalesce(best["delimiter"], F.lit(","))
 
-    best = F.array_max(F.array_compact(F.array(*[score(i, d) for i, d in enumerate(DELIMITERS)])))
-    return F.when(F.size(sample) > 0, F.coalesce(best["delimiter"], F.lit(","))).otherwise(F.lit(","))
+    lines = F.slice(F.split(text, "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"), 1, HEADER_SCAN_LIMIT)
+    return let(F.slice(F.filter(lines, lambda line: ~is_blank(line)), 1, BODY_SAMPLE), chosen)
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,9 +128,8 @@ def locate_headers(grid: DataFrame) -> DataFrame:
     shaped = head.select("path", "row_no", F.size(filled_cells(F.col("cells"))).alias("width"),
                          looks_like_header(F.col("cells")).alias("wordy"))
     shaped = shaped.withColumn("below", F.collect_list("width").over(after))
-    best = _mode(F.col("below"))
-    agrees = (F.size("below") > 0) & (best["count"] / F.size("below") >= MIN_BODY_AGREEMENT) & (
-        F.col("width") >= best["value"] - 1)
+    agrees = (F.size("below") > 0) & let(_mode(F.col("below")), lambda best: (
+        best["count"] / F.size("below") >= MIN_BODY_AGREEMENT) & (F.col("width") >= best["value"] - 1))
     wordy = F.col("wordy") & (F.col("row_no") < HEADER_SCAN_LIMIT)
     found = shaped.groupBy("path").agg(
         F.min(F.when(wordy & agrees, F.col("row_no"))).alias("sure"),

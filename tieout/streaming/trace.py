@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,17 +22,17 @@ def distinct_states(trace: DataFrame, delay: str = "30 days") -> DataFrame:
     return trace.withWatermark("at", delay).dropDuplicatesWithinWatermark(["run_id", "state"])
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
+def _advance(silence_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame],
+             state: GroupState) -> Iterable[pd.DataFrame]:
     """Emit the transitions of one run; after a terminal state nothing more.
 
-    A run that stays silent past its timeout is reported failed.
+    A run that stays silent for too long is reported failed.
     """
     columns = ["run_id", "state", "at", "event_id", "timed_out"]
     held = state.get if state.exists else None
     if state.hasTimedOut:
-        state.remove()
-        if held and held[0] not in TERMINAL_STATES:
-            yield pd.DataFrame([(key[0], "failed", held[2], held[1], True)], columns=columns)
+        state.update(("failed", held[1], held[2]))
+        yield pd.DataFrame([(key[0], "failed", held[2], held[1], True)], columns=columns)
         return
     rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
     out = []
@@ -40,18 +41,25 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             continue
         held = (row.state, int(row.event_id), row.at)
         out.append((key[0], row.state, row.at, int(row.event_id), False))
-    if held is not None:
-        state.update(held)
-        if held[0] not in TERMINAL_STATES:
-            state.setTimeoutDuration(1_800_000)
+    state.update(held)
+    if silence_ms is not None and held[0] not in TERMINAL_STATES:
+        last = int(rows["at"].iloc[-1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + silence_ms)
     if out:
         yield pd.DataFrame(out, columns=columns)
 
 
-def transitions(trace: DataFrame) -> DataFrame:
-    """Live state machine per run over (run_id, state, at, event_id)."""
+def transitions(trace: DataFrame, silence_ms: int | None = None, delay: str = "1 hour") -> DataFrame:
+    """Live state machine per run over (run_id, state, at, event_id).
+
+    With `silence_ms`, a run without an ending is failed once the watermark is that far
+    past its last event.
+    """
+    timeout = GroupStateTimeout.NoTimeout
+    if silence_ms is not None:
+        trace, timeout = trace.withWatermark("at", delay), GroupStateTimeout.EventTimeTimeout
     return trace.groupBy("run_id").applyInPandasWithState(
-        _advance, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        partial(_advance, silence_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
