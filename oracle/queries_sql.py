@@ -411,8 +411,8 @@ CATALOG = {
 staged AS (
   SELECT *, list_position(['queued', 'normalising', 'matching', 'triaging', 'explaining', 'scoring', 'failed'], state) AS s FROM (
   SELECT * FROM seen UNION ALL SELECT run_id, 'queued', min(seen_at) FROM trace GROUP BY run_id HAVING bool_or(state = 'normalising')))
-SELECT run_id, state, epoch_ms(lead(seen_at) OVER (PARTITION BY run_id ORDER BY s)) - epoch_ms(seen_at) AS millis FROM staged QUALIFY state <> 'failed'""",
-    "run_durations": _TRACE + "SELECT run_id, epoch_ms(updated_at) - epoch_ms(created_at) AS millis FROM standing",
+SELECT run_id, state, epoch_us(lead(seen_at) OVER (PARTITION BY run_id ORDER BY s)) // 1000 - epoch_us(seen_at) // 1000 AS millis FROM staged QUALIFY state <> 'failed'""",
+    "run_durations": _TRACE + "SELECT run_id, epoch_us(updated_at) // 1000 - epoch_us(created_at) // 1000 AS millis FROM standing",
     "usage_totals": "SELECT 'run-' || user_id AS run_id, count(*) AS requests, CAST(sum(floor(value)) AS BIGINT) AS tokens, "
                     "bool_or(value > 150) AS degraded FROM events GROUP BY 1",
     "streamed_states": _TRACE + "SELECT DISTINCT run_id, state FROM trace",

@@ -208,9 +208,10 @@ def raw_files(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     header = F.lit(HEADERS[role].replace("{d}", "\u0001"))
     header = F.replace(header, F.lit("\u0001"), d)
     above = F.when(f % 3 == 1, F.lit("ACME TRADERS PVT LTD\n\n")).otherwise(F.lit(""))
-    bad = {"ledger": 2, "gateway": 2, "settlement": 3, "bank": 1}[role]
-    empty = F.concat(F.repeat(d, bad), F.lit("oops"), d)
-    broken = F.when(f % 5 == 2, F.concat(F.lit("BAD"), empty, F.lit("\n"))).otherwise(F.lit(""))
+    at = {"ledger": 2, "gateway": 2, "settlement": 3, "bank": 1}[role]
+    rest = HEADERS[role].count("{d}") - at
+    broken = F.when(f % 5 == 2, F.concat(F.lit("BAD"), F.repeat(d, at), F.lit("oops"), F.repeat(d, rest), F.lit("\n"))
+                    ).otherwise(F.lit(""))
     total = F.when(f % 2 == 0, F.concat(F.lit("\nGrand Total"), F.repeat(d, 3), F.lit("99,999.00\n"))).otherwise(
         F.lit(""))
     body = F.array_join(F.transform("body", lambda r: r["line"]), "\n")

@@ -776,8 +776,17 @@ def incremental_groups(spark, sf):
 
 
 def _corrupted(spark, sf, *specs: faults.Fault):
-    books = fixture.books(spark, sf)
-    return faults.apply_faults(books, fixture.answer_key(books), list(specs), seed=7)
+    def build():
+        books = fixture.books(spark, sf)
+        stored = {n: materialize(getattr(books, n), n) for n in
+                  ("invoices", "payments", "settlements", "membership", "bank_lines")}
+        books = books.replaced(**stored)
+        key = fixture.answer_key(books)
+        return books, replace(key, groups=materialize(key.groups, "key_groups"),
+                              members=materialize(key.members, "key_members"),
+                              records=materialize(key.records, "key_records"))
+    books, key = _stored(spark, sf, "sound", build)
+    return faults.apply_faults(books, key, list(specs), seed=7)
 
 
 @query
