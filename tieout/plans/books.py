@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions.money import payment_economics
 from tieout.model import AnswerKey, Books
+from tieout.session import spread
 from tieout.vocab import UNMATCHABLE
 
 BATCH = 12
@@ -21,18 +22,23 @@ def _id(prefix: str, number: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order: `k`, its batch `b`, the amount in paise and the issue date."""
+def orders(spark: SparkSession, sf_dir: str, even: bool = True) -> DataFrame:
+    """One row per order: `k`, its batch `b`, the amount in paise and the issue date.
+
+    `even` spreads a table that is too small to be cut; a run shuffles by its own keys
+    at once and does without.
+    """
     k = F.col("o_orderkey")
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    source = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    return (spread(source, "o_orderkey") if even else source).select(
         k.alias("k"), F.floor(k / BATCH).cast("long").alias("b"), "o_custkey",
         F.round(F.col("o_totalprice") * 100).cast("long").alias("amount"),
         F.date_add(F.lit("2024-01-08").cast("date"), (k % 500).cast("int")).alias("issued_at"))
 
 
-def invoices(spark: SparkSession, sf_dir: str, named: bool = False) -> DataFrame:
+def invoices(spark: SparkSession, sf_dir: str, named: bool = False, even: bool = True) -> DataFrame:
     k = F.col("k")
-    base = orders(spark, sf_dir)
+    base = orders(spark, sf_dir, even)
     if named:
         customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
         base = base.join(customers, base.o_custkey == customers.c_custkey, "left")
@@ -44,11 +50,11 @@ def invoices(spark: SparkSession, sf_dir: str, named: bool = False) -> DataFrame
         "amount", "issued_at", ref.alias("ref"), k.alias("ord"))
 
 
-def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def payments(spark: SparkSession, sf_dir: str, even: bool = True) -> DataFrame:
     k = F.col("k")
     method = F.element_at(F.array(*[F.lit(m) for m in ("upi", "card", "netbanking", "wallet")]),
                           (k % 4 + 1).cast("int"))
-    base = orders(spark, sf_dir).filter(k % 50 != 11).withColumn("method", method)
+    base = orders(spark, sf_dir, even).filter(k % 50 != 11).withColumn("method", method)
     fee, tax, _ = payment_economics(F.col("amount"), F.col("method"))
     base = base.withColumn("fee", fee)
     base = base.withColumn("tax", payment_economics(F.col("amount"), F.col("method"))[1])
@@ -118,9 +124,9 @@ def bank_lines(settlement_rows: DataFrame) -> DataFrame:
 
 
 def books(spark: SparkSession, sf_dir: str, named: bool = False) -> Books:
-    paid = payments(spark, sf_dir)
+    paid = payments(spark, sf_dir, even=False)
     batches = settlements(paid)
-    return Books(invoices(spark, sf_dir, named), paid, batches, membership(paid), bank_lines(batches),
+    return Books(invoices(spark, sf_dir, named, even=False), paid, batches, membership(paid), bank_lines(batches),
                  unique_ids=True)
 
 

@@ -54,3 +54,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Give a table that fits into one file split to all cores; leave larger ones as they are.
+
+    A scan cannot cut a single small file, so everything after it would run in one
+    task. Tables of more than one split never pay for this shuffle.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(str(rows._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if size < split else rows
