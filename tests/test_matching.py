@@ -5,7 +5,6 @@ import random
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.test_scalars import step
 from tieout import model

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,7 +29,7 @@ def _capture_windows(invoices: DataFrame, days: int) -> DataFrame:
                 .alias("captured_on")))
 
 
-def _amount_chunk(amount: F.Column) -> list[F.Column]:
+def _amount_chunk(amount: Column) -> list[Column]:
     """An order-preserving coarse amount: its magnitude and its leading bits.
 
     Each chunk spans a bounded run of amounts, so a running sum inside one chunk
