@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe_round_trip
+from .htmltext import op1_main_text
 from .simhash import op10_simhash_near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_bpe_round_trip, op10_simhash_near_duplicates)
+    f.__name__: f for f in (op1_main_text, op4_bpe_round_trip, op10_simhash_near_duplicates)
 }
 SQL: dict[str, str] = {}
