@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe_round_trip
 from .htmltext import op1_main_text
+from .langid import op2_language
 from .simhash import op10_simhash_near_duplicates
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_main_text, op4_bpe_round_trip, op9_toxicity, op10_simhash_near_duplicates)
+    f.__name__: f for f in (op1_main_text, op2_language, op4_bpe_round_trip, op9_toxicity, op10_simhash_near_duplicates)
 }
 SQL: dict[str, str] = {}
