@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import materialize, tune
 
@@ -33,7 +34,7 @@ def map_texts(docs: DataFrame, keys: list[str], text: str, schema: str, start: C
     are empty texts) to one list or array per column of `schema`; the key columns pass through.
     """
     kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    names = [part.split()[0] for part in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()

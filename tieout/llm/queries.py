@@ -10,10 +10,11 @@ from .bpe import op4_bpe_round_trip
 from .htmltext import op1_main_text
 from .langid import op2_language
 from .lm import op8_lm_score
+from .paragraphs import op7_repeated_passages
 from .simhash import op10_simhash_near_duplicates
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_main_text, op2_language, op4_bpe_round_trip, op8_lm_score, op9_toxicity, op10_simhash_near_duplicates)
+    f.__name__: f for f in (op1_main_text, op2_language, op4_bpe_round_trip, op7_repeated_passages, op8_lm_score, op9_toxicity, op10_simhash_near_duplicates)
 }
 SQL: dict[str, str] = {}
