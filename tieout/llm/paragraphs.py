@@ -237,7 +237,8 @@ def similar_units(docs: DataFrame, places: DataFrame, key: str, text: str, simil
 
 
 def removals(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(key, version, place, start, length, class_unit): every occurrence of a passage but its first."""
+    """Every occurrence of a passage but its first: (key, version, place, start, length, class_unit, first_key),
+    the last being the row that keeps the passage."""
     found = store(occurrences(docs, key, text), "paragraphs")
     places = found.groupBy("unit").agg(F.min(F.struct(key, "version", "place")).alias("first"), F.count("*").alias("n"))
     linked = components(similar_units(docs, places, key, text, similarity, recall))
@@ -246,7 +247,8 @@ def removals(docs: DataFrame, key: str, text: str, similarity: float = SIMILARIT
     classes = rooted.groupBy("class_unit").agg(F.min("first").alias("kept"), F.sum("n").alias("copies")).where("copies > 1")
     again = rooted.select("unit", "class_unit").join(classes.select("class_unit", "kept"), "class_unit")
     return (found.join(again, "unit").where(~F.struct(key, "version", "place").eqNullSafe(F.col("kept")))
-            .select(key, "version", "place", "start", "length", "class_unit").distinct())
+            .select(key, "version", "place", "start", "length", "class_unit", F.col("kept")[key].alias(f"first_{key}"))
+            .distinct())
 
 
 def deduplicated(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -272,4 +274,6 @@ def kept_text(text: Column, spans: Column) -> Column:
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(read(spark, sf_dir, "documents"), "doc_id", "text")
+    """One row for each passage to remove: where it is, its class and the document that keeps it."""
+    found = removals(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "place", "start", "length", F.col("class_unit").alias("class_id"), "first_doc_id")
