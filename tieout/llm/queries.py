@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe_round_trip
+from .decontaminate import op3_contaminated
 from .exactdup import op6_repeated_bytes
 from .htmltext import op1_main_text
 from .langid import op2_language
@@ -16,6 +17,6 @@ from .simhash import op10_simhash_near_duplicates
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_main_text, op2_language, op4_bpe_round_trip, op6_repeated_bytes, op7_repeated_passages, op8_lm_score, op9_toxicity, op10_simhash_near_duplicates)
+    f.__name__: f for f in (op1_main_text, op2_language, op3_contaminated, op4_bpe_round_trip, op6_repeated_bytes, op7_repeated_passages, op8_lm_score, op9_toxicity, op10_simhash_near_duplicates)
 }
 SQL: dict[str, str] = {}
