@@ -15,8 +15,11 @@ from .lm import op8_lm_score
 from .paragraphs import op7_repeated_passages
 from .simhash import op10_simhash_near_duplicates
 from .toxicity import op9_toxicity
+from .vectors import op5_vector_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_main_text, op2_language, op3_contaminated, op4_bpe_round_trip, op6_repeated_bytes, op7_repeated_passages, op8_lm_score, op9_toxicity, op10_simhash_near_duplicates)
+    f.__name__: f for f in (
+        op1_main_text, op2_language, op3_contaminated, op4_bpe_round_trip, op5_vector_duplicates, op6_repeated_bytes,
+        op7_repeated_passages, op8_lm_score, op9_toxicity, op10_simhash_near_duplicates)
 }
 SQL: dict[str, str] = {}
