@@ -28,9 +28,9 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 
 
 def deal(docs: DataFrame, columns: list[str], total: int, size: int = CHUNK_BYTES) -> DataFrame:
-    """The columns and each row's chunk."""
+    """Each row's chunk, by a hash of the named columns, and all columns."""
     chunks = max(1, math.ceil(total / size))
-    return docs.select(F.pmod(F.xxhash64(*columns), F.lit(chunks)).cast("int").alias("chunk"), *columns)
+    return docs.select(F.pmod(F.xxhash64(*columns), F.lit(chunks)).cast("int").alias("chunk"), "*")
 
 
 def buckets_for(keys: float) -> int:

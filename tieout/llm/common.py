@@ -33,8 +33,8 @@ def map_texts(docs: DataFrame, keys: list[str], text: str, schema: str, start: C
     `start()` is called once per task and returns a function from a list of texts (nulls
     are empty texts) to one list or array per column of `schema`; the key columns pass through.
     """
-    kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    names = StructType.fromDDL(schema).names
+    source = docs.select(*keys, text)
+    made = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
@@ -44,6 +44,6 @@ def map_texts(docs: DataFrame, keys: list[str], text: str, schema: str, start: C
                 out = work(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i) for i in range(len(keys))]
-                    + [x if isinstance(x, pa.Array) else pa.array(x) for x in out], names=[*keys, *names])
+                    + [x if isinstance(x, pa.Array) else pa.array(x) for x in out], names=[*keys, *made.names])
 
-    return docs.select(*keys, text).mapInArrow(run, f"{kept}, {schema}")
+    return source.mapInArrow(run, StructType(source.schema.fields[:len(keys)] + made.fields))

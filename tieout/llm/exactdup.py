@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .chunks import bucket_of, buckets_for, deal, flat, mixed, packed, text_bytes
 from .common import read
@@ -321,10 +322,10 @@ def _resolved(table: pa.Table) -> pa.Table:
 def _removed(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Round 3: mark every byte of a window that an earlier document has."""
     kind = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
-            ("kept", pa.binary())]
+            ("kept_text", pa.string())]
     if not docs.num_rows:
-        return pa.table([docs.column("doc_id"), docs.column("version"), *[pa.array([], t) for _, t in kind]],
-                        names=["doc_id", "version", *[n for n, _ in kind]])
+        return pa.table([docs.column("doc_id"), docs.column("row"), *[pa.array([], t) for _, t in kind]],
+                        names=["doc_id", "row", *[n for n, _ in kind]])
     asked = Asked(docs, answers.filter(answers.column("round").to_numpy() == 1) if answers.num_rows else answers)
     later = (answers.filter(answers.column("round").to_numpy() == 2) if answers.num_rows else answers).sort_by("bucket")
     steps = flat(later.column("steps"))[0].astype("i8")
@@ -344,23 +345,29 @@ def _removed(docs: pa.Table, answers: pa.Table) -> pa.Table:
         np.add.at(depth, asked.start[run[hit]] + end[hit] + WINDOW - 1, -1)
     gone = np.cumsum(depth)[:len(asked.data)] > 0
     out: list[list] = [[] for _ in kind]
-    for begin, end in zip(np.concatenate([[0], asked.ends[:-1]]), asked.ends, strict=True):
+    known = docs.column("text").is_valid().to_numpy()
+    for begin, end, text in zip(np.concatenate([[0], asked.ends[:-1]]), asked.ends, known, strict=True):
         mask = gone[begin:end]
         left = asked.data[begin:end][~mask].tobytes()
         spans = int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(len(mask) > 0 and mask[0])
-        for column, value in zip(out, (end - begin, int(mask.sum()), spans, hashlib.sha256(left).hexdigest(), left), strict=True):
+        for column, value in zip(out, (end - begin, int(mask.sum()), spans, hashlib.sha256(left).hexdigest(),
+                                       left.decode(errors="ignore") if text else None), strict=True):
             column.append(value)
-    return pa.table([docs.column("doc_id").combine_chunks(), docs.column("version").combine_chunks(),
+    return pa.table([docs.column("doc_id").combine_chunks(), docs.column("row").combine_chunks(),
                      *[pa.array(x, t) for x, (_, t) in zip(out, kind, strict=True)]],
-                    names=["doc_id", "version", *[n for n, _ in kind]])
+                    names=["doc_id", "row", *[n for n, _ in kind]])
 
 
 def remove_repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, version, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; `version` hashes the text."""
-    source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    """(key, row, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row.
+
+    `row` holds the other columns. `kept_text` lacks the halves of characters that a cut went through;
+    it is null where the text was.
+    """
+    source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.struct(
+        *[c for c in docs.columns if c != text]).alias("row"))
     total = text_bytes(source, "text")
-    dealt = deal(source, ["doc_id", "text"], total, CHUNK).withColumn("version", F.xxhash64("text"))
-    by_chunk = dealt.groupBy("chunk")
+    by_chunk = deal(source, ["doc_id", "text"], total, CHUNK).groupBy("chunk")
     buckets, coarse = buckets_for(total / 14), buckets_for(total / 40)
     asked = by_chunk.applyInArrow(lambda t: _anchors(t, buckets),
                                   "chunk int, bucket int, keys array<bigint>, several array<boolean>")
@@ -372,8 +379,9 @@ def remove_repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
     found = sent.groupBy("bucket").applyInArrow(
         _resolved, "chunk int, bucket int, steps array<tinyint>, offsets array<tinyint>, docs array<bigint>")
     answers = shared.withColumn("round", F.lit(1)).unionByName(found.withColumn("round", F.lit(2)), allowMissingColumns=True)
+    made = StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
     done = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(
-        _removed, "doc_id bigint, version bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+        _removed, StructType([source.schema["doc_id"], source.schema["row"], *made.fields]))
     return done.withColumnRenamed("doc_id", key)
 
 

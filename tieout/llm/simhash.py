@@ -166,17 +166,33 @@ def links(prints: DataFrame, held: int = VARIANTS) -> DataFrame:
     return dealt.mapInArrow(lambda it: _meet(it, flips, held), "a bigint, b bigint").distinct()
 
 
+def groups(marked: DataFrame, key: str) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint: `root` is a fingerprint that names its group."""
+    linked = components(links(marked))
+    first = marked.groupBy("fp").agg(F.min(key).alias("first"))
+    rooted = store(first.join(linked, first.fp == linked.node, "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("root")), "roots")
+    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(
+        "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, fp, component_id): the smallest key reachable over links of at most 4 bits."""
     marked = store(fingerprints(docs, [key], text), "prints")
-    linked = components(links(marked))
-    first = marked.groupBy("fp").agg(F.min(key).alias("first"))
-    rooted = first.join(linked, first.fp == linked.node, "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root"))
-    rooted = store(rooted, "roots")
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = rooted.join(names, "root").select("fp", "component_id")
-    return marked.join(of_print, "fp").select(key, "fp", "component_id")
+    return marked.join(groups(marked, key), "fp").select(key, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """All columns of one row of each group: the smallest key's, of equal keys the one with the smaller hash.
+
+    Rows without a key are kept only where their group has no other; equal rows are one.
+    """
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(key, text).alias("row"), F.col(key).alias("key"),
+                       F.col(text).alias("text"))
+    marked = store(fingerprints(rows, ["key", "row"], "text"), "prints")
+    kept = (marked.join(groups(marked, "key"), "fp").groupBy("root")
+            .agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first")).select("first.row"))
+    return rows.join(kept, "row").dropDuplicates(["row"]).select("doc.*")
 
 
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
