@@ -58,6 +58,29 @@ def packed(flat: np.ndarray | pa.Array, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
 
 
+def squeezed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers of 64 bits by byte planes, without empty upper planes; `rising` ones as steps.
+
+    Shuffle compression finds runs of equal bytes this way, which it can't in whole numbers.
+    """
+    values = values.view("u8") if values.dtype.itemsize == 8 else values.astype("u8")
+    if rising and len(values):
+        values = np.concatenate([values[:1], values[1:] - values[:-1]])
+    planes = values.astype("<u8").view("u1").reshape(-1, 8).T
+    while len(planes) > 1 and not planes[-1].any():
+        planes = planes[:-1]
+    return bytes([len(planes)]) + planes.tobytes()
+
+
+def unsqueezed(blob: bytes, rising: bool = False) -> np.ndarray:
+    count = blob[0]
+    planes = np.frombuffer(blob, "u1", offset=1).reshape(count, -1)
+    values = np.zeros((planes.shape[1], 8), "u1")
+    values[:, :count] = planes.T
+    out = values.view("<u8").ravel()
+    return np.cumsum(out, dtype="u8") if rising else out
+
+
 def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All values of a list column, and how many each list has."""
     lists = column.combine_chunks()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .chunks import bucket_of, buckets_for, deal, flat, mixed, packed, text_bytes
+from .chunks import bucket_of, buckets_for, deal, mixed, squeezed, text_bytes, unsqueezed
 from .common import read
 from .suffixarray import suffix_arrays
 
@@ -139,22 +139,39 @@ def _anchors(table: pa.Table, buckets: int) -> pa.Table:
     else:
         several = np.zeros(0, bool)
     keys = keys[head]
+    which, cuts = _owners(keys, buckets)
+    return pa.table({"chunk": pa.array(np.full(len(which), table.column("chunk")[0].as_py(), "i4")), "bucket": which,
+                     "keys": pa.array([squeezed(keys[a:b], rising=True) for a, b in cuts], pa.binary()),
+                     "several": pa.array([squeezed(several[a:b]) for a, b in cuts], pa.binary())})
+
+
+def _owners(keys: np.ndarray, buckets: int) -> tuple[pa.Array, list[tuple[int, int]]]:
+    """The buckets of rising keys, and each one's stretch of them."""
     which, first = np.unique(bucket_of(keys, buckets), return_index=True)
-    stops = np.concatenate([first[1:], [len(keys)]])
-    return pa.table({"chunk": pa.array(np.full(len(which), table.column("chunk")[0].as_py(), "i4")),
-                     "bucket": pa.array(which.astype("i4")), "keys": packed(keys.view("i8"), stops),
-                     "several": packed(several, stops)})
+    return pa.array(which.astype("i4")), list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)) if len(which) else []
+
+
+def _all(table: pa.Table, name: str, rising: bool = False) -> list[np.ndarray]:
+    return [unsqueezed(x, rising) for x in table.column(name).to_pylist()]
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, "u8")
+
+
+def _split(values: np.ndarray, sizes: list[int]) -> pa.Array:
+    """Squeezed stretches of the given sizes."""
+    return pa.array([squeezed(part) for part in np.split(values, np.cumsum(sizes)[:-1])], pa.binary())
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """Round 1, bucket: which anchors two documents have (two chunks never hold the same row)."""
-    keys, sizes = flat(table.column("keys"))
-    several, _ = flat(table.column("several"))
-    _, place, times = np.unique(keys, return_inverse=True, return_counts=True)
+    keys, several = _all(table, "keys", rising=True), _joined(_all(table, "several")).astype(bool)
+    _, place, times = np.unique(_joined(keys), return_inverse=True, return_counts=True)
     both = np.zeros(len(times), bool)
-    both[place[several.astype(bool)]] = True
+    both[place[several]] = True
     return pa.table({"chunk": table.column("chunk").combine_chunks(), "bucket": table.column("bucket").combine_chunks(),
-                     "shared": packed((both | (times > 1))[place], np.cumsum(sizes))})
+                     "shared": _split((both | (times > 1))[place], [len(k) for k in keys])})
 
 
 class Asked:
@@ -164,7 +181,7 @@ class Asked:
         self.data, self.ends, self.ids = _texts(docs)
         runs = Runs(self.data, self.ends, ANCHORS[0])
         keys = np.unique(runs.key)
-        shared, _ = flat(answers.sort_by("bucket").column("shared"))
+        shared = _joined(_all(answers.sort_by("bucket"), "shared"))
         held = np.flatnonzero(shared.astype(bool)[np.searchsorted(keys, runs.key)]) if len(keys) else np.zeros(0, "i8")
         held = held[np.lexsort((runs.owner[held], runs.content[held], runs.key[held]))]
         self.start, self.windows, self.owner = runs.start[held], runs.windows[held], runs.owner[held]
@@ -177,23 +194,17 @@ class Asked:
 
 def _stretches(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """Round 2: the different runs of a chunk on shared anchors, with their bytes and first documents."""
-    schema = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("keys", pa.list_(pa.int64())),
-                        ("contents", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64())),
-                        ("sizes", pa.list_(pa.int16())), ("bytes", pa.binary())])
+    names = ["chunk", "bucket", "keys", "contents", "firsts", "sizes", "bytes"]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
     if not docs.num_rows:
-        return schema.empty_table()
+        return pa.table([pa.array([], k) for k in kinds], names=names)
     asked = Asked(docs, answers)
-    which, first = np.unique(bucket_of(asked.key, buckets), return_index=True)
-    stops = np.concatenate([first[1:], [len(asked.key)]]).astype("i8")
-    sizes = asked.windows[asked.heads] + WINDOW - 1
-    blobs = []
-    for a, b in zip(first, stops, strict=False):
-        blobs.append(_gather(asked.data, asked.start[asked.heads[a:b]], sizes[a:b]).tobytes())
-    chunk = docs.column("chunk")[0].as_py()
-    return pa.table([pa.array(np.full(len(which), chunk, "i4")), pa.array(which.astype("i4")),
-                     packed(asked.key.view("i8"), stops), packed(asked.content.view("i8"), stops),
-                     packed(asked.first, stops), packed(sizes.astype("i2"), stops), pa.array(blobs, pa.binary())],
-                    schema=schema) if len(which) else schema.empty_table()
+    which, cuts = _owners(asked.key, buckets)
+    start, sizes = asked.start[asked.heads], asked.windows[asked.heads] + WINDOW - 1
+    columns = [[squeezed(asked.key[a:b], rising=True), squeezed(asked.content[a:b]), squeezed(asked.first[a:b]),
+                squeezed(sizes[a:b]), _gather(asked.data, start[a:b], sizes[a:b]).tobytes()] for a, b in cuts]
+    return pa.table([pa.array(np.full(len(which), docs.column("chunk")[0].as_py(), "i4")), which,
+                     *[pa.array([row[k] for row in columns], pa.binary()) for k in range(5)]], names=names)
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -289,12 +300,11 @@ def _match(data, starts, sizes, firsts, counts, spots, out) -> None:
 
 def _resolved(table: pa.Table) -> pa.Table:
     """Round 2, bucket: for each run that was sent, the documents that first had its windows, as steps."""
-    keys, counts = flat(table.column("keys"))
-    contents, _ = flat(table.column("contents"))
-    firsts, _ = flat(table.column("firsts"))
-    sizes = flat(table.column("sizes"))[0].astype("i8")
+    keys = _all(table, "keys", rising=True)
+    counts = [len(k) for k in keys]
+    keys, contents = _joined(keys), _joined(_all(table, "contents"))
+    firsts, sizes = (_joined(_all(table, name)).view("i8") for name in ("firsts", "sizes"))
     data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), "u1")
-    keys, contents = keys.view("u8"), contents.view("u8")
     sort = np.lexsort((firsts, contents, keys))
     new = np.concatenate([[True], (keys[sort][1:] != keys[sort][:-1]) | (contents[sort][1:] != contents[sort][:-1])])
     heads, kind = sort[new], np.empty(len(sort), "i8")
@@ -313,10 +323,9 @@ def _resolved(table: pa.Table) -> pa.Table:
     many = each[kind]
     back = np.repeat(spots[kind] - np.cumsum(many) + many, many) + np.arange(many.sum())
     rows = np.cumsum(counts)
-    steps = np.add.reduceat(many, rows - counts) if len(rows) else rows
+    steps = np.add.reduceat(many, rows - counts)
     return pa.table({"chunk": table.column("chunk").combine_chunks(), "bucket": table.column("bucket").combine_chunks(),
-                     "steps": packed(many.astype("i1"), rows), "offsets": packed(offset[back].astype("i1"), np.cumsum(steps)),
-                     "docs": packed(doc[back], np.cumsum(steps))})
+                     "steps": _split(many, counts), "offsets": _split(offset[back], steps), "docs": _split(doc[back], steps)})
 
 
 def _removed(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -328,8 +337,7 @@ def _removed(docs: pa.Table, answers: pa.Table) -> pa.Table:
                         names=["doc_id", "row", *[n for n, _ in kind]])
     asked = Asked(docs, answers.filter(answers.column("round").to_numpy() == 1) if answers.num_rows else answers)
     later = (answers.filter(answers.column("round").to_numpy() == 2) if answers.num_rows else answers).sort_by("bucket")
-    steps = flat(later.column("steps"))[0].astype("i8")
-    offsets, first = flat(later.column("offsets"))[0].astype("i8"), flat(later.column("docs"))[0]
+    steps, offsets, first = (_joined(_all(later, name)).view("i8") for name in ("steps", "offsets", "docs"))
     depth = np.zeros(len(asked.data) + WINDOW + 1, "i4")
     if len(asked.start):
         spots = np.cumsum(steps) - steps
@@ -370,14 +378,13 @@ def remove_repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
     by_chunk = deal(source, ["doc_id", "text"], total, CHUNK).groupBy("chunk")
     buckets, coarse = buckets_for(total / 14), buckets_for(total / 40)
     asked = by_chunk.applyInArrow(lambda t: _anchors(t, buckets),
-                                  "chunk int, bucket int, keys array<bigint>, several array<boolean>")
-    shared = asked.groupBy("bucket").applyInArrow(_shared, "chunk int, bucket int, shared array<boolean>")
+                                  "chunk int, bucket int, keys binary, several binary")
+    shared = asked.groupBy("bucket").applyInArrow(_shared, "chunk int, bucket int, shared binary")
     sent = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(
         lambda d, a: _stretches(d, a, coarse),
-        "chunk int, bucket int, keys array<bigint>, contents array<bigint>, firsts array<bigint>, sizes array<smallint>,"
-        " bytes binary")
+        "chunk int, bucket int, keys binary, contents binary, firsts binary, sizes binary, bytes binary")
     found = sent.groupBy("bucket").applyInArrow(
-        _resolved, "chunk int, bucket int, steps array<tinyint>, offsets array<tinyint>, docs array<bigint>")
+        _resolved, "chunk int, bucket int, steps binary, offsets binary, docs binary")
     answers = shared.withColumn("round", F.lit(1)).unionByName(found.withColumn("round", F.lit(2)), allowMissingColumns=True)
     made = StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
     done = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(
