@@ -1,5 +1,7 @@
 """The books and one run of them as DuckDB common table expressions."""
 
+import re
+
 BOOKS = """
 o AS MATERIALIZED (
   SELECT o_orderkey AS k, CAST(floor(o_orderkey / 12) AS BIGINT) AS b, o_custkey,
@@ -206,6 +208,34 @@ PARTS = {"books": BOOKS, "links": LINKS, "calendar": CALENDAR, "resolved": RESOL
          "exceptions": EXCEPTIONS, "key": TRUTH, "truth": TRUTH + "," + EXACT}
 
 
+# What a run derives; a second copy of its parts carries these names with a suffix.
+RUN_NAMES = ("bank", "tok", "hits", "links", "refs", "dated", "settled", "band", "resolved", "algebra", "valid", "claims",
+             "contested", "walk", "accepted", "kept", "members", "groups")
+
+
+def _renamed(part: str, suffix: str) -> str:
+    return re.sub(rf"\b({'|'.join(RUN_NAMES)})\b(?!\()", rf"\1{suffix}", part)
+
+
+def two_batches(select: str, late: str) -> str:
+    """All books first without the bank lines that satisfy `late`, then those lines.
+
+    The first run's groups stand. The second looks everything up in everything, but proposals that
+    ask for a record of a standing group are out before the walk.
+    """
+    first = f"bank_a AS MATERIALIZED (SELECT * FROM bank WHERE NOT ({late}))," + ",".join(
+        _renamed(part, "_a") for part in (LINKS, RESOLVED, RUN))
+    held = """
+owned AS MATERIALIZED (SELECT DISTINCT kind || ':' || id AS key FROM members_a),
+late_links AS (SELECT * FROM links WHERE 'settlement:' || settlement_id NOT IN (SELECT key FROM owned)),"""
+    second = RUN.replace("FROM links l JOIN algebra", "FROM late_links l JOIN algebra").replace(
+        "claims AS MATERIALIZED (", "wanted AS MATERIALIZED (").replace(
+        "contested AS (", "claims AS MATERIALIZED (SELECT * FROM wanted WHERE prop NOT IN (SELECT prop FROM wanted "
+        "WHERE key IN (SELECT key FROM owned))),\ncontested AS (").replace(
+        "SELECT * FROM valid WHERE b NOT IN (", "SELECT * FROM valid WHERE b IN (SELECT prop FROM claims) AND b NOT IN (")
+    return f"WITH RECURSIVE {BOOKS},{CALENDAR},{first},{LINKS},{RESOLVED},{held}{second}\n{select}"
+
+
 def over(select: str, *parts: str, extra: str = "") -> str:
     """A query over some of the parts."""
     chosen = ",".join(PARTS[p] for p in parts)

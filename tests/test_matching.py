@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_scalars import step
 from tieout import model
@@ -126,16 +127,28 @@ def greedy(proposals):
     return rejected
 
 
-@pytest.mark.parametrize("bounded", [0, 10**6])
-def test_claims_equal_greedy(spark, bounded):
+def test_claims_equal_greedy(spark):
     r = random.Random(5)
     proposals = {p: {f"k{r.randint(0, 60)}" for _ in range(r.randint(1, 3))} for p in range(60)}
     proposals.update({100 + i: {f"c{i}", f"c{i + 1}"} for i in range(6)})  # a chain, worst for rounds
     proposals.update({200 + i: {"hot", f"h{i}"} for i in range(40)})
     rows = spark.createDataFrame([(p, "payment", k) for p, ks in proposals.items() for k in ks], "prop long, kind string, id string")
     valid = spark.createDataFrame([(p,) for p in proposals], "prop long")
-    found = {x.prop for x in claims.rejected_proposals(rows, valid, bounded).collect()}
+    found = {x.prop for x in claims.rejected_proposals(rows, valid).collect()}
     assert found == greedy(proposals)
+    held = {"hot", "c3", "k7"}
+    found = {x.prop for x in claims.rejected_proposals(rows, valid, spark.createDataFrame(
+        [("payment", k) for k in held] + [("invoice", "k8")], "kind string, id string")).collect()}
+    lost = {p for p, keys in proposals.items() if keys & held}
+    assert found == lost | greedy({p: keys for p, keys in proposals.items() if p not in lost})
+
+
+def test_long_chain_of_claims_settles(spark):
+    """Every proposal shares a record with the next: each second one loses."""
+    rows = spark.range(100_000).select(F.col("id").alias("prop"), F.lit("payment").alias("kind"), F.explode(
+        F.array(F.col("id").cast("string"), (F.col("id") + 1).cast("string"))).alias("id"))
+    lost = claims.rejected_proposals(rows, rows.select("prop").distinct())
+    assert lost.agg(F.count("*"), F.sum("prop"), F.min(F.col("prop") % 2)).first() == (50_000, 2_500_000_000, 1)
 
 
 def test_band_candidates_equal_brute_force(spark):

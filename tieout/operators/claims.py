@@ -8,11 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tieout.operators.components import components
 from tieout.session import materialize
 
-# Below this many contested (proposal, record) rows one task settles what is left.
-BOUNDED_ROWS = 200_000
-
 
 def contested_records(claims: DataFrame) -> DataFrame:
     """Records that more than one proposal asks for; `claims` is (prop, kind, id)."""
@@ -20,48 +18,49 @@ def contested_records(claims: DataFrame) -> DataFrame:
             .filter("first < last"))
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches), ignore_index=True)
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Proposals in order, one component after the other; only the component's taken records are held."""
+    component, prop = None, None
     taken: set[tuple[str, str]] = set()
-    rejected = []
-    for prop, asked in rows.groupby("prop", sort=True):
-        keys = set(zip(asked["kind"], asked["id"]))
-        if keys & taken:
-            rejected.append(prop)
-        else:
-            taken |= keys
-    yield pd.DataFrame({"prop": pd.Series(rejected, dtype="int64")})
+    asked: set[tuple[str, str]] = set()
+    for rows in batches:
+        lost = []
+        for row in rows.itertuples(index=False):
+            if row.prop != prop:
+                if prop is not None and asked & taken:
+                    lost.append(prop)
+                else:
+                    taken |= asked
+                prop, asked = row.prop, set()
+            if row.component != component:
+                component, taken = row.component, set()
+            asked.add((row.kind, row.id))
+        yield pd.DataFrame({"prop": pd.Series(lost, dtype="int64")})
+    if prop is not None and asked & taken:
+        yield pd.DataFrame({"prop": pd.Series([prop], dtype="int64")})
 
 
-def rejected_proposals(claims: DataFrame, valid: DataFrame, bounded_rows: int = BOUNDED_ROWS) -> DataFrame:
+def rejected_proposals(claims: DataFrame, valid: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """(prop) of the `valid` proposals that lose a record to an earlier accepted one.
 
-    Equals walking the proposals in order: a proposal is accepted when no accepted
-    one before it holds any of its records. Only contested records can decide
-    that, and those are few. Each round accepts every proposal that is first on
-    all its contested records and rejects those sharing a record with it; the
-    lowest open proposal is always accepted, so the rounds end. Once the open
-    part is provably small, a single task finishes it in order.
+    Equals walking the proposals in order: a proposal is accepted when no accepted one before it
+    holds any of its records. `held` are records (kind, id) with an owner from before; whoever asks
+    for one loses at once. Of the rest only contested records can decide, and they tie proposals into
+    components that don't touch each other. Components are found by stars, in a number of rounds that
+    grows with the logarithm of the longest chain, and walked side by side, sorted, in a stream: a task
+    holds the records taken in the component it is in, never the component's rows.
     """
-    spark = claims.sparkSession
+    lost = claims.limit(0).select("prop")
+    if held is not None:
+        lost = materialize(claims.join(held, ["kind", "id"], "left_semi").select("prop").distinct()
+                           .join(valid.select("prop"), "prop", "left_semi"), "lost")
+        valid = valid.join(lost, "prop", "left_anti")
     contested = contested_records(claims).select("kind", "id")
     # Validity is applied to the few contested rows, not to all claims.
-    edges = claims.join(contested, ["kind", "id"]).join(valid.select("prop"), "prop", "left_semi")
-    edges = materialize(edges.select("prop", "kind", "id").distinct(), "contested")
-    rejected = spark.createDataFrame([], "prop bigint")
-    while True:
-        open_rows = edges.count()
-        if open_rows == 0:
-            return rejected
-        if open_rows <= bounded_rows:
-            last = edges.coalesce(1).mapInPandas(_in_order, "prop bigint")
-            return rejected.unionByName(last)
-        first = edges.groupBy("kind", "id").agg(F.min("prop").alias("first"))
-        accepted = (edges.join(first, ["kind", "id"]).groupBy("prop")
-                    .agg(F.bool_and(F.col("prop") == F.col("first")).alias("wins")).filter("wins").select("prop"))
-        accepted = materialize(accepted, "accepted")
-        held = edges.join(accepted, "prop", "left_semi").select("kind", "id").distinct()
-        others = edges.join(accepted, "prop", "left_anti")
-        losers = materialize(others.join(held, ["kind", "id"], "left_semi").select("prop").distinct(), "rejected")
-        edges = materialize(others.join(losers, "prop", "left_anti"), "contested")
-        rejected = rejected.unionByName(losers)
+    asked = claims.join(contested, ["kind", "id"]).join(valid.select("prop"), "prop", "left_semi")
+    asked = materialize(asked.select("prop", "kind", "id").distinct(), "contested")
+    first = asked.groupBy("kind", "id").agg(F.min("prop").alias("first"))
+    ties = components(asked.join(first, ["kind", "id"]).select(F.col("prop").alias("a"), F.col("first").alias("b")))
+    tied = asked.join(ties, F.col("prop") == F.col("node")).select("component", "prop", "kind", "id")
+    walked = tied.repartition("component").sortWithinPartitions("component", "prop").mapInPandas(_walk, "prop bigint")
+    return lost.unionByName(walked)

@@ -104,15 +104,24 @@ def _settlement_exceptions(outcomes: DataFrame) -> DataFrame:
     return exception_rows(open_rows, "settlement", code, tried, stage)
 
 
-def residue(books: Books, accepted_chain: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Exceptions for every invoice, payment and bank line that no accepted chain holds."""
+def residue(books: Books, accepted_chain: DataFrame, outcomes: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Exceptions for every invoice, payment and bank line that no accepted chain holds.
+
+    `held` are records (kind, id) that groups of earlier batches hold.
+    """
     used_payments = accepted_chain.select(F.col("payment_id").alias("id"))
     used_invoices = accepted_chain.filter("invoice_id is not null").select(F.col("invoice_id").alias("id"))
     used_lines = outcomes.filter("accepted").select(F.col("bank_line_id").alias("id"))
+    paid = accepted_chain.select("gross", "invoice_ref")
+    if held is not None:
+        before = {kind: held.filter(F.col("kind") == kind).select("id") for kind in ("payment", "invoice", "bank_line")}
+        used_payments, used_invoices = used_payments.union(before["payment"]), used_invoices.union(before["invoice"])
+        used_lines = used_lines.union(before["bank_line"])
+        paid = paid.union(books.indexed("payment").join(before["payment"], "id", "left_semi").select("gross", "invoice_ref"))
 
     invoices = books.indexed("invoice").join(used_invoices, "id", "left_anti")
     lines = books.indexed("bank_line").join(used_lines, "id", "left_anti")
-    signatures = (accepted_chain.filter("invoice_ref is not null and invoice_ref <> ''")
+    signatures = (paid.filter("invoice_ref is not null and invoice_ref <> ''")
                   .select(F.col("gross").alias("seen_gross"), F.col("invoice_ref").alias("seen_ref")).distinct())
     orphans = books.indexed("payment").join(used_payments, "id", "left_anti")
     orphans = orphans.join(signatures, (F.col("gross") == F.col("seen_gross"))
@@ -126,8 +135,17 @@ def residue(books: Books, accepted_chain: DataFrame, outcomes: DataFrame) -> Dat
                                         F.lit(7))))
 
 
-def reconcile(books: Books) -> Run:
-    links = materialize(link_settlements(books), "links")
+def reconcile(books: Books, held: DataFrame | None = None) -> Run:
+    """One run over the books.
+
+    `held` are records (kind, id) that groups of earlier batches own. They stay in the books, so that
+    lookups find them, but no proposal may take one, and their settlements are not looked at again.
+    """
+    links = link_settlements(books)
+    if held is not None:
+        closed = held.filter("kind = 'settlement'").select(F.col("id").alias("settlement_id"))
+        links = links.join(closed, "settlement_id", "left_anti")
+    links = materialize(links, "links")
     linked = links.filter(F.col("link_status") == LINKED)
     chain = settled_payments(books, linked)
 
@@ -137,7 +155,7 @@ def reconcile(books: Books) -> Run:
                                  F.coalesce("resolved_payments", F.lit(0)).alias("resolved_payments"))
     proposals = materialize(proposals, "proposals")
     valid = proposals.filter("residual = 0 and unknown_payments = 0")
-    rejected = rejected_proposals(claimed_records(chain, proposals), valid)
+    rejected = rejected_proposals(claimed_records(chain, proposals), valid, held)
     accepted = valid.join(rejected, "prop", "left_anti")
 
     outcomes = materialize(
@@ -157,7 +175,7 @@ def reconcile(books: Books) -> Run:
     # Linked settlements that failed are few: drop them from the chain, keep the rest in place.
     failed = outcomes.filter((F.col("link_status") == LINKED) & ~F.col("accepted")).select(F.col("ord").alias("prop"))
     kept = chain.join(failed, "prop", "left_anti")
-    exceptions = _settlement_exceptions(outcomes).unionByName(residue(books, kept, outcomes))
+    exceptions = _settlement_exceptions(outcomes).unionByName(residue(books, kept, outcomes, held))
     return Run(books, outcomes, kept, groups, member_rows(kept, groups), exceptions)
 
 

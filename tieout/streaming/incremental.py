@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tieout.model import Books
 from tieout.plans.reconcile import Run, reconcile
@@ -14,51 +16,51 @@ KINDS = ("invoices", "payments", "settlements", "membership", "bank_lines")
 
 
 class OpenBooks:
-    """What is still open between batches, kept as tables in the shared folder.
+    """Groups accepted batch by batch; what they own is kept as claims, never taken out of the books.
 
-    A batch is reconciled together with the open residue. Accepted groups are
-    appended and their records never come back, so a late bank line can close an
-    open settlement but cannot undo a group. Both tables of a batch carry its
-    number; a batch that is replayed writes the same folders again.
+    Under `root` every batch leaves what arrived, its groups and its members. All lookups run over
+    everything that has arrived, so a payment that cites an owned invoice still finds it; a proposal
+    that touches a claim of an earlier batch is rejected, which makes the order of batches the order
+    of proposals. Settlements without a group are tried again in every batch, so a late bank line
+    closes an open settlement but cannot undo a group.
+
+    The last table of a batch is its row in `commits`. A new object on the same root goes on after
+    the committed batches; a batch that failed before its commit, or is replayed, is written over.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or new_folder(spark, "open-books")
-        self.batch = -1
 
-    def _residue(self, batch: int, kind: str) -> str:
-        return f"{self.root}/residue/batch={batch}/{kind}"
+    def committed(self, before: int | None = None) -> list[int]:
+        """Numbers of the finished batches, those below `before` if it is given."""
+        try:
+            rows = self.spark.read.parquet(f"{self.root}/commits").select(F.col("batch").cast("int")).distinct().collect()
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return []
+        return sorted(r.batch for r in rows if before is None or r.batch < before)
 
-    def _with_residue(self, fresh: Books) -> Books:
-        if self.batch < 0:
-            return fresh
-        held = {k: self.spark.read.schema(getattr(fresh, k).schema).parquet(self._residue(self.batch, k))
-                for k in KINDS}
-        return fresh.replaced(**{k: held[k].unionByName(getattr(fresh, k)) for k in KINDS})
+    def _read(self, what: str, batches: list[int]) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.root}/{what}").parquet(
+            *[f"{self.root}/{what}/batch={b}" for b in batches])
 
     def apply(self, fresh: Books, batch_id: int) -> Run:
-        run = reconcile(self._with_residue(fresh))
+        before = self.committed(batch_id)
+        for kind in KINDS:
+            getattr(fresh, kind).write.mode("overwrite").parquet(f"{self.root}/{kind}/batch={batch_id}")
+        arrived = {kind: self._read(kind, [*before, batch_id]).select(getattr(fresh, kind).columns) for kind in KINDS}
+        held = self._read("members", before).select("kind", "id") if before else None
+        run = reconcile(fresh.replaced(**arrived), held)
         run.groups.write.mode("overwrite").parquet(f"{self.root}/groups/batch={batch_id}")
         run.members.write.mode("overwrite").parquet(f"{self.root}/members/batch={batch_id}")
-        closed = {kind: run.members.filter(f"kind = '{kind}'").select("id")
-                  for kind in ("invoice", "payment", "settlement", "bank_line")}
-        books = run.books
-        left = {
-            "invoices": books.invoices.join(closed["invoice"], "id", "left_anti"),
-            "payments": books.payments.join(closed["payment"], "id", "left_anti"),
-            "settlements": books.settlements.join(closed["settlement"], "id", "left_anti"),
-            "bank_lines": books.bank_lines.join(closed["bank_line"], "id", "left_anti"),
-            "membership": books.membership.join(
-                closed["settlement"].withColumnRenamed("id", "settlement_id"), "settlement_id", "left_anti"),
-        }
-        for kind, rows in left.items():
-            rows.select(getattr(fresh, kind).columns).write.mode("overwrite").parquet(self._residue(batch_id, kind))
-        self.batch = batch_id
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/commits/batch={batch_id}")
         return run
 
     def groups(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/groups")
+        """The groups of all finished batches."""
+        return self._read("groups", self.committed())
 
     def follow(self, arrivals: DataFrame, books_of: Callable[[DataFrame], Books], checkpoint: str):
         """Drive `apply` from a stream: each micro-batch is turned into books and reconciled."""
