@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.books_sql import over, over_books, over_run, over_truth
+from oracle.books_sql import over, over_books, over_run, over_truth, two_batches
 
 def grouped(paise: str) -> str:
     """Rupees in Indian grouping; DuckDB's patterns have no look-ahead."""
@@ -421,7 +421,10 @@ SELECT run_id, state, epoch_us(lead(seen_at) OVER (PARTITION BY run_id ORDER BY
 moves AS (SELECT *, lag(state) OVER (PARTITION BY run_id ORDER BY seen_at, event_id) AS was FROM alive)
 SELECT run_id, arg_max(state, (seen_at, event_id)) AS state, count(*) FILTER (was IS DISTINCT FROM state) AS transitions FROM moves GROUP BY 1""",
     "streamed_usage": "SELECT event_type AS model, strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, greatest(count(*) - 50, 0) AS over "
-                      "FROM events WHERE CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM events) GROUP BY ALL",
+                      "FROM events GROUP BY ALL",
+    "incremental_groups": two_batches(
+        "SELECT id, bank_line_id, CAST(0 AS BIGINT) AS batch FROM groups_a UNION ALL "
+        "SELECT id, bank_line_id, CAST(1 AS BIGINT) FROM groups", "CAST(floor(ord / 3) AS BIGINT) % 2 = 1"),
     "usage_by_minute": "SELECT event_type AS model, strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS calls, greatest(count(*) - 1, 0) AS over "
                        "FROM events GROUP BY ALL",
     "usage_by_user_day": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, greatest(count(*) - 3, 0) AS over FROM events GROUP BY ALL",
@@ -492,7 +495,7 @@ AUDITS = {
     "answer_grounding": over_books(
         "SELECT k AS answer_id, count(*) AS numbers, count(*) FILTER (NOT ok) AS unexplained, bool_and(ok) AS grounded FROM pairs GROUP BY 1", _ANSWERS),
     "answer_citations": over_books(
-        "SELECT k AS answer_id, kind, id, row_number() OVER (PARTITION BY k ORDER BY place) AS position FROM ("
+        "SELECT k AS answer_id, kind, id, row_number() OVER (PARTITION BY k ORDER BY place) AS position, 2 AS total FROM ("
         "SELECT k, 'invoice' AS kind, 'INV' || lpad(CAST(k AS VARCHAR), 9, '0') AS id, 1 AS place FROM o UNION ALL SELECT k, 'run', 'open', 2 FROM o)"),
 }
 

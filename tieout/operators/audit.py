@@ -43,14 +43,15 @@ def answer_grounding(answers: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def citations(answers: DataFrame, known_ids: DataFrame) -> DataFrame:
-    """Ids from the payloads that an answer mentions, by position, the first twelve.
+    """Ids from the payloads that an answer mentions, by position, the first twelve, and how many in all.
 
-    `known_ids` is (answer_id, kind, id): the ids returned to that answer, whichever
-    record kind was seen last for an id.
+    `known_ids` is (answer_id, kind, id, seen): the ids returned to that answer in the order `seen`; an
+    id has the record kind with which it was seen last.
     """
-    known = known_ids.filter(F.length("id") > 3).groupBy("answer_id", "id").agg(F.max("kind").alias("kind"))
+    known = known_ids.filter(F.length("id") > 3).groupBy("answer_id", "id").agg(F.max_by("kind", "seen").alias("kind"))
     at = F.instr(F.col("text"), F.col("id"))
     cited = known.join(answers.select("answer_id", "text"), "answer_id").withColumn("at", at).filter("at > 0")
     order = Window.partitionBy("answer_id").orderBy("at", "id")
+    every = Window.partitionBy("answer_id")
     return (cited.select("answer_id", "kind", "id", "at").withColumn("position", F.row_number().over(order))
-            .filter(F.col("position") <= MAX_CITATIONS).drop("at"))
+            .withColumn("total", F.count("*").over(every)).filter(F.col("position") <= MAX_CITATIONS).drop("at"))

@@ -25,7 +25,8 @@ def require_role(role: str) -> str:
 
 def newest_per_user(rows: DataFrame, limit: int = 10) -> DataFrame:
     """Each user's newest rows; the limit is applied inside partitions before the shuffle."""
-    limit = limit if 0 < limit <= 50 else 10
+    if not 0 < limit <= 50:
+        raise ValueError(f"a list shows 1 to 50 rows, not {limit}")
     order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
 

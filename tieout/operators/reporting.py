@@ -12,7 +12,6 @@ from tieout.vocab import FORECAST_DAYS, MAX_LISTED_ROWS
 
 COMPARABLE = ("auto_rate", "assist_rate", "open_rate", "precision", "recall", "false_matches", "records",
               "open_exceptions", "amount_at_risk", "throughput_rps", "llm_requests", "llm_tokens")
-SEARCHED_CHARS = 400
 
 
 def cash_forecast(settlements: DataFrame, groups: DataFrame, exceptions: DataFrame) -> DataFrame:
@@ -116,8 +115,8 @@ def decision_overlay(exceptions: DataFrame, decisions: DataFrame, run_id: str) -
 
 
 def compare_runs(metrics: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """The comparable figures of two runs side by side, and right minus left."""
-    figures = [c for c in COMPARABLE if c in metrics.columns]
+    """All comparable figures of two runs side by side, and right minus left; `metrics` has a column for each."""
+    figures = list(COMPARABLE)
     both = metrics.filter(F.col("run_id").isin(left_id, right_id)).select(
         "run_id", *[F.col(c).cast("double").alias(c) for c in figures])
     long_form = both.unpivot("run_id", figures, "metric", "value")
@@ -128,10 +127,10 @@ def compare_runs(metrics: DataFrame, left_id: str, right_id: str) -> DataFrame:
 
 
 def search_groups(groups: DataFrame, members: DataFrame, needle: str) -> DataFrame:
-    """(id) of groups with the text in an id or in the first characters of their evidence."""
+    """(id) of groups with the text in an id or in their evidence."""
     text = needle.strip().lower()
     quoted = groups.filter(F.exists("evidence", lambda e: F.contains(
-        F.lower(F.substring(e["value"], 1, SEARCHED_CHARS)), F.lit(text)))).select("id")
+        F.lower(e["value"]), F.lit(text)))).select("id")
     by_member = members.filter(F.contains(F.lower("id"), F.lit(text))).select(F.col("group_id").alias("id"))
     own = groups.filter(F.contains(F.lower("id"), F.lit(text))).select("id")
     return quoted.unionByName(by_member).unionByName(own).distinct()

@@ -178,9 +178,13 @@ def _merged(run: Run, verdicts: DataFrame, chain: DataFrame) -> Triage:
 
 
 def explain(exceptions: DataFrame, explanations: DataFrame) -> DataFrame:
-    """One text per code fanned out to its exceptions; uncovered codes keep their template action."""
+    """One text per code fanned out to its exceptions; uncovered codes keep their template action.
+
+    `explanations` is (code, explanation, suggested_action, given): of several for a code the last given holds.
+    """
     texts = explanations.groupBy(F.upper(F.trim("code")).alias("code")).agg(
-        F.last("explanation").alias("text"), F.last("suggested_action").alias("action"))
+        F.max_by(F.struct("explanation", "suggested_action"), "given").alias("last")).select(
+        "code", F.col("last.explanation").alias("text"), F.col("last.suggested_action").alias("action"))
     joined = exceptions.join(texts, "code", "left")
     action = F.nullif(cap_text(F.col("action")), F.lit(""))
     return joined.withColumn("explanation", F.coalesce(cap_text(F.col("text")), F.col("explanation"))).withColumn(

@@ -36,16 +36,24 @@ _STORE: dict[tuple[str, str, str], object] = {}
 
 
 def _stored(spark: SparkSession, sf: str, name: str, build: Callable[[], object]):
-    """Reports read the stored result of a run and do not run it again.
+    """Reports read the stored result of a run over the same files and do not run it again.
 
     Kept per session; `_STORE.clear()` makes the next query start from the tables.
     """
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, f"{sf} {_snapshot(spark, sf)}", name)
     if key not in _STORE:
         _STORE[key] = build()
     return _STORE[key]
 
 
+def _snapshot(spark: SparkSession, sf: str) -> int | None:
+    """Names the files that the books come from, with their sizes and times; no row is read."""
+    parts = [spark.read.parquet(f"{sf}/{name}.parquet").select(F.xxhash64(
+        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("file")).distinct()
+        for name in ("orders", "customer")]
+    return parts[0].union(parts[1]).agg(F.bit_xor("file")).first()[0]
+
+
 def _run(spark: SparkSession, sf: str) -> Run:
     def build() -> Run:
         run = reconcile(fixture.books(spark, sf))
@@ -285,8 +293,13 @@ def run_comparison(spark, sf):
     key = fixture.answer_key(run.books)
     first = scoring.run_metrics(run.books, run.groups, run.members, run.exceptions, key)
     second = scoring.run_metrics(run.books, triaged.groups, triaged.members, triaged.exceptions, key)
-    both = first.withColumn("run_id", F.lit("a")).unionByName(second.withColumn("run_id", F.lit("b")))
-    return _rounded(reporting.compare_runs(both, "a", "b"), "a", "b", "delta_b_minus_a")
+    both = first.withColumn("run_id", F.lit("run-1")).unionByName(second.withColumn("run_id", F.lit("run-2")))
+    events = derived.events(spark, sf)
+    spent = catalog.usage_totals(derived.calls_of(events)).join(
+        catalog.total_duration(catalog.latest_state(derived.trace_of(events))), "run_id")
+    spent = spent.select("run_id", F.col("requests").alias("llm_requests"), F.col("tokens").alias("llm_tokens"), "millis")
+    figures = both.join(spent, "run_id", "left").withColumn("throughput_rps", F.col("records") * 1000 / F.col("millis"))
+    return _rounded(reporting.compare_runs(figures, "run-1", "run-2"), "a", "b", "delta_b_minus_a")
 
 
 # ------------------------------------------------------------------ triage
@@ -322,8 +335,9 @@ def explained_exceptions(spark, sf):
         F.concat(F.lit("  "), F.lower("code")).alias("code"),
         F.repeat(F.concat(label_of(F.col("code")), F.lit(". ")), 9).alias("explanation"),
         F.when(F.col("code").startswith("M"), F.lit("")).otherwise(F.concat(F.lit("Check "), "code"))
-        .alias("suggested_action"))
-    return triage.explain(exceptions, texts).select("id", "code", "explanation", "suggested_action")
+        .alias("suggested_action"), F.lit(2).alias("given"))
+    dropped = texts.withColumns({"explanation": F.lit("withdrawn"), "given": F.lit(1)})
+    return triage.explain(exceptions, texts.unionByName(dropped)).select("id", "code", "explanation", "suggested_action")
 
 
 # ------------------------------------------------------------------ scalars
@@ -445,14 +459,6 @@ def request_digests(spark, sf):
     return catalog.distinct_requests(prompts).select("request_key", "askers", text.token_estimate(F.col("prompt")).alias("tokens"))
 
 
-@query
-def payer_similarity(spark, sf):
-    books = fixture.books(spark, sf, named=True)
-    alias = F.concat(F.lit(" "), F.upper(F.regexp_replace("customer", "omer#0+", " ")))
-    return books.invoices.filter("customer is not null").select(
-        "id", F.round(similarity.payer_similarity(F.col("customer"), alias), 6).alias("ratio"))
-
-
 @query
 def subset_sums(spark, sf):
     books = fixture.books(spark, sf)
@@ -742,7 +748,7 @@ def streamed_run_states(spark, sf):
 @query
 def streamed_usage(spark, sf):
     calls = derived.calls_of(derived.event_stream(spark, sf))
-    counts = trace.drain(usage.calls_per_window(calls, ["model"], "1 day", "0 seconds"), "usage", "append")
+    counts = trace.drain_counts(usage.calls_per_window(calls, ["model"], "1 day", "30 days"), "usage", ["model", "window_start"])
     return usage.over_limit(counts, 50).select("model", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "calls", "over")
 
 
@@ -836,12 +842,13 @@ def fault_split_payment(spark, sf):
 @query
 def faulted_run(spark, sf):
     """A run over chained corruptions, one victim each; never a false match."""
-    books, key = _corrupted(spark, sf, *[faults.parse_fault(s) for s in (
+    books, key = _corrupted(spark, sf, *faults.planned(spark, [
         "duplicate_payment", "shift_date:45", "alter_amount:-150000", "delete_bank_line", "scramble_narration",
-        "split_payment", "inject_unrelated_credit")])
+        "split_payment", "inject_unrelated_credit"]))
     run = reconcile(books)
-    return scoring.run_metrics(books, run.groups, run.members, run.exceptions, key).select(
-        "records", "payments_total", "payments_auto", "open_exceptions", "amount_at_risk", "amount_cleared")
+    return _rounded(scoring.run_metrics(books, run.groups, run.members, run.exceptions, key).select(
+        "records", "payments_total", "payments_auto", "open_exceptions", "amount_at_risk", "amount_cleared",
+        "false_matches", "precision", "recall"), "precision", "recall")
 
 
 # ------------------------------------------------------------------- audits
@@ -856,8 +863,9 @@ def answer_grounding(spark, sf):
 @query
 def answer_citations(spark, sf):
     written = derived.answers(spark, sf)
-    known = written.select("answer_id", F.explode(F.array(
+    known = written.select("answer_id", F.posexplode(F.array(
         F.struct(F.lit("invoice").alias("kind"), F.concat(F.lit("INV"), F.lpad(F.col("answer_id").cast("string"), 9, "0")).alias("id")),
         F.struct(F.lit("settlement").alias("kind"), F.lit("STL12").alias("id")),
-        F.struct(F.lit("run").alias("kind"), F.lit("open").alias("id")))).alias("r")).select("answer_id", "r.*")
+        F.struct(F.lit("settlement").alias("kind"), F.lit("open").alias("id")),
+        F.struct(F.lit("run").alias("kind"), F.lit("open").alias("id")))).alias("seen", "r")).select("answer_id", "seen", "r.*")
     return audit.citations(written, known)

@@ -15,34 +15,36 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-_local_scratch: dict[str, str] = {}
-
-
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
+# Names the shared folder where spark.checkpoint.dir is unset: tests and local runs.
+SCRATCH = "spark.tieout.scratch"
 
-    A local session without one gets a temporary folder, because there all tasks
-    share the machine. On a cluster a missing setting is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every executor can reach, as the session names it; an error without one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="tieout-")
-    return _local_scratch[app]
+    return named.rstrip("/")
+
+
+def local_scratch(spark: SparkSession) -> SparkSession:
+    """For entry points on one machine: name a new folder where the session has none; never on a cluster."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.conf.set(SCRATCH, tempfile.mkdtemp(prefix="tieout-"))
+    return spark
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tieout/{label}-{uuid.uuid4().hex}"
+    """A new folder; all of one application's lie together and can go when it has ended."""
+    return f"{shared_folder(spark)}/tieout/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

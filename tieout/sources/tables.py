@@ -22,7 +22,6 @@ from tieout.functions.text import (
     collapse, filled_cells, header_names, is_blank, is_blank_row, is_summary_row, let, looks_like_header)
 from tieout.session import materialize
 
-MAX_ROWS = 200_000
 HEADER_SCAN_LIMIT = 40
 BODY_SAMPLE = 12
 MIN_BODY_AGREEMENT = 0.6
@@ -140,8 +139,11 @@ def locate_headers(grid: DataFrame) -> DataFrame:
         F.coalesce("sure", "maybe").isNotNull().alias("obvious"))
 
 
-def parse_files(files: DataFrame, max_rows: int = MAX_ROWS) -> Parsed:
-    """All files (path, content) to shaped rows, with every repair counted."""
+def parse_files(files: DataFrame, max_rows: int | None = None) -> Parsed:
+    """All files (path, content) to shaped rows, with every repair counted.
+
+    `max_rows` rejects longer files, for uploads that promise to be short; feeds have no limit.
+    """
     kinds = files.withColumn("kind", content_kind(F.col("content")))
     reasons = {"empty": "file is empty", "image": "file content is an image, not a table",
                "pdf": "this is a PDF; use the statement line extraction on its text",
@@ -155,12 +157,13 @@ def parse_files(files: DataFrame, max_rows: int = MAX_ROWS) -> Parsed:
     located = locate_headers(grid)
     header = grid.join(located.select("path", F.col("header_row").alias("row_no")), ["path", "row_no"], "left_semi")
     located = located.join(header.select("path", header_names(F.col("cells")).alias("headers")), "path")
-    too_long = located.filter(F.col("grid_rows") > max_rows + HEADER_SCAN_LIMIT).select(
-        "path", F.concat(F.col("grid_rows").cast("string"), F.lit(f" rows exceeds the {max_rows}-row cap"))
+    over = F.lit(False) if max_rows is None else F.col("grid_rows") > max_rows + HEADER_SCAN_LIMIT
+    too_long = located.filter(over).select(
+        "path", F.concat(F.col("grid_rows").cast("string"), F.lit(f" rows, more than the {max_rows} allowed here"))
         .alias("reason"))
     broken = located.filter("problem is not null").select(
         "path", F.concat(F.lit("could not parse as csv: "), F.col("problem")).alias("reason"))
-    usable = located.filter((F.col("grid_rows") <= max_rows + HEADER_SCAN_LIMIT) & F.col("problem").isNull())
+    usable = located.filter(~over & F.col("problem").isNull())
 
     lines = grid.select("path", "row_no", "cells").join(
         usable.select("path", "header_row", "headers"), "path")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tieout.session import new_folder
 from tieout.vocab import TERMINAL_STATES
@@ -72,6 +73,26 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drain_counts(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Run a stream of counts over what its source holds now and read the counts as they stand at the end.
+
+    Every micro-batch writes the counts it changed, open windows too, into a folder of its own, so that a
+    batch that is run again writes the same one; of each key the last batch's count holds.
+    """
+    spark = stream.sparkSession
+    out, marks = new_folder(spark, label), new_folder(spark, f"{label}-marks")
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = (stream.writeStream.option("checkpointLocation", marks).outputMode("update").trigger(availableNow=True)
+             .foreachBatch(write).start())
+    query.awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    held = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+    return held.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*")
+
+
 def last_states(rows: DataFrame) -> DataFrame:
     """From the emitted transitions: where each run stands."""
     return rows.groupBy("run_id").agg(F.max_by("state", F.struct("at", "event_id")).alias("state"),
