@@ -841,7 +841,7 @@ def fault_split_payment(spark, sf):
 
 @query
 def faulted_run(spark, sf):
-    """A run over chained corruptions, one victim each; never a false match."""
+    """A run over chained corruptions, one victim each, with its figures against the answer key."""
     books, key = _corrupted(spark, sf, *faults.planned(spark, [
         "duplicate_payment", "shift_date:45", "alter_amount:-150000", "delete_bank_line", "scramble_narration",
         "split_payment", "inject_unrelated_credit"]))
