@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,6 +27,20 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, f"llm-{label}")
 
 
+def sampled(rows: DataFrame, group: str, key: str, size: int) -> DataFrame:
+    """Up to `size` rows (group, key) of each group: those with the lowest hashes of the key.
+
+    Rows far above a group's share are left out before they are ranked, so ranking a group reads
+    about three times `size` rows however large the group is.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    place = F.shiftrightunsigned(F.xxhash64(key), 1) / F.lit(float(1 << 63))
+    likely = rows.join(counts, group).where(place * F.col("_n") < 3 * size)
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
+    return (likely.select(group, key, F.row_number().over(order).alias("_rank"))
+            .where(F.col("_rank") <= size).select(group, key))
+
+
 def map_texts(docs: DataFrame, keys: list[str], text: str, schema: str, start: Callable[[], Callable]) -> DataFrame:
     """Run a function over every text, Arrow batch by Arrow batch.
 
