@@ -22,4 +22,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_main_text, op2_language, op3_contaminated, op4_bpe_round_trip, op5_vector_duplicates, op6_repeated_bytes,
         op7_repeated_passages, op8_lm_score, op9_toxicity, op10_simhash_near_duplicates)
 }
-SQL: dict[str, str] = {}
+# Brute force in DuckDB. The others need learned weights, XXH64, crc32 or byte-pair merges.
+SQL: dict[str, str] = {
+    "op3_contaminated": r"""
+WITH item AS MATERIALIZED (SELECT *, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)),
+part AS MATERIALIZED (SELECT item_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS s FROM item, unnest(range(n - 4)) AS t(i)),
+part_count AS (SELECT item_id, n, s, count(*) AS c FROM part GROUP BY ALL),
+doc AS (SELECT doc_id, w, len(w) AS m FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
+cut AS MATERIALIZED (SELECT doc_id, m, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM doc, unnest(range(m - 4)) AS t(p)),
+laid AS MATERIALIZED (
+  SELECT DISTINCT doc_id, n, greatest(0, least(p - i, m - n)) AS start, least(n, m) AS size
+  FROM cut JOIN (SELECT DISTINCT n, i, s FROM part) USING (s)),
+held AS (
+  SELECT doc_id, n, start, size, s, count(*) AS c FROM laid JOIN cut USING (doc_id)
+  WHERE p BETWEEN start AND start + size - 5 GROUP BY ALL),
+compared AS (
+  SELECT doc_id, item_id, n, start, CAST(sum(least(h.c, q.c)) AS BIGINT) AS shared, min(size) + min(n) - 8 AS total
+  FROM held h JOIN part_count q USING (n, s) GROUP BY ALL)
+SELECT doc_id, item_id, start AS start_word, n AS n_words, shared / CAST(total - shared AS DOUBLE) AS similarity FROM compared
+WHERE shared / CAST(total - shared AS DOUBLE) >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1""",
+    "op5_vector_duplicates": """
+WITH RECURSIVE able AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+pairs AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM able a JOIN able b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+named AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM named""",
+    "op6_repeated_bytes": """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, unnest(range(n - 49)) AS t(p)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE first < doc_id),
+edge AS (SELECT *, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, -1) AS fresh FROM hit),
+run AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM edge),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, g),
+piece AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS was FROM span),
+gone AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS kept
+  FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)""",
+}
