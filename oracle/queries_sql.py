@@ -154,10 +154,11 @@ MATCHING = {
         "SELECT id, value_date, credit, CAST(sum(credit) OVER (ORDER BY value_date, id) AS BIGINT) AS balance FROM bank"),
     "subset_sums": over_books(
         "SELECT settlement_id, target, CASE WHEN count(*) FILTER (ok) = 1 THEN any_value(picked) FILTER (ok) END AS subset, "
-        "count(*) FILTER (ok) AS solutions FROM (SELECT settlement_id, target, "
+        "count(*) FILTER (ok) AS solutions, (SELECT greatest(count(*) - 8, 0) FROM pay WHERE pay.settlement_id = c.settlement_id) AS left_out "
+        "FROM (SELECT settlement_id, target, "
         "list_sum([g FOR g, i IN gs IF (m >> (i - 1)) & 1 = 1]) = target AS ok, "
         "array_to_string([p FOR p, i IN ids IF (m >> (i - 1)) & 1 = 1], ',') AS picked "
-        "FROM offered, generate_series(1, 255) AS s(m) WHERE m < (1 << len(ids))) GROUP BY settlement_id, target",
+        "FROM offered, generate_series(1, 255) AS s(m) WHERE m < (1 << len(ids))) AS c GROUP BY settlement_id, target",
         "few AS (SELECT settlement_id, id, gross, row_number() OVER (PARTITION BY settlement_id ORDER BY ord) AS rn FROM pay "
         "WHERE settlement_id IS NOT NULL QUALIFY rn <= 8), "
         "offered AS (SELECT settlement_id, list(id ORDER BY rn) AS ids, list(gross ORDER BY rn) AS gs, "

@@ -30,21 +30,18 @@ def payer_similarity(left: Column, right: Column) -> Column:
 def subset_sum(targets: DataFrame, limit: int = SUBSET_CANDIDATES) -> DataFrame:
     """For (target, candidates array<struct<id, gross>>): the one subset that sums to the target.
 
-    The first `limit` candidates are tried in all combinations, one bit mask each;
-    no subset or more than one gives null. Amounts are positive.
+    The first `limit` candidates are tried in all combinations; no subset or more than one gives
+    null. The sums of all combinations come from doubling: every candidate appends the sums so far
+    plus itself, so that a sum's place is the bit mask of its candidates. Amounts are positive.
     """
-    tried = F.slice("candidates", 1, limit)
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("tried")) - 1)
-
-    def chosen(mask: Column) -> Column:
-        return F.filter("tried", lambda c, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)
-
-    def total(mask: Column) -> Column:
-        return F.aggregate(chosen(mask), F.lit(0).cast("long"), lambda acc, c: acc + c["gross"])
-
-    found = F.when(F.size("tried") > 0, F.filter(masks, lambda m: total(m) == F.col("target")))
-    rows = targets.withColumn("tried", tried).withColumn("found", F.coalesce(found, F.array().cast("array<int>")))
-    single = F.size("found") == 1
-    ids = F.transform(chosen(F.try_element_at("found", F.lit(1))), lambda c: c["id"])
-    return rows.withColumn("subset", F.when(single, ids)).withColumn(
-        "solutions", F.size("found").cast("long")).drop("tried", "found")
+    sums = F.aggregate("tried", F.array(F.lit(0).cast("long")), lambda sums, c: F.concat(
+        sums, F.transform(sums, lambda value: value + c["gross"])))
+    hits = F.array_compact(F.transform("sums", lambda value, mask: F.when((mask > 0) & (value == F.col("target")), mask)))
+    rows = targets.withColumn("tried", F.coalesce(F.slice("candidates", 1, limit), F.array().cast(
+        targets.schema["candidates"].dataType)))
+    rows = rows.withColumn("sums", sums).withColumn("found", hits)
+    mask = F.try_element_at("found", F.lit(1))
+    chosen = F.filter("tried", lambda c, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)
+    ids = F.transform(chosen, lambda c: c["id"])
+    return rows.withColumn("subset", F.when(F.size("found") == 1, ids)).withColumn(
+        "solutions", F.size("found").cast("long")).drop("tried", "sums", "found")

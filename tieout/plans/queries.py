@@ -21,7 +21,7 @@ from tieout.session import materialize
 from tieout.sources import codecs, mapping, records, tables
 from tieout.streaming import trace, usage
 from tieout.streaming.incremental import OpenBooks
-from tieout.vocab import exception_dimension, label_of
+from tieout.vocab import SUBSET_CANDIDATES, exception_dimension, label_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,7 +56,11 @@ def _snapshot(spark: SparkSession, sf: str) -> int | None:
 
 def _run(spark: SparkSession, sf: str) -> Run:
     def build() -> Run:
-        run = reconcile(fixture.books(spark, sf))
+        books = fixture.books(spark, sf)
+        # Written once: every step of a run reads the books again.
+        books = books.replaced(**{name: materialize(getattr(books, name), name) for name in
+                                  ("invoices", "payments", "settlements", "membership", "bank_lines")})
+        run = reconcile(books)
         return replace(run, groups=materialize(run.groups, "groups"), members=materialize(run.members, "members"),
                        exceptions=materialize(run.exceptions, "exceptions"))
     return _stored(spark, sf, "run", build)
@@ -464,15 +468,17 @@ def subset_sums(spark, sf):
     books = fixture.books(spark, sf)
     paid = books.payments.filter("settlement_id is not null")
     rank = F.row_number().over(Window.partitionBy("settlement_id").orderBy("ord"))
-    few = paid.select("settlement_id", "id", "gross", "ord").withColumn("rn", rank).filter("rn <= 8")
-    # At most eight rows per settlement from here on.
+    tried = SUBSET_CANDIDATES
+    few = paid.select("settlement_id", "id", "gross", "ord").withColumn("rn", rank).filter(F.col("rn") <= tried)
+    # At most eight rows per settlement from here on; how many more there are is counted.
     offered = few.groupBy("settlement_id").agg(
         F.array_sort(F.collect_list(F.struct("rn", "id", "gross"))).alias("c"),
         F.sum(F.when(F.col("rn").isin(2, 3, 5), F.col("gross"))).alias("target"))
-    offered = offered.select("settlement_id", "target", F.transform(
+    offered = offered.join(paid.groupBy("settlement_id").agg(F.count("*").alias("payments")), "settlement_id")
+    offered = offered.select("settlement_id", "target", F.greatest(F.col("payments") - tried, F.lit(0)).alias("left_out"), F.transform(
         "c", lambda c: F.struct(c["id"].alias("id"), c["gross"].alias("gross"))).alias("candidates"))
     found = similarity.subset_sum(offered)
-    return found.select("settlement_id", "target", _joined("subset").alias("subset"), "solutions")
+    return found.select("settlement_id", "target", _joined("subset").alias("subset"), "solutions", "left_out")
 
 
 @query
