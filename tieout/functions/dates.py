@@ -9,8 +9,9 @@ from tieout.functions.text import let, quoted, strip
 
 IST_OFFSET_SECONDS = 19800
 _EXCEL_EPOCH = "1899-12-30"
-_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
+# Written dates and times that are understood (fixed values).
 _ISO_DAY = "(\\d{4}-\\d{2}-\\d{2}|\\d{8}|\\d{4}-W\\d{2}(?:-\\d)?|\\d{4}W\\d{2}\\d?)"
 _ISO_TIME = "(\\d{2})(?::?(\\d{2})(?::?(\\d{2})(?:[.,]\\d+)?)?)?"
 _ISO_ZONE = "(?:([+-])(\\d{2})(?::?(\\d{2})(?::?(\\d{2})(?:\\.\\d+)?)?)?)?"

@@ -38,11 +38,6 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(f"[^{_SPACE[1:]}")
 
 
-def normalise_header(header: Column) -> Column:
-    """Lower case, everything but letters and digits to single spaces."""
-    return F.trim(F.regexp_replace(F.lower(header), "[^\\p{L}\\p{N}]+", " "))
-
-
 def header_signature(headers: Column) -> Column:
     """sha256 over the trimmed, lower-cased, collapsed headers in file order."""
     shaped = F.transform(headers, lambda h: collapse(F.lower(h)))

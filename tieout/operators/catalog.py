@@ -17,12 +17,6 @@ def for_user(rows: DataFrame, user_id) -> DataFrame:
     return rows.filter(F.col("user_id") == user_id)
 
 
-def require_role(role: str) -> str:
-    if role not in ROLES:
-        raise ValueError(f"unknown role {role!r}; expected one of: {', '.join(ROLES)}")
-    return role
-
-
 def newest_per_user(rows: DataFrame, limit: int = 10) -> DataFrame:
     """Each user's newest rows; the limit is applied inside partitions before the shuffle."""
     if not 0 < limit <= 50:

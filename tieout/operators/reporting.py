@@ -10,6 +10,7 @@ from tieout.functions.money import rupees
 from tieout.operators.ordering import with_ordinals
 from tieout.vocab import FORECAST_DAYS, MAX_LISTED_ROWS
 
+# The figures of a comparison (fixed values).
 COMPARABLE = ("auto_rate", "assist_rate", "open_rate", "precision", "recall", "false_matches", "records",
               "open_exceptions", "amount_at_risk", "throughput_rps", "llm_requests", "llm_tokens")
 

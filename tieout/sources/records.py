@@ -14,6 +14,7 @@ from tieout.functions.text import is_blank, strip
 from tieout.sources.mapping import field
 from tieout.vocab import MAX_REPORTED_ERRORS, PAYMENT_STATUSES
 
+# Fields of each role (fixed values).
 REQUIRED = {"ledger": ("amount", "issued_at"), "gateway": ("gross", "captured_at"),
             "settlement": ("payout", "settled_at"), "bank": ("value_date",)}
 ID_PREFIX = {"ledger": "INV", "gateway": "pay_row", "settlement": "STL", "bank": "BNK"}

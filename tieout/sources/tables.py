@@ -22,6 +22,7 @@ from tieout.functions.text import (
     collapse, filled_cells, header_names, is_blank, is_blank_row, is_summary_row, let, looks_like_header)
 from tieout.session import materialize
 
+# Thresholds of reading a table (fixed values).
 HEADER_SCAN_LIMIT = 40
 BODY_SAMPLE = 12
 MIN_BODY_AGREEMENT = 0.6

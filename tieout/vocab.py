@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("invoice", "payment", "settlement", "bank_line")
 ROLES = {"ledger": "invoice", "gateway": "payment", "settlement": "settlement", "bank": "bank_line"}
+# Statuses and states (fixed values).
 PAYMENT_STATUSES = ("captured", "refunded", "failed", "disputed")
 REVERSED_STATUSES = ("refunded", "disputed")
 RUN_STATES = ("queued", "normalising", "matching", "triaging", "explaining", "scoring", "complete", "failed")
@@ -18,7 +19,6 @@ FEE_BAND_BPS = 300
 INVOICE_WINDOW_BUSINESS_DAYS = 5
 BANK_CREDIT_WINDOW_DAYS = 5
 SUBSET_CANDIDATES = 8
-PAYER_SIMILARITY_THRESHOLD = 0.88
 CONFIDENCE = {"P1": 1.00, "P2": 0.99, "P3": 0.95, "P4": 0.90}
 FORECAST_DAYS = 14
 SECONDS_PER_MANUAL_MATCH = 90
