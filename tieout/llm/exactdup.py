@@ -21,7 +21,6 @@ rows; an empty table gives an empty table; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,8 @@ from .suffixarray import suffix_arrays
 
 WINDOW = 50
 ANCHORS = (24, 44, 50)
-CHUNK = 2 << 20
+# Bytes of text in a chunk, and for each bucket that compares runs.
+CHUNK, STRETCHES = 2 << 20, 2 << 20
 # Bytes hashed at once, bytes of one string of runs, and bytes of strings worked on together.
 PIECE, STRING, TOGETHER = 1 << 20, 1 << 15, 1 << 20
 LAST = np.iinfo("i8").max
@@ -113,6 +113,11 @@ class Runs:
         return start, windows, key, content, owner[head]
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """A chunk's rows arrive in any order; every round must cut the same runs from them."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts as bytes, where each ends, and their ids."""
     texts = table.column("text").combine_chunks()
@@ -129,7 +134,7 @@ def _firsts(sorted_: np.ndarray) -> np.ndarray:
 
 def _anchors(table: pa.Table, buckets: int) -> pa.Table:
     """Round 1: a chunk's distinct anchors, and whether two of its documents have them."""
-    data, ends, ids = _texts(table)
+    data, ends, ids = _texts(_in_order(table))
     runs = Runs(data, ends, ANCHORS[0])
     order = np.argsort(runs.key)
     keys, owners = runs.key[order], ids[runs.owner[order]]
@@ -198,7 +203,7 @@ def _stretches(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
     if not docs.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
-    asked = Asked(docs, answers)
+    asked = Asked(_in_order(docs), answers)
     which, cuts = _owners(asked.key, buckets)
     start, sizes = asked.start[asked.heads], asked.windows[asked.heads] + WINDOW - 1
     columns = [[squeezed(asked.key[a:b], rising=True), squeezed(asked.content[a:b]), squeezed(asked.first[a:b]),
@@ -335,6 +340,7 @@ def _removed(docs: pa.Table, answers: pa.Table) -> pa.Table:
     if not docs.num_rows:
         return pa.table([docs.column("doc_id"), docs.column("row"), *[pa.array([], t) for _, t in kind]],
                         names=["doc_id", "row", *[n for n, _ in kind]])
+    docs = _in_order(docs)
     asked = Asked(docs, answers.filter(answers.column("round").to_numpy() == 1) if answers.num_rows else answers)
     later = (answers.filter(answers.column("round").to_numpy() == 2) if answers.num_rows else answers).sort_by("bucket")
     steps, offsets, first = (_joined(_all(later, name)).view("i8") for name in ("steps", "offsets", "docs"))
@@ -376,7 +382,7 @@ def remove_repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
         *[c for c in docs.columns if c != text]).alias("row"))
     total = text_bytes(source, "text")
     by_chunk = deal(source, ["doc_id", "text"], total, CHUNK).groupBy("chunk")
-    buckets, coarse = buckets_for(total / 14), buckets_for(total / 40)
+    buckets, coarse = buckets_for(total / 14), max(8, total // STRETCHES)
     asked = by_chunk.applyInArrow(lambda t: _anchors(t, buckets),
                                   "chunk int, bucket int, keys binary, several binary")
     shared = asked.groupBy("bucket").applyInArrow(_shared, "chunk int, bucket int, shared binary")
