@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tieout.functions.text import request_key
+from tieout.operators.joins import spread_nulls
 from tieout.vocab import ROLES, RUN_STATES, TERMINAL_STATES
 
 MAX_PAGE = 200
@@ -111,9 +112,11 @@ def dataset_of_run(runs: DataFrame, datasets: DataFrame, files: DataFrame) -> Da
     """
     sets = datasets.select(F.col("id").alias("dataset_id"), "name", F.col("status").alias("dataset_status"), "has_truth")
     kept = files.select("dataset_id", "role", "row_count", "valid_count")
-    joined = runs.select(F.col("id").alias("run_id"), "dataset_id").join(sets, "dataset_id", "left").join(
-        kept, "dataset_id", "left")
-    return joined.withColumn("has_truth_file", F.coalesce("has_truth", F.col("dataset_id").isNull())).drop("has_truth")
+    own = runs.select(F.col("id").alias("run_id"), F.col("dataset_id").alias("named"),
+                      spread_nulls(F.col("dataset_id"), "id").alias("dataset_id"))
+    joined = own.join(sets, "dataset_id", "left").join(kept, "dataset_id", "left")
+    return (joined.withColumn("has_truth_file", F.coalesce("has_truth", F.col("named").isNull())).drop("has_truth")
+            .withColumn("dataset_id", F.col("named")).drop("named"))
 
 
 def stage_order() -> Column:

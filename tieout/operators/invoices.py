@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tieout.functions.calendar import add_business_days
 from tieout.functions.money import band_limits
 from tieout.model import Books
+from tieout.operators.joins import spread_nulls
 from tieout.session import materialize
 from tieout.vocab import INVOICE_WINDOW_BUSINESS_DAYS
 
@@ -98,7 +99,9 @@ def resolve_invoices(books: Books, payments: DataFrame) -> DataFrame:
     step is written out, so the second touches only the payments it left open.
     """
     references = invoice_references(books)
-    cited = payments.join(references, (payments.invoice_ref == references.ref) & (payments.invoice_ref != ""), "left")
+    asked = payments.withColumn("cited_ref", spread_nulls(
+        F.when(F.col("invoice_ref") != "", F.col("invoice_ref")), *payments.columns))
+    cited = asked.join(references, F.col("cited_ref") == references.ref, "left")
     cited = materialize(cited.select(*payments.columns, "ref_hits", "ref_invoice_id"), "cited")
     how = F.when(F.col("ref_hits") == 1, "ref").otherwise("ref_ambiguous")
     by_reference = cited.filter("ref_hits is not null").select(

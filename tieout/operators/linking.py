@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions.narration import canonical_utr, utrs
 from tieout.model import Books
+from tieout.operators.joins import spread_nulls
 from tieout.vocab import BANK_CREDIT_WINDOW_DAYS
 
 LINKED, LATE, AMBIGUOUS, UNMATCHED = "linked", "late", "ambiguous", "unmatched"
@@ -29,8 +30,8 @@ def bank_references(books: Books) -> DataFrame:
 def link_settlements(books: Books, window_days: int = BANK_CREDIT_WINDOW_DAYS) -> DataFrame:
     """Every settlement with its link status, and the line where exactly one qualifies."""
     settlements = books.indexed("settlement")
-    cited = settlements.withColumn(
-        "own_utr", F.when(F.coalesce(F.col("utr"), F.lit("")) != "", canonical_utr(F.col("utr"))))
+    cited = settlements.withColumn("own_utr", spread_nulls(
+        F.when(F.coalesce(F.col("utr"), F.lit("")) != "", canonical_utr(F.col("utr"))), "id"))
     references = bank_references(books)
     joined = cited.join(
         references, (cited.own_utr == references.bank_utr) & (cited.payout == references.credit), "left")
