@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from oracle.books_sql import over, over_books, over_run, over_truth, two_batches
+from oracle.books_sql import EXACT, TRUTH, over, over_books, over_run, over_truth, two_batches
+from tieout.functions.narration import NOISE_WORDS
+
 
 def grouped(paise: str) -> str:
     """Rupees in Indian grouping; DuckDB's patterns have no look-ahead."""
@@ -272,6 +274,11 @@ SCALARS = {
     "narration_references": over(
         "SELECT bank.id, coalesce(t.utr, '') AS utrs, '' AS rrns, nullif(upper(regexp_extract(narration, '(?i)\\b(NEFT|IMPS|UPI|RTGS)\\b', 1)), '') AS rail "
         "FROM bank LEFT JOIN tok t ON t.id = bank.id", "books", "links"),
+    "narration_payers": over_books(
+        "SELECT id, nullif(array_to_string(list_filter(list_transform(found, lambda t: "
+        "regexp_replace(regexp_replace(t, '[A-Za-z.&][0-9]+$', ''), '^[0-9]+[A-Za-z][.&]*', '')), "
+        "lambda w: w <> '' AND upper(w) NOT IN " + str(NOISE_WORDS) + ")[1:3], ' '), '') AS payer "
+        "FROM (SELECT id, regexp_extract_all(narration, '[0-9]*[A-Za-z][A-Za-z.&]*[0-9]*') AS found FROM bank)"),
     "gateway_references": over_books(
         "SELECT id, lpad(CAST(ord + 400000000000 AS VARCHAR), 12, '0') AS rrns, id AS pay_ids, 'order_' || lpad(CAST(ord AS VARCHAR), 8, '0') AS order_ids, "
         "coalesce(invoice_ref, '') AS invoice_tokens, CASE WHEN method = 'upi' THEN 'UPI' WHEN ord % 3 = 0 THEN 'IMPS' WHEN ord % 3 = 1 THEN 'UPI' END AS rail FROM pay"
@@ -501,5 +508,44 @@ AUDITS = {
 }
 
 
+COMPARISON = {
+    "run_comparison": over_triage(
+        "SELECT metric, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS delta_b_minus_a FROM (SELECT f.metric, f.a, f.b FROM (SELECT unnest(["
+        + ", ".join(f"{{'metric': '{name}', 'a': CAST({a} AS DOUBLE), 'b': CAST({b} AS DOUBLE)}}" for name, a, b in (
+            ("auto_rate", "auto / total", "auto / total"), ("assist_rate", "0", "assisted / total"),
+            ("open_rate", "open_a / total", "open_b / total"), ("precision", "exact_a / groups_a", "exact_b / groups_b"),
+            ("recall", "exact_a / truth", "exact_b / truth"), ("false_matches", "groups_a - exact_a", "groups_b - exact_b"),
+            ("records", "records", "records"), ("open_exceptions", "filed_a", "filed_b"), ("amount_at_risk", "risk_a", "risk_b"),
+            ("throughput_rps", "records * 1000 / millis_a", "records * 1000 / millis_b"), ("llm_requests", "calls_a", "calls_b"),
+            ("llm_tokens", "tokens_a", "tokens_b")))
+        + "]) AS f FROM counted))",
+        extra=TRUTH + "," + EXACT + """,
+both_groups AS (SELECT id FROM groups UNION ALL SELECT settlement_id FROM tried WHERE prop IN (SELECT prop FROM winners)),
+both_members AS MATERIALIZED (
+  SELECT group_id, kind, id FROM members
+  UNION SELECT t.settlement_id, a.kind, a.id FROM asked_for a JOIN tried t USING (prop) WHERE prop IN (SELECT prop FROM winners)),
+both_exact AS (
+  SELECT id FROM both_groups g
+  WHERE NOT EXISTS (SELECT 1 FROM both_members m ANTI JOIN key_members t USING (group_id, kind, id)
+                    WHERE m.group_id = g.id AND m.kind IN ('invoice', 'payment'))
+    AND NOT EXISTS (SELECT 1 FROM key_members t ANTI JOIN both_members m USING (group_id, kind, id) WHERE t.group_id = g.id)),
+spent AS (SELECT user_id, count(*) AS calls, sum(floor(value)) AS tokens FROM events GROUP BY 1),
+lasted AS (""" + _TRACE + """SELECT run_id, epoch_us(updated_at) // 1000 - epoch_us(created_at) // 1000 AS millis FROM standing),
+counted AS (
+  SELECT (SELECT count(*) FROM inv) + (SELECT count(*) FROM pay) + (SELECT count(*) FROM stl) + (SELECT count(*) FROM bank) AS records,
+    (SELECT count(*) FROM pay) AS total, (SELECT count(DISTINCT id) FROM members WHERE kind = 'payment') AS auto,
+    (SELECT count(DISTINCT id) FROM asked_for WHERE kind = 'payment' AND prop IN (SELECT prop FROM winners)) AS assisted,
+    (SELECT count(DISTINCT record_id) FROM exc WHERE kind = 'payment') AS open_a,
+    (SELECT count(DISTINCT record_id) FROM final_exc WHERE kind = 'payment') AS open_b,
+    (SELECT count(*) FROM exact) AS exact_a, (SELECT count(*) FROM both_exact) AS exact_b,
+    (SELECT count(*) FROM groups) AS groups_a, (SELECT count(*) FROM both_groups) AS groups_b,
+    (SELECT count(*) FROM key_groups) AS truth, (SELECT count(*) FROM exc) AS filed_a, (SELECT count(*) FROM final_exc) AS filed_b,
+    (SELECT sum(amount_at_risk) FROM exc) AS risk_a, (SELECT sum(amount_at_risk) FROM final_exc) AS risk_b,
+    (SELECT calls FROM spent WHERE user_id = 1) AS calls_a, (SELECT calls FROM spent WHERE user_id = 2) AS calls_b,
+    (SELECT tokens FROM spent WHERE user_id = 1) AS tokens_a, (SELECT tokens FROM spent WHERE user_id = 2) AS tokens_b,
+    (SELECT millis FROM lasted WHERE run_id = 'run-1') AS millis_a, (SELECT millis FROM lasted WHERE run_id = 'run-2') AS millis_b)"""),
+}
+
+
 def statements() -> dict[str, str]:
-    return {**MATCHING, **SCORING, **REPORTING, **SCALARS, **FILES, **CATALOG, **FAULTS, **AUDITS}
+    return {**MATCHING, **SCORING, **REPORTING, **SCALARS, **FILES, **CATALOG, **FAULTS, **AUDITS, **COMPARISON}
