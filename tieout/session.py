@@ -36,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
 def local_scratch(spark: SparkSession) -> SparkSession:
     """For entry points on one machine: name a new folder where the session has none; never on a cluster."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)):
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set(SCRATCH, tempfile.mkdtemp(prefix="tieout-"))
     return spark
