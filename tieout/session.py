@@ -15,31 +15,29 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
 
-# Names the shared folder where spark.checkpoint.dir is unset: tests and local runs.
+# Names the shared folder of a session on one machine that has no spark.checkpoint.dir.
 SCRATCH = "spark.tieout.scratch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor can reach, as the session names it; an error without one."""
+    """The folder that every executor can reach, as the session names it.
+
+    On a cluster a session without one is an error. On one machine it gets a new folder, once.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)
     if not named:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return named.rstrip("/")
-
-
-def local_scratch(spark: SparkSession) -> SparkSession:
-    """For entry points on one machine: name a new folder where the session has none; never on a cluster."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)):
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set(SCRATCH, tempfile.mkdtemp(prefix="tieout-"))
-    return spark
+        named = tempfile.mkdtemp(prefix="tieout-")
+        spark.conf.set(SCRATCH, named)
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
