@@ -75,6 +75,26 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[:len(have) - rest], have[rest:]) if rest else have
 
 
+def _content(grams: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of whole runs from the hashes of their 24-byte strings, which overlap to cover them."""
+    step, out = ANCHORS[0], sizes.astype("u8")
+    for spot in (starts, starts + step, starts + sizes - 2 * step, starts + sizes - step):
+        out = mixed(out * np.uint64(_POWER) + grams[spot])
+    return out
+
+
+def contents(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of runs that lie one after the other, a bounded number of bytes at a time."""
+    ends, out, at = np.cumsum(sizes), [np.zeros(0, "u8")], 0
+    while at < len(sizes):
+        begin = ends[at] - sizes[at]
+        stop = max(int(np.searchsorted(ends, begin + PIECE, "right")), at + 1)
+        grams = gram_hashes(data[begin:ends[stop - 1]], ANCHORS[0])
+        out.append(_content(grams, ends[at:stop] - sizes[at:stop] - begin, sizes[at:stop]))
+        at = stop
+    return np.concatenate(out)
+
+
 class Runs:
     """Runs of windows with one anchor: first window, number of windows, key, hash of all bytes, owner."""
 
@@ -105,11 +125,9 @@ class Runs:
         start, size = place[head], windows + WINDOW - 1
         if anchor != ANCHORS[0]:
             grams = gram_hashes(part, ANCHORS[0])
-        rel, step = start - first, ANCHORS[0]
-        content = size.astype("u8")
-        for spot in (rel, rel + step, rel + size - 2 * step, rel + size - step):
-            content = mixed(content * np.uint64(_POWER) + grams[spot])
-        key = (gram_hashes(part, anchor) if anchor != ANCHORS[0] else grams)[at[head]]
+        content = _content(grams, start - first, size)
+        # anchors are least hashes, which crowd at the low end: mixed again, keys spread over all buckets
+        key = mixed((gram_hashes(part, anchor) if anchor != ANCHORS[0] else grams)[at[head]])
         return start, windows, key, content, owner[head]
 
 
@@ -199,17 +217,17 @@ class Asked:
 
 def _stretches(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """Round 2: the different runs of a chunk on shared anchors, with their bytes and first documents."""
-    names = ["chunk", "bucket", "keys", "contents", "firsts", "sizes", "bytes"]
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    names = ["chunk", "bucket", "keys", "firsts", "sizes", "bytes"]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
     if not docs.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
     asked = Asked(_in_order(docs), answers)
     which, cuts = _owners(asked.key, buckets)
     start, sizes = asked.start[asked.heads], asked.windows[asked.heads] + WINDOW - 1
-    columns = [[squeezed(asked.key[a:b], rising=True), squeezed(asked.content[a:b]), squeezed(asked.first[a:b]),
-                squeezed(sizes[a:b]), _gather(asked.data, start[a:b], sizes[a:b]).tobytes()] for a, b in cuts]
+    columns = [[squeezed(asked.key[a:b], rising=True), squeezed(asked.first[a:b]), squeezed(sizes[a:b]),
+                _gather(asked.data, start[a:b], sizes[a:b]).tobytes()] for a, b in cuts]
     return pa.table([pa.array(np.full(len(which), docs.column("chunk")[0].as_py(), "i4")), which,
-                     *[pa.array([row[k] for row in columns], pa.binary()) for k in range(5)]], names=names)
+                     *[pa.array([row[k] for row in columns], pa.binary()) for k in range(4)]], names=names)
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -307,11 +325,12 @@ def _resolved(table: pa.Table) -> pa.Table:
     """Round 2, bucket: for each run that was sent, the documents that first had its windows, as steps."""
     keys = _all(table, "keys", rising=True)
     counts = [len(k) for k in keys]
-    keys, contents = _joined(keys), _joined(_all(table, "contents"))
+    keys = _joined(keys)
     firsts, sizes = (_joined(_all(table, name)).view("i8") for name in ("firsts", "sizes"))
     data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), "u1")
-    sort = np.lexsort((firsts, contents, keys))
-    new = np.concatenate([[True], (keys[sort][1:] != keys[sort][:-1]) | (contents[sort][1:] != contents[sort][:-1])])
+    content = contents(data, sizes)
+    sort = np.lexsort((firsts, content, keys))
+    new = np.concatenate([[True], (keys[sort][1:] != keys[sort][:-1]) | (content[sort][1:] != content[sort][:-1])])
     heads, kind = sort[new], np.empty(len(sort), "i8")
     kind[sort] = np.cumsum(new) - 1
     starts = np.cumsum(sizes) - sizes
@@ -388,7 +407,7 @@ def remove_repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
     shared = asked.groupBy("bucket").applyInArrow(_shared, "chunk int, bucket int, shared binary")
     sent = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(
         lambda d, a: _stretches(d, a, coarse),
-        "chunk int, bucket int, keys binary, contents binary, firsts binary, sizes binary, bytes binary")
+        "chunk int, bucket int, keys binary, firsts binary, sizes binary, bytes binary")
     found = sent.groupBy("bucket").applyInArrow(
         _resolved, "chunk int, bucket int, steps binary, offsets binary, docs binary")
     answers = shared.withColumn("round", F.lit(1)).unionByName(found.withColumn("round", F.lit(2)), allowMissingColumns=True)
@@ -399,5 +418,5 @@ def remove_repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(read(spark, sf_dir, "documents"), "doc_id", "text")
+    done = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
