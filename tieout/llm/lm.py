@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import bucket_of, buckets_for, deal, flat, mixed, packed, text_bytes
+from .chunks import bucket_of, buckets_for, deal, mixed, squeezed, text_bytes, unsqueezed
 from .common import fold, read
 
 ORDER, PRIOR, SMOOTH = 2, 4.0, 0.1
@@ -113,23 +113,24 @@ def _totals(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _rows(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
     """Keys rise, and so do their buckets: one row for each bucket that is asked."""
-    owner = bucket_of(keys, buckets)
-    which, first = np.unique(owner, return_index=True)
+    which, first = np.unique(bucket_of(keys, buckets), return_index=True)
     ends = np.concatenate([first[1:], [len(keys)]])
     return pa.table({
         "chunk": pa.array(np.full(len(which), chunk, "i4")), "bucket": pa.array(which.astype("i4")),
-        "keys": packed(keys.view("i8"), ends), "counts": packed(counts.astype("i4"), ends)})
+        "keys": pa.array([squeezed(keys[a:b], rising=True) for a, b in zip(first, ends, strict=False)], pa.binary()),
+        "counts": pa.array([squeezed(counts[a:b]) for a, b in zip(first, ends, strict=False)], pa.binary())})
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """A bucket's totals, sent back in the order in which each chunk asked."""
-    keys, sizes = flat(table.column("keys"))
-    counts, _ = flat(table.column("counts"))
-    distinct, place = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(distinct), "i8")
+    keys = [unsqueezed(k, rising=True) for k in table.column("keys").to_pylist()]
+    counts = np.concatenate([unsqueezed(c) for c in table.column("counts").to_pylist()])
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(distinct), "u8")
     np.add.at(total, place, counts)
+    answers = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
     return pa.table({"chunk": table.column("chunk").combine_chunks(), "bucket": table.column("bucket").combine_chunks(),
-                     "totals": packed(total[place], np.cumsum(sizes))})
+                     "totals": pa.array([squeezed(a) for a in answers], pa.binary())})
 
 
 def _score(docs: pa.Table, answers: pa.Table, order: int, prior: float, train_tokens: int, kinds: int) -> pa.Table:
@@ -140,7 +141,8 @@ def _score(docs: pa.Table, answers: pa.Table, order: int, prior: float, train_to
     tokens, ends = token_hashes(docs.column("text").to_pylist())
     runs, before = grams(tokens, ends, order), contexts(tokens, ends, order)
     distinct = np.unique(np.concatenate([*runs, *_beginnings(ends, order)]))
-    totals, _ = flat(answers.sort_by("bucket").column("totals"))  # keys rise with their buckets
+    # keys rise with their buckets
+    totals = np.concatenate([unsqueezed(t) for t in answers.sort_by("bucket").column("totals").to_pylist()]).view("i8")
     counts = [totals[np.searchsorted(distinct, keys)] for keys in runs]
     one = counts[0].astype("f8")
     share = (one + SMOOTH) / (train_tokens + SMOOTH * (kinds + 1))
@@ -172,10 +174,10 @@ def vocabulary(docs: DataFrame, total: int) -> tuple[int, int]:
                 yield from asked.append_column("tokens", said).select(["bucket", "keys", "tokens"]).to_batches()
 
     def count(table: pa.Table) -> pa.Table:
-        return pa.table({"kinds": [len(np.unique(flat(table.column("keys"))[0]))],
+        return pa.table({"kinds": [len(np.unique(np.concatenate([unsqueezed(k, rising=True) for k in table.column("keys").to_pylist()])))],
                          "tokens": [sum(table.column("tokens").to_pylist())]})
 
-    asked = docs.select("text", "train").mapInArrow(words, "bucket int, keys array<bigint>, tokens bigint")
+    asked = docs.select("text", "train").mapInArrow(words, "bucket int, keys binary, tokens bigint")
     found = asked.groupBy("bucket").applyInArrow(count, "kinds bigint, tokens bigint").agg(
         F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     return found[0], found[1]
@@ -190,8 +192,8 @@ def score(docs: DataFrame, key: str, text: str, train: F.Column, order: int = OR
     buckets = buckets_for(order * total / TOKEN_BYTES)
     id_type = marked.schema["doc_id"].dataType.simpleString()
     asked = dealt.groupBy("chunk").applyInArrow(
-        lambda t: _ask(t, order, buckets), "chunk int, bucket int, keys array<bigint>, counts array<int>")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, totals array<bigint>")
+        lambda t: _ask(t, order, buckets), "chunk int, bucket int, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, totals binary")
     scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         lambda d, a: _score(d, a, order, prior, train_tokens, kinds),
         f"doc_id {id_type}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
