@@ -98,16 +98,16 @@ def contents(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Runs:
     """Runs of windows with one anchor: first window, number of windows, key, hash of all bytes, owner."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, anchor: int):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, anchor: int, hashed: bool = True):
         found: list[list[np.ndarray]] = [[] for _ in range(5)]
         for first in range(0, max(len(data) - WINDOW + 1, 0), PIECE):
-            for kept, part in zip(found, self._piece(data, ends, first, anchor), strict=True):
+            for kept, part in zip(found, self._piece(data, ends, first, anchor, hashed), strict=True):
                 kept.append(part)
         kinds = ("i8", "i8", "u8", "u8", "i8")
         self.start, self.windows, self.key, self.content, self.owner = (
             np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(found, kinds, strict=True))
 
-    def _piece(self, data, ends, first, anchor) -> tuple:
+    def _piece(self, data, ends, first, anchor, hashed) -> tuple:
         part = data[first:first + PIECE + WINDOW - 1]
         grams = gram_hashes(part, anchor)
         width = WINDOW - anchor + 1
@@ -115,9 +115,11 @@ class Runs:
         where = np.arange(len(grams), dtype="u8")
         least = sliding_least(grams & np.uint64(0xFFFFFFFFFF000000) | where, width)
         at = (least & np.uint64(0xFFFFFF)).astype("i8")
-        place = first + np.arange(len(at))
-        owner = np.searchsorted(ends, place, "right")
-        place, at, owner = (x[place + WINDOW <= ends[owner]] for x in (place, at, owner))
+        place, last = first + np.arange(len(at)), first + len(at)
+        low, high = np.searchsorted(ends, [first, last - 1], "right")
+        many = np.diff(np.concatenate([[first], np.minimum(ends[low:high + 1], last)]))
+        inside = np.flatnonzero(place <= np.repeat(ends[low:high + 1] - WINDOW, many))  # no window leaves its text
+        place, at, owner = place[inside], at[inside], np.repeat(np.arange(low, high + 1), many)[inside]
         if not len(place):
             return tuple(np.zeros(0, k) for k in ("i8", "i8", "u8", "u8", "i8"))
         head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1)]))
@@ -125,7 +127,7 @@ class Runs:
         start, size = place[head], windows + WINDOW - 1
         if anchor != ANCHORS[0]:
             grams = gram_hashes(part, ANCHORS[0])
-        content = _content(grams, start - first, size)
+        content = _content(grams, start - first, size) if hashed else size[:0].view("u8")
         # anchors are least hashes, which crowd at the low end: mixed again, keys spread over all buckets
         key = mixed((gram_hashes(part, anchor) if anchor != ANCHORS[0] else grams)[at[head]])
         return start, windows, key, content, owner[head]
@@ -153,7 +155,7 @@ def _firsts(sorted_: np.ndarray) -> np.ndarray:
 def _anchors(table: pa.Table, buckets: int) -> pa.Table:
     """Round 1: a chunk's distinct anchors, and whether two of its documents have them."""
     data, ends, ids = _texts(_in_order(table))
-    runs = Runs(data, ends, ANCHORS[0])
+    runs = Runs(data, ends, ANCHORS[0], hashed=False)
     order = np.argsort(runs.key)
     keys, owners = runs.key[order], ids[runs.owner[order]]
     head = _firsts(keys)
