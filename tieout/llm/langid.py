@@ -24,10 +24,10 @@ from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, read
+from .common import fold, map_texts, read, sampled
 
 TOKEN = re.compile(r"[^\W\d_]+")
 SAMPLE, SAMPLE_CHARS, LEXICON = 400, 3000, 500
@@ -196,14 +196,10 @@ class Labeller:
         words = words_of(text)
         if not words:
             return []
-        p = self.field.marginals(self.bank[self._ids(words)] if self.index else self._fresh(words),
-                                 np.array([0]), np.array([len(words)]))
+        ids = self._ids(words)  # may grow the bank
+        p = self.field.marginals(self.bank[ids], np.array([0]), np.array([len(words)]))
         return [(w, self.field.names[k], float(x)) for w, k, x in zip(words, p.argmax(1), p.max(1), strict=True)]
 
-    def _fresh(self, words: list[str]) -> np.ndarray:
-        ids = self._ids(words)
-        return self.bank[ids]
-
     def languages(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if len(self.index) > REMEMBERED:
             self.index, self.used = {}, 0
@@ -236,14 +232,18 @@ class Labeller:
 
 
 def fit(docs: DataFrame, folds: int = 4, held: int = 2) -> Field | None:
-    """Train on a bounded sample of the rows outside the held-out fold."""
+    """Train on a bounded sample of the rows outside the held-out fold.
+
+    The sample is chosen without its texts; a stretch of each is then read by its ids, at most
+    SAMPLE for each language.
+    """
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
                         & (fold("doc_id", folds) != held))
+    chosen = sampled(usable.select("lang", "doc_id").distinct(), "lang", "doc_id", SAMPLE)
     place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    rows = (usable.select("lang", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("part"),
-                          F.row_number().over(ranked).alias("rank"))
-            .where(F.col("rank") <= SAMPLE).select("lang", "part").collect())
+    rows = (usable.select("lang", "doc_id", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("part"))
+            .join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("part").alias("part"))
+            .select("lang", "part").collect())
     samples: dict[str, list[str]] = {}
     for row in rows:
         samples.setdefault(row.lang, []).append(row.part)
