@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Arrow batches of long texts stay small on both sides of the pipe to Python.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
