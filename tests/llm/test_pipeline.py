@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.cases import odd_rows, prose, table
-from tieout.llm import decontaminate, toxicity
+from tieout.llm import decontaminate, nearcopies, toxicity
 
 
 def _tokens(text):
@@ -58,6 +58,59 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, limit):
     assert decontaminate.matches(table(spark, rows), "doc_id", "text", bench.limit(0), "item_id", "text").count() == 0
 
 
+def _word_sets(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("held", [500_000, 400])
+def test_near_copies_of_the_stage_equal_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(nearcopies, "HELD", held)
+    rng = random.Random(21)
+    rows = [r for r in odd_rows() if not r[1] or len(r[1]) < 20_000] + [(50, "a b c"), (51, "A  b\nc"), (52, "a b d")]
+    for group in range(10):
+        words = prose(group + 1500, 300).split()
+        for k in range(0, 16, 2):
+            copy = list(words)
+            for at in rng.sample(range(300), k):  # similarity 1 down to about 0.6 between two
+                copy[at] = f"changed{k}"
+            rows.append((group * 100 + 1000 + k, " ".join(copy)))
+    sets = [_word_sets(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    close = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                close += x != y
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        order = (key is None, key or 0)
+        least[root(i)] = min(least.get(root(i), order), order)
+    got = nearcopies.one_of_each(table(spark, rows), "doc_id", "text")
+    assert got.columns == table(spark, []).columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter(None if none else key for none, key in least.values())
+    assert close > 30
+    assert nearcopies.one_of_each(table(spark, []), "doc_id", "text").count() == 0
+
+
+def test_stage_drops_verified_near_copies_only(spark):
+    words = prose(1600, 200).split()
+    near, far = list(words), list(words)
+    near[50] = near[100] = near[150] = "changed"  # similarity (196 - 15) / (196 + 15) = 0.858
+    for at in range(10, 190, 20):
+        far[at] = "changed"  # 9 changes: (196 - 45) / (196 + 45) = 0.627
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    docs = table(spark, rows)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3}
+
+
 @pytest.fixture
 def folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(toxicity, "STEPS", 150)
