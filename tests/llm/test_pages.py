@@ -35,3 +35,24 @@ def test_pages_keep_rows_and_columns(spark):
     got = extract(pages, ["page_id", "url"], "html").orderBy(F.col("page_id").asc_nulls_first(), "url").collect()
     assert [tuple(r) for r in got] == [(None, "v", "", 0), (1, "u", "a", 1), (1, "u", "a", 1), (2, None, "", 0)]
     assert extract(pages.limit(0), ["page_id", "url"], "html").count() == 0
+
+
+def _section(name, count, tag="div"):
+    body = "".join(f"<p>{name}{k} " + "word " * 73 + "</p>" for k in range(count))
+    return f"<{tag}><h2>{name} heading of a part</h2>{body}</{tag}>"
+
+
+@pytest.mark.parametrize("sizes", [(3, 3), (1, 3), (3, 1), (1, 3, 5), (5, 2, 1), (4, 4, 4)])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_all_sibling_sections_are_the_article(sizes, tag):
+    parts = [_section(f"part{i}x", n, tag) for i, n in enumerate(sizes)]
+    links = "<div><p>" + " ".join(f"<a href=/{i}>elsewhere number {i} on this site</a>" for i in range(12)) + "</p></div>"
+    teaser = "<div><h3>teasertitle</h3><p>teasertext short</p></div>"
+    source = f"<html><body><div>{''.join(parts)}</div>{links}{teaser}</body></html>"
+    got = main_text(source)
+    for i, n in enumerate(sizes):
+        assert f"part{i}x heading of a part" in got
+        assert all(f"part{i}x{k} word" in got for k in range(n))
+    assert "elsewhere" not in got and "teaser" not in got
+    nested = f"<body><div>{parts[0]}<div>{''.join(parts[1:])}</div>{links}</div></body>"
+    assert all(f"part{i}x{n - 1} word" in main_text(nested) for i, n in enumerate(sizes))

@@ -5,6 +5,9 @@ characters per tag, raised or lowered by how the link share compares with the pa
 score is the sum of its children's densities, and the subtree with the largest score is the
 article. Where that subtree is the body itself, its children are kept that reach the smallest
 density on the path from the densest element up to the body, and prose that is not mostly links.
+Where it is smaller and no article or main element holds it, the elements beside it and beside those
+around it are kept too that reach that density, or have a paragraph that does, counted in characters
+per tag; a parent of several such sections also gives its prose.
 
 Before scoring, elements go that are never article text: scripts, styles, forms, menus, footers,
 sidebars, and blocks whose class, id or role says notice, advert, comments and the like.
@@ -59,6 +62,7 @@ REMARK = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?=$|[\s_-])", re.I
 LAYOUT = re.compile(r"\b(?:has|with|without|no)[_-][\w-]*", re.I)
 MARKED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure table ul ol dl".split())
+PARAGRAPHS = frozenset("p pre blockquote".split())
 CONTAINERS = frozenset(("article", "main"))
 
 
@@ -185,14 +189,37 @@ class Page:
         while best != body and self.tags[best] not in BLOCK - {"p", "li", "td", "th", "tr", "dd", "dt", "tbody", "ul",
                                                                "ol", "dl", "blockquote", "pre", "figure"}:
             best = self.parents[best]  # a paragraph, list or table belongs to the block around it
-        if best != body:
-            return {best}
         densest = max(range(body + 1, count), key=lambda i: density[i], default=body)
-        threshold = min(density[i] for i in [*self._path(densest), body] if i >= body)
+        path = [i for i in [*self._path(densest), body] if i >= body]
+        threshold = min(density[i] for i in path)
+        if best != body:
+            # density grows with an element's size, so a short section is measured by its paragraphs' plain density
+            plain, prose = min(chars[i] / max(tags[i], 1) for i in path), [False] * count
+            for i in range(count - 1, 0, -1):
+                own = self.tags[i] in PARAGRAPHS and 2 * links[i] < chars[i] and chars[i] / max(tags[i], 1) >= plain
+                prose[i] = prose[i] or own
+                prose[self.parents[i]] |= prose[i]
+            return self._with_siblings(best, body, [
+                2 * links[i] < chars[i] and (density[i] >= threshold or prose[i]) for i in range(count)],
+                [self.tags[i] in PROSE and 2 * links[i] < chars[i] for i in range(count)])
         kept = {i for i in range(body + 1, count) if self.parents[i] == body
                 and (density[i] >= threshold or self.tags[i] in PROSE and 2 * links[i] < chars[i])}
         return kept | {-body - 1}
 
+    def _with_siblings(self, best: int, body: int, sections: list[bool], prose: list[bool]) -> set[int]:
+        """The best node and, on its way up to the body, sections beside it; a parent of several also gives its prose."""
+        children: dict[int, list[int]] = {}
+        for i in range(body + 1, len(self.tags)):
+            children.setdefault(self.parents[i], []).append(i)
+        kept = {best}
+        for node in self._path(best):
+            if node <= body:
+                break
+            beside = [i for i in children[self.parents[node]] if i != node]
+            if any(sections[i] for i in beside):
+                kept |= {i for i in beside if sections[i] or prose[i]} | {-self.parents[node] - 1}
+        return kept
+
     def _path(self, node: int) -> list[int]:
         path = []
         while node > 0:
