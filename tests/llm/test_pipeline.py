@@ -58,6 +58,27 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, limit):
     assert decontaminate.matches(table(spark, rows), "doc_id", "text", bench.limit(0), "item_id", "text").count() == 0
 
 
+def test_best_window_may_start_between_alignments(spark):
+    rng = random.Random(31)
+    item = [f"w{i}" for i in range(100)]
+    items = [(1, " ".join(item)), (2, prose(1700, 40, 12)), (3, "one two three four five six seven")]
+    outside = [f"x{i}" for i in range(80)]
+    rows = [(1, " ".join([*outside, "a", "b", "c", *item[3:50], *outside[:6], *item[50:97], "d", "e", "f", *outside]))]
+    for k in range(2, 40):
+        copy = (items[k % 2][1]).split()
+        for _ in range(rng.randint(0, 7)):
+            at = rng.randrange(len(copy))
+            copy[at:at + rng.randint(0, 1)] = [f"y{i}" for i in range(rng.randint(0, 4))]
+        rows.append((k, " ".join([*outside[:rng.randint(0, 30)], *copy, *outside[:rng.randint(0, 5)]])))
+    rows += [(50, "one two three four five six"), (51, items[1][1] + " " + items[1][1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.matches(table(spark, rows), "doc_id", "text", bench, "item_id", "text").collect()
+    found = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got}
+    assert found[1, 1] == round(86 / 106, 9)
+    assert found == _brute(rows, items)
+    assert len(found) > 7
+
+
 def _word_sets(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
