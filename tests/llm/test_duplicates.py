@@ -221,6 +221,47 @@ def test_passages_equal_brute_force(spark, monkeypatch):
     assert paragraphs.removals(table(spark, []), "doc_id", "text").count() == 0
 
 
+def _brute_runs(rows):
+    """The characters of 50 words in a row that an earlier row, or place of the row, has."""
+    first, out = {}, defaultdict(set)
+    for key, text in sorted({(k, t or "") for k, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        found = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+        for at in range(len(found) - 49):
+            window = tuple(w for w, _, _ in found[at:at + 50])
+            owner, place = first.setdefault(window, (key, at))
+            if owner != key or at >= place + 50:
+                out[key] |= set(range(found[at][1], found[at + 49][2]))
+    return out
+
+
+def test_passages_inside_lines_equal_brute_force(spark):
+    rng = random.Random(17)
+    shared = [prose(2300 + k, 70).replace(".", "") for k in range(5)]
+    rows = [(k, t) for k, t in odd_rows() if t is None or len(t) < 20_000] + [(60, "same " * 130)]
+    for k in range(40):
+        words, passage = prose(k + 2400, 60).replace(".", "").split(), shared[k % 5].split()
+        if k % 4 == 3:
+            passage.insert(rng.randrange(len(passage)), "edited")
+        if k % 4 == 2:
+            passage = "\n".join([" ".join(passage[:30]), " ".join(passage[30:])]).split(" ")
+        at = rng.randrange(60)
+        rows.append((k + 100, " ".join([*words[:at], *passage, *words[at:]])))
+    rows += [(200, prose(2500, 80) + " " + shared[0] + " so. " + shared[0]), (201, rows[-1][1])]
+    want, lines = _brute_runs(rows), paragraphs.removals(table(spark, rows), "doc_id", "text").collect()
+    for r in lines:
+        want[r.doc_id] |= set(range(r.start, r.start + r.length))
+    found = paragraphs.passages(table(spark, rows), "doc_id", "text").collect()
+    assert {tuple(r) for r in lines} == {tuple(r) for r in found if r.place is not None}
+    got, total = defaultdict(set), Counter()
+    for r in found:
+        got[r.doc_id] |= set(range(r.start, r.start + r.length))
+        total[r.doc_id] += r.length
+    assert {k: v for k, v in want.items() if v} == got
+    assert all(total[k] == len(v) for k, v in got.items())  # no character twice
+    assert sum(r.place is None and r.doc_id is not None and 100 <= r.doc_id < 140 for r in found) > 15
+    assert paragraphs.passages(table(spark, []), "doc_id", "text").count() == 0
+
+
 def test_bands_reach_the_recall():
     for similarity, recall in ((0.8, 0.99), (0.8, 0.999), (0.6, 0.9)):
         bands = paragraphs.bands_for(similarity, recall)

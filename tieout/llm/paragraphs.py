@@ -1,12 +1,17 @@
 """Removal of repeated passages by MinHash banding over paragraphs.
 
 A line is cut into paragraphs after sentences chosen by a hash of their own words (every second
-one on average), so that a passage is cut alike wherever it was pasted. Paragraphs of at least
+one on average), so that a passage is mostly cut alike wherever it was pasted. Paragraphs of at least
 MIN_WORDS words get a MinHash of their five-word shingles; bands are as many as `bands_for` says
 for the wanted recall at the similarity threshold. Paragraphs that share a band meet in a bucket,
 exact Jaccard similarity verifies them there, components of the verified links are the classes,
 and every occurrence but a class's first (by document, then place) is a removal.
 
+A passage that is pasted inside a paragraph, or cut otherwise, is found word by word: RUN words in a
+row that an earlier row has, or an earlier place of the same text, are removed too, as spans beside
+the removed paragraphs. The least five-word shingle of each RUN words is its anchor; only windows on
+anchors that occur twice are hashed and compared.
+
 Equal paragraphs are one entry from the start. A bucket larger than BLOCK entries is worked in
 pairs of blocks, each a task of its own, which hand out a spanning forest instead of pairs.
 
@@ -36,6 +41,8 @@ WORD = re.compile(r"\w+")
 SHINGLE, MIN_WORDS, SIMILARITY, RECALL = 5, 8, 0.8, 0.999
 ROWS_PER_BAND = 3
 BLOCK = 2000
+# Words in a row that are a passage wherever they lie.
+RUN = 50
 # Bytes of text per paragraph, only to choose the number of buckets.
 PARAGRAPH_BYTES = 100
 
@@ -251,9 +258,169 @@ def removals(docs: DataFrame, key: str, text: str, similarity: float = SIMILARIT
             .distinct())
 
 
+def _window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every `size` words in a row, from the words' hashes, by doubling."""
+    def power(length: int) -> np.uint64:
+        return np.uint64(pow(0x9E3779B97F4A7C15, length, 1 << 64))
+
+    parts, length = {1: hashes}, 1
+    while 2 * length <= size:
+        parts[2 * length] = parts[length][:-length] * power(length) + parts[length][length:]
+        length *= 2
+    count, at, total = len(hashes) - size + 1, 0, np.zeros(len(hashes) - size + 1, "u8")
+    for length in sorted(parts, reverse=True):
+        if size & length:
+            total = total * power(length) + parts[length][at:at + count]
+            at += length
+    return mixed(total)
+
+
+def _anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a text of at least RUN words, and the least one of every window of RUN words."""
+    found = _shingled(hashes, np.array([len(hashes)]))[0]
+    least, length, size = found, 1, RUN - SHINGLE + 1
+    while 2 * length <= size:
+        least = np.minimum(least[:-length], least[length:])
+        length *= 2
+    count = len(found) - size + 1
+    return found, np.minimum(least[:count], least[size - length:size - length + count])
+
+
+def _placed(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all words."""
+    found = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+    if not found:
+        return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8")
+    words, starts, ends = zip(*found, strict=True)
+    return _hashes(list(words), known), np.array(starts), np.array(ends)
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(version, anchor, times) of each text's anchors, and one row without an anchor with its bounds."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        versions, anchors, times, low, high = [], [], [], [], []
+        for version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            hashes, starts, ends = _placed(text or "", known)
+            if len(hashes) < RUN:
+                continue
+            found, least = _anchors(hashes)
+            own = np.unique(least)
+            all_own = found[np.isin(found, own)]
+            _, count = np.unique(all_own, return_counts=True)
+            versions += [version] * (len(own) + 1)
+            anchors += [*own.view("i8").tolist(), None]
+            times += [*count.tolist(), 0]
+            low += [None] * len(own) + [int(starts[0])]
+            high += [None] * len(own) + [int(ends[-1])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(versions, pa.int64()), pa.array(anchors, pa.int64()), pa.array(times, pa.int64()),
+             pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["version", "anchor", "times", "low", "high"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, version, hash, at, start, end) of the windows of RUN words whose anchor is wanted."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        for row, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            hashes, starts, ends = _placed(text or "", known)
+            _, least = _anchors(hashes)
+            at = np.flatnonzero(np.isin(least, np.array(wanted, "i8").view("u8")))
+            one = batch.slice(row, 1)
+            same = np.zeros(len(at), "i8")
+            yield pa.RecordBatch.from_arrays(
+                [one.column(0).take(pa.array(same)), one.column(1).take(pa.array(same)),
+                 pa.array(_window_hashes(hashes, RUN)[at].view("i8")), pa.array(at.astype("i8")),
+                 pa.array(starts[at].astype("i8")), pa.array(ends[at + RUN - 1].astype("i8"))],
+                names=["key", "version", "hash", "at", "start", "end"])
+
+
+def _pieces(spans: list[dict]) -> list[dict]:
+    """Repeated windows joined into spans, less the paragraphs that are removed anyway."""
+    gone = sorted((s["start"], s["end"]) for s in spans if not s["run"])
+    joined: list[list] = []
+    for s in sorted((s for s in spans if s["run"]), key=lambda s: (s["start"], s["end"])):
+        if joined and s["start"] <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], s["end"])
+        else:
+            joined.append([s["start"], s["end"], s["hash"], s["first"]])
+    out, i = [], 0
+    for start, end, mark, first in joined:
+        while i < len(gone) and gone[i][1] <= start:
+            i += 1
+        k = i
+        while start < end:
+            cut = gone[k] if k < len(gone) and gone[k][0] < end else (end, end)
+            if start < cut[0]:
+                out.append({"start": start, "length": cut[0] - start, "hash": mark, "first": first})
+            start, k = max(start, cut[1]), k + 1
+    return out
+
+
+def repeated_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, version, start, end, hash, first) of every RUN words in a row that an earlier place has word for word.
+
+    Earlier is an earlier row, or an earlier place of the same text that doesn't overlap; `first` is the key of the
+    row that has them first and `hash` names them. A text that another row has too is one span of all its words.
+    """
+    kind = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[key]
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+    told = store(rows.select("version", "text").mapInArrow(
+        _told, "version bigint, anchor bigint, times bigint, low bigint, high bigint").distinct(), "anchors")
+    owners = store(rows.groupBy("version").agg(F.min(F.struct("key")).alias("owner")), "owners")
+    found = told.where("anchor is not null").select("version", "anchor", "times")
+    shared = found.groupBy("anchor").agg(F.min("version").alias("a"), F.max("version").alias("b"), F.max("times").alias("times"))
+    shared = shared.where("a <> b or times > 1").select("anchor")
+    wanted = found.join(shared, "anchor").groupBy("version").agg(F.collect_list("anchor").alias("wanted"))
+    wanted = wanted.join(owners, "version").select(F.col("version").alias("v"), F.col("owner.key").alias("k"), "wanted")
+    held = rows.join(wanted, rows["key"].eqNullSafe(wanted["k"]) & (rows["version"] == wanted["v"]))
+    windows = store(held.select("key", "version", "text", "wanted").mapInArrow(
+        _windows, f"key {kind}, version bigint, hash bigint, at bigint, start bigint, end bigint"), "windows")
+    place = F.struct("key", "version", "at")
+    first = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
+    own = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("version") == F.col("first.version"))
+    again = windows.join(first, "hash").where(~own | (F.col("at") >= F.col("first.at") + RUN)).select(
+        "key", "version", "start", "end", "hash", F.col("first.key").alias("first"))
+    # other rows with the same text
+    bounds = told.where("anchor is null").select("version", F.col("low").alias("start"), F.col("high").alias("end"))
+    copies = rows.select("key", "version").distinct().join(owners, "version").where(
+        ~F.col("key").eqNullSafe(F.col("owner.key"))).join(bounds, "version").select(
+        "key", "version", "start", "end", F.col("version").alias("hash"), F.col("owner.key").alias("first"))
+    return again.unionByName(copies)
+
+
+def passages(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The `removals`, and what is left of `repeated_runs` beside them: rows of the same columns without a place."""
+    taken = store(removals(docs, key, text), "removals")
+    kind = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[key]
+    runs = repeated_runs(docs, key, text).select("key", "version", F.struct(
+        F.lit(True).alias("run"), "start", "end", "hash", "first").alias("span"))
+    lines = taken.select(F.col(key).alias("key"), "version", F.struct(
+        F.lit(False).alias("run"), "start", (F.col("start") + F.col("length")).alias("end"), F.col("class_unit").alias("hash"),
+        F.col(f"first_{key}").alias("first")).alias("span"))
+    spans = runs.unionByName(lines).groupBy("key", "version").agg(F.collect_list("span").alias("spans")).where(
+        F.exists("spans", lambda s: s["run"]))
+    piece = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("hash", pa.int64())]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_pieces(s) for s in batch.column(2).to_pylist()]
+            owner = pa.array([i for i, ps in enumerate(found) for _ in ps], pa.int64())
+            flat_pieces = pa.array([[{k: p[k] for k in ("start", "length", "hash")} for ps in found for p in ps]], piece).flatten()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(owner), batch.column(1).take(owner), *flat_pieces.flatten(),
+                 pa.array([p["first"] for ps in found for p in ps], batch.schema.field(0).type)],
+                names=["key", "version", "start", "length", "hash", "first"])
+
+    rest = spans.mapInArrow(cut, f"key {kind}, version bigint, start bigint, length bigint, hash bigint, first {kind}")
+    return taken.unionByName(rest.select(
+        F.col("key").alias(key), "version", F.lit(None).cast("int").alias("place"), "start", "length",
+        F.col("hash").alias("class_unit"), F.col("first").alias(f"first_{key}")))
+
+
 def deduplicated(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_removed, removed_chars, spans) of every row; spans are (start, length, class), by place."""
-    taken = removals(docs, key, text).groupBy(F.col(key).alias("at"), "version").agg(
+    taken = passages(docs, key, text).groupBy(F.col(key).alias("at"), "version").agg(
         F.sort_array(F.collect_list(F.struct("start", "length", F.col("class_unit").alias("class")))).alias("spans"),
         F.sum("length").alias("chars"))
     rows = docs.select(F.col(key), F.xxhash64(text).alias("own"))
@@ -275,5 +442,5 @@ def kept_text(text: Column, spans: Column) -> Column:
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each passage to remove: where it is, its class and the document that keeps it."""
-    found = removals(read(spark, sf_dir, "documents"), "doc_id", "text")
+    found = passages(read(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", "place", "start", "length", F.col("class_unit").alias("class_id"), "first_doc_id")
