@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe_round_trip
 from .decontaminate import op3_contaminated
+from .divergence import op12_source_divergence
 from .exactdup import op6_repeated_bytes
 from .htmltext import op1_main_text
 from .langid import op2_language
@@ -20,7 +21,7 @@ from .vectors import op5_vector_duplicates
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_main_text, op2_language, op3_contaminated, op4_bpe_round_trip, op5_vector_duplicates, op6_repeated_bytes,
-        op7_repeated_passages, op8_lm_score, op9_toxicity, op10_simhash_near_duplicates)
+        op7_repeated_passages, op8_lm_score, op9_toxicity, op10_simhash_near_duplicates, op12_source_divergence)
 }
 # Brute force in DuckDB. The others need learned weights, XXH64, crc32 or byte-pair merges.
 SQL: dict[str, str] = {
@@ -70,4 +71,30 @@ gone AS (
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT i, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+own AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+every AS (SELECT DISTINCT lang, source FROM d),
+cell AS MATERIALIZED (  -- every group and every kept term of its language
+  SELECT lang, source, term, coalesce(n, 0) AS n, count(*) OVER (PARTITION BY lang, source) AS v,
+         sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total, sum(coalesce(n, 0)) OVER (PARTITION BY lang, term) AS lang_n
+  FROM every JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+p AS MATERIALIZED (
+  SELECT *, 1 + (1000000000::HUGEINT * (n + 1)) // (total + v) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 1)) // (sum(n) OVER (PARTITION BY lang) + v) AS q FROM cell),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+part AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM every a JOIN every b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM part QUALIFY part = 'pair' OR rank <= 200""",
 }
