@@ -13,6 +13,7 @@ from .exactdup import op6_repeated_bytes
 from .htmltext import op1_main_text
 from .langid import op2_language
 from .lm import op8_lm_score
+from .packing import op11_packed_sequences
 from .paragraphs import op7_repeated_passages
 from .periodic import op13_periodic_runs
 from .simhash import op10_simhash_near_duplicates
@@ -22,7 +23,8 @@ from .vectors import op5_vector_duplicates
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_main_text, op2_language, op3_contaminated, op4_bpe_round_trip, op5_vector_duplicates, op6_repeated_bytes,
-        op7_repeated_passages, op8_lm_score, op9_toxicity, op10_simhash_near_duplicates, op12_source_divergence, op13_periodic_runs)
+        op7_repeated_passages, op8_lm_score, op9_toxicity, op10_simhash_near_duplicates, op11_packed_sequences,
+        op12_source_divergence, op13_periodic_runs)
 }
 # Brute force in DuckDB. The others need learned weights, XXH64, crc32 or byte-pair merges.
 SQL: dict[str, str] = {
