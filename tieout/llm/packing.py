@@ -45,7 +45,7 @@ VOCABULARY, END, CAPACITY = "byte_bpe_50k.json", 1, 2048
 # Stretches that a task remembers, and the longest of them in characters.
 REMEMBERED, SHORT = 200_000, 40
 # The characters with the Unicode property White_Space.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 STRETCH = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 # Ids of a vocabulary of up to 65,536 are stored in two bytes, others in four.
 NARROW = 1 << 16
