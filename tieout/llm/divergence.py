@@ -36,7 +36,7 @@ from .common import read, store
 
 MIN_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
 # Terms that a task adds up before it emits them, bytes split at once, rows of a bucket of terms.
-HELD, BLOCK, BUCKET_ROWS = 200_000, 1 << 20, 200_000
+HELD, BLOCK, BUCKET_ROWS = 200_000, 1 << 20, 20_000
 
 LETTERS = bytes(range(ord("a"), ord("z") + 1))
 TABLE = bytes(
