@@ -11,6 +11,7 @@ import pytest
 
 from tests.llm.cases import odd_rows, prose, table
 from tieout.llm import packing
+from tieout.llm.bpe import Codec
 
 FILE = public_tokenizers.path(packing.VOCABULARY)
 
@@ -66,17 +67,23 @@ def test_longest_go_to_the_shortest_packs():
     assert packing.placements({}, 10) == []
 
 
-def test_ids_are_those_of_the_uncut_text(library):
-    with open(FILE, encoding="utf-8") as file:
-        tokens = packing.Tokens(file.read())
+def test_ids_are_those_of_the_library(library):
+    codec = Codec(packing.byte_ranks(FILE), public_tokenizers.PATTERN)
     rng = random.Random(4)
-    signs = [" ", "  ", "\n", "\t", "\x1c", "\x85", " ", "　", "᠎", "a", "'s", "'", "9", "é", "漢", "՘", "₏", "🙂", "<|endoftext|>", "."]
+    signs = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "\u180e", "a", "'s", "'", "9", "é", "漢", "\u0558", "\u208f", "🙂",
+             "<|endoftext|>", ".", "\U00010940"]
     texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(2000)]
-    texts += ["x" * 30_000, " " * 5000, prose(3, 500), "".join(chr(c) + " " for c in range(0x20, 0x3000))]
-    assert [np.frombuffer(x, tokens.type).tolist() for x in tokens(texts)] == [library(t) for t in texts]
+    texts += ["x" * 30_000, " " * 5000, prose(3, 500)]
+    # every character of the first two planes, beside letters, digits, signs, spaces and itself
+    texts += ["".join(f"a{c}a 1{c}1 !{c}! {c} {c}{c}the" for c in map(chr, range(at, at + 4096)))
+              for at in range(0, 0x20000, 4096) if not 0xD000 <= at < 0xE000]
+    for text in texts:
+        assert codec.encode(text).tolist() == library(text)
 
 
-def test_query_holds_every_id_once(spark, tmp_path, library):
+@pytest.mark.parametrize("rows_sent", [100_000, 0])
+def test_query_holds_every_id_once(spark, tmp_path, monkeypatch, library, rows_sent):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", rows_sent)
     rows = odd_rows() + [(100 + k, prose(k, 10 + 37 * k)) for k in range(60)]
     table(spark, rows).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
     got = packing.op11_packed_sequences(spark, str(tmp_path)).collect()
