@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from oracle.books_sql import EXACT, TRUTH, over, over_books, over_run, over_truth, two_batches
+import re
+
+from oracle.books_sql import EXACT, EXCEPTIONS, TRUTH, over, over_books, over_run, over_truth, two_batches
 from tieout.functions.narration import NOISE_WORDS
 
 
@@ -433,6 +435,12 @@ SELECT run_id, arg_max(state, (seen_at, event_id)) AS state, count(*) FILTER (wa
     "incremental_groups": two_batches(
         "SELECT id, bank_line_id, CAST(0 AS BIGINT) AS batch FROM groups_a UNION ALL "
         "SELECT id, bank_line_id, CAST(1 AS BIGINT) FROM groups", "CAST(floor(ord / 3) AS BIGINT) % 2 = 1"),
+    "incremental_exceptions": two_batches(
+        ", all_members AS (SELECT * FROM members_a UNION ALL SELECT * FROM members), all_kept AS (SELECT * FROM kept_a UNION ALL "
+        "SELECT * FROM kept), all_accepted AS (SELECT settlement_id FROM accepted_a UNION ALL SELECT settlement_id FROM accepted), "
+        + re.sub(r"\b(members|kept|accepted)\b", r"all_\1", EXCEPTIONS)
+        + " SELECT id, code, severity, amount_at_risk, kind, record_id, attempted, suggested_action FROM exc",
+        "CAST(floor(ord / 3) AS BIGINT) % 2 = 1"),
     "usage_by_minute": "SELECT event_type AS model, strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS calls, greatest(count(*) - 1, 0) AS over "
                        "FROM events GROUP BY ALL",
     "usage_by_user_day": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, greatest(count(*) - 3, 0) AS over FROM events GROUP BY ALL",

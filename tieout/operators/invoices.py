@@ -22,7 +22,7 @@ def invoice_references(books: Books) -> DataFrame:
             .agg(F.count("*").alias("ref_hits"), F.min("id").alias("ref_invoice_id")))
 
 
-def _capture_windows(invoices: DataFrame, days: int) -> DataFrame:
+def capture_windows(invoices: DataFrame, days: int = INVOICE_WINDOW_BUSINESS_DAYS) -> DataFrame:
     """(captured_on, issued_at): issue dates in use, by the capture dates their window covers."""
     return (invoices.select("issued_at").distinct()
             .select("issued_at", F.explode(F.sequence(
@@ -50,7 +50,7 @@ def band_candidates(probes: DataFrame, invoices: DataFrame,
     `ord`, which is the invoice itself where the count is one. The work is a sort
     of invoices plus probes; no pair of the two is ever built.
     """
-    windows = _capture_windows(invoices, days)
+    windows = capture_windows(invoices, days)
     points = invoices.groupBy("issued_at", "amount").agg(
         F.count("*").alias("n"), F.expr("bit_xor(ord)").alias("x"))
     probes = probes.select("captured_on", "gross").distinct()

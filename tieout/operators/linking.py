@@ -13,6 +13,11 @@ from tieout.vocab import BANK_CREDIT_WINDOW_DAYS
 LINKED, LATE, AMBIGUOUS, UNMATCHED = "linked", "late", "ambiguous", "unmatched"
 
 
+def line_references(lines: DataFrame) -> DataFrame:
+    """(bank_utr, ...): a line's columns once for each reference in its narration."""
+    return lines.select(F.explode(F.transform(utrs(F.col("narration")), canonical_utr)).alias("bank_utr"), "*")
+
+
 def bank_references(books: Books) -> DataFrame:
     """(utr, credit) with how many index entries carry it, and the line if there is one.
 

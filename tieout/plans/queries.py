@@ -772,16 +772,29 @@ def usage_by_user_day(spark, sf):
         "user_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "calls", "over")
 
 
+def _in_two_batches(spark, sf) -> OpenBooks:
+    """All books first, but the lines of odd batches only in a second batch."""
+    def build():
+        books = fixture.books(spark, sf)
+        late = F.floor(F.col("ord") / 3) % 2 == 1
+        held = OpenBooks(spark)
+        held.apply(books.replaced(bank_lines=books.bank_lines.filter(~late)), 0)
+        nothing = {k: getattr(books, k).limit(0) for k in ("invoices", "payments", "settlements", "membership")}
+        held.apply(books.replaced(bank_lines=books.bank_lines.filter(late), **nothing), 1)
+        return held
+    return _stored(spark, sf, "two-batches", build)
+
+
 @query
 def incremental_groups(spark, sf):
-    """All books first, but the lines of odd batches only in a second batch."""
-    books = fixture.books(spark, sf)
-    late = F.floor(F.col("ord") / 3) % 2 == 1
-    held = OpenBooks(spark)
-    held.apply(books.replaced(bank_lines=books.bank_lines.filter(~late)), 0)
-    nothing = {k: getattr(books, k).limit(0) for k in ("invoices", "payments", "settlements", "membership")}
-    held.apply(books.replaced(bank_lines=books.bank_lines.filter(late), **nothing), 1)
-    return held.groups().select("id", "bank_line_id", F.col("batch").cast("long").alias("batch"))
+    return _in_two_batches(spark, sf).groups().select("id", "bank_line_id", F.col("batch").cast("long").alias("batch"))
+
+
+@query
+def incremental_exceptions(spark, sf):
+    """What is open after both batches, kept up record by record."""
+    return _in_two_batches(spark, sf).exceptions().select(
+        "id", "code", "severity", "amount_at_risk", "kind", "record_id", _joined("attempted").alias("attempted"), "suggested_action")
 
 
 # ------------------------------------------------------------------ faults

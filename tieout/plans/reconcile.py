@@ -94,7 +94,7 @@ def exception_rows(records: DataFrame, kind: str, code: Column, attempted: Colum
         (F.lit(None).cast("string") if failed_check is None else failed_check).alias("failed_check"), stage.alias("stage"), "ord")
 
 
-def _settlement_exceptions(outcomes: DataFrame) -> DataFrame:
+def settlement_exceptions(outcomes: DataFrame) -> DataFrame:
     status = F.col("link_status")
     code = (F.when(status == AMBIGUOUS, "AMBIGUOUS_MULTI_CANDIDATE").when(status == LATE, "DATE_OUTSIDE_WINDOW")
             .when(status == LINKED, "AMT_MISMATCH_UNEXPLAINED").otherwise("MISSING_IN_BANK"))
@@ -175,7 +175,7 @@ def reconcile(books: Books, held: DataFrame | None = None) -> Run:
     # Linked settlements that failed are few: drop them from the chain, keep the rest in place.
     failed = outcomes.filter((F.col("link_status") == LINKED) & ~F.col("accepted")).select(F.col("ord").alias("prop"))
     kept = chain.join(failed, "prop", "left_anti")
-    exceptions = _settlement_exceptions(outcomes).unionByName(residue(books, kept, outcomes, held))
+    exceptions = settlement_exceptions(outcomes).unionByName(residue(books, kept, outcomes, held))
     return Run(books, outcomes, kept, groups, member_rows(kept, groups), exceptions)
 
 
