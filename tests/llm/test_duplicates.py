@@ -158,9 +158,10 @@ def _brute_bytes(rows):
     return out
 
 
-@pytest.mark.parametrize("string", [200, 1 << 15])
-def test_repeated_bytes_equal_brute_force(spark, monkeypatch, string):
+@pytest.mark.parametrize(("string", "frequent"), [(200, 5000), (1 << 15, 3)])
+def test_repeated_bytes_equal_brute_force(spark, monkeypatch, string, frequent):
     monkeypatch.setattr(exactdup, "STRING", string)
+    monkeypatch.setattr(exactdup, "FREQUENT", frequent)
     monkeypatch.setattr(exactdup, "PIECE", 5000)
     monkeypatch.setattr(exactdup, "CHUNK", 40_000)
     rng = random.Random(6)

@@ -5,11 +5,12 @@ row with one anchor form a run, and equal windows always have equal anchors, so
 by their anchor and no match is torn. This takes three rounds over chunks of documents (`chunks`):
  1. a chunk asks which of its anchors occur in another document; most don't, and end here;
  2. the runs on shared anchors go to the anchor's bucket, equal ones of a chunk once, with their
-    first document. A bucket strings the different runs of an anchor together, builds suffix arrays
-    (`suffixarray`), and reads off the first document of every window: suffixes that agree in 50
-    bytes stand together. Anchors with too many different runs are cut finer, by anchors of 44 and
-    then 50 bytes, so that a phrase which a third of the documents hold does not make one long
-    string; 50 bytes are a window, which is one run however often it occurs;
+    first document. A bucket trims them to the windows whose hash recurs under their anchor, strings
+    the runs that still differ together, builds suffix arrays (`suffixarray`), and reads off the first
+    document of every window: suffixes that agree in 50 bytes stand together. Strings that get too long are cut
+    finer, by anchors of 44 and then 50 bytes. Runs on anchors that round 1 met more than FREQUENT times are cut by
+    anchors of 50 bytes before they are sent, so that a phrase which a third of the documents hold, each with
+    text of its own around it, spreads over all buckets: 50 bytes are a window, which is one run however often it occurs;
  3. the chunk gets these documents back and marks the bytes of windows with an earlier one.
 Runs are compared by 64-bit hashes of all their bytes before a suffix array sees them.
 
@@ -36,6 +37,8 @@ WINDOW = 50
 ANCHORS = (24, 44, 50)
 # Bytes of text in a chunk, and for each bucket that compares runs.
 CHUNK, STRETCHES = 2 << 20, 2 << 20
+# Runs on one anchor, over all chunks, from which it is cut finer.
+FREQUENT = 5000
 # Bytes hashed at once, bytes of one string of runs, and bytes of strings worked on together.
 PIECE, STRING, TOGETHER = 1 << 20, 1 << 15, 1 << 20
 LAST = np.iinfo("i8").max
@@ -153,7 +156,7 @@ def _firsts(sorted_: np.ndarray) -> np.ndarray:
 
 
 def _anchors(table: pa.Table, buckets: int) -> pa.Table:
-    """Round 1: a chunk's distinct anchors, and whether two of its documents have them."""
+    """Round 1: a chunk's distinct anchors, how many runs each has, and whether two of its documents have it."""
     data, ends, ids = _texts(_in_order(table))
     runs = Runs(data, ends, ANCHORS[0], hashed=False)
     order = np.argsort(runs.key)
@@ -163,11 +166,13 @@ def _anchors(table: pa.Table, buckets: int) -> pa.Table:
         several = np.minimum.reduceat(owners, head) != np.maximum.reduceat(owners, head)
     else:
         several = np.zeros(0, bool)
+    many = np.diff(np.concatenate([head, [len(keys)]]))
     keys = keys[head]
     which, cuts = _owners(keys, buckets)
     return pa.table({"chunk": pa.array(np.full(len(which), table.column("chunk")[0].as_py(), "i4")), "bucket": which,
                      "keys": pa.array([squeezed(keys[a:b], rising=True) for a, b in cuts], pa.binary()),
-                     "several": pa.array([squeezed(several[a:b]) for a, b in cuts], pa.binary())})
+                     "several": pa.array([squeezed(several[a:b]) for a, b in cuts], pa.binary()),
+                     "runs": pa.array([squeezed(many[a:b]) for a, b in cuts], pa.binary())})
 
 
 def _owners(keys: np.ndarray, buckets: int) -> tuple[pa.Array, list[tuple[int, int]]]:
@@ -190,13 +195,15 @@ def _split(values: np.ndarray, sizes: list[int]) -> pa.Array:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Round 1, bucket: which anchors two documents have (two chunks never hold the same row)."""
+    """Round 1, bucket: 1 for anchors that two documents have (two chunks never hold the same row), 2 if also frequent."""
     keys, several = _all(table, "keys", rising=True), _joined(_all(table, "several")).astype(bool)
     _, place, times = np.unique(_joined(keys), return_inverse=True, return_counts=True)
     both = np.zeros(len(times), bool)
     both[place[several]] = True
+    runs = np.bincount(place, weights=_joined(_all(table, "runs")), minlength=len(times))
+    said = (both | (times > 1)).astype("u1") * np.where(runs > FREQUENT, 2, 1)
     return pa.table({"chunk": table.column("chunk").combine_chunks(), "bucket": table.column("bucket").combine_chunks(),
-                     "shared": _split((both | (times > 1))[place], [len(k) for k in keys])})
+                     "shared": _split(said[place], [len(k) for k in keys])})
 
 
 class Asked:
@@ -207,10 +214,18 @@ class Asked:
         runs = Runs(self.data, self.ends, ANCHORS[0])
         keys = np.unique(runs.key)
         shared = _joined(_all(answers.sort_by("bucket"), "shared"))
-        held = np.flatnonzero(shared.astype(bool)[np.searchsorted(keys, runs.key)]) if len(keys) else np.zeros(0, "i8")
-        held = held[np.lexsort((runs.owner[held], runs.content[held], runs.key[held]))]
-        self.start, self.windows, self.owner = runs.start[held], runs.windows[held], runs.owner[held]
-        key, content = runs.key[held], runs.content[held]
+        said = shared[np.searchsorted(keys, runs.key)] if len(keys) else np.zeros(0, "u8")
+        parts = [[x[said == 1] for x in (runs.start, runs.windows, runs.owner, runs.key, runs.content)]]
+        if (said == 2).any():
+            start, sizes = runs.start[said == 2], runs.windows[said == 2] + WINDOW - 1
+            ends = np.cumsum(sizes)
+            cut = Runs(_gather(self.data, start, sizes), ends, ANCHORS[-1])
+            parts.append([start[cut.owner] + cut.start - (ends - sizes)[cut.owner], cut.windows,
+                          runs.owner[said == 2][cut.owner], cut.key, cut.content])
+        self.start, self.windows, self.owner, key, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+        held = np.lexsort((self.owner, content, key))
+        self.start, self.windows, self.owner, key, content = (
+            x[held] for x in (self.start, self.windows, self.owner, key, content))
         head = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]) if len(held) else np.zeros(0, bool)
         self.heads, self.kind = np.flatnonzero(head), np.cumsum(head) - 1
         self.key, self.content = key[self.heads], content[self.heads]
@@ -240,13 +255,53 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return data[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)]
 
 
-def first_documents(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, firsts: np.ndarray, level: int = 0) -> np.ndarray:
+def first_documents(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """The first document of every window of different runs: data holds the runs one after the other.
 
-    `keys` are the runs' anchors and `firsts` their first documents.
+    `keys` are the runs' anchors and `firsts` their first documents. Runs are trimmed to the windows whose hash
+    recurs under their anchor; the others have no equal. Trimmed runs are often the same, and compared once.
     """
     windows = sizes - WINDOW + 1
     out = np.repeat(firsts, windows)
+    if not len(sizes):
+        return out
+    starts, spots = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
+    owner = np.repeat(np.arange(len(sizes)), windows)
+    offset = np.arange(len(owner)) - spots[owner]
+    mark = np.empty(len(owner), "u8")
+    for first in range(0, len(data), PIECE):
+        grams = gram_hashes(data[first:first + PIECE + WINDOW - 1], WINDOW)
+        low, high = np.searchsorted(starts[owner] + offset, [first, first + PIECE])
+        spot = (starts[owner[low:high]] + offset[low:high]) - first
+        mark[low:high] = mixed(grams[spot] + mixed(keys[owner[low:high]]))
+    order = np.argsort(mark)
+    same = mark[order][1:] == mark[order][:-1]
+    again = np.zeros(len(mark), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    low = np.minimum.reduceat(np.where(again, offset, LAST), spots)
+    high = np.maximum.reduceat(np.where(again, offset, -1), spots)
+    live = np.flatnonzero(high >= 0)
+    if not len(live):
+        return out
+    cut_starts, cut_windows = starts[live] + low[live], high[live] - low[live] + 1
+    cut_sizes = cut_windows + WINDOW - 1
+    content = contents(_gather(data, cut_starts, cut_sizes), cut_sizes)
+    sort = np.lexsort((firsts[live], content, keys[live]))
+    new = np.concatenate([[True], (keys[live][sort][1:] != keys[live][sort][:-1]) | (content[sort][1:] != content[sort][:-1])])
+    heads, kind = sort[new], np.empty(len(sort), "i8")
+    kind[sort] = np.cumsum(new) - 1
+    found = _by_suffixes(_gather(data, cut_starts[heads], cut_sizes[heads]), cut_sizes[heads], keys[live][heads], firsts[live][heads])
+    source = (np.cumsum(cut_windows[heads]) - cut_windows[heads])[kind]
+    step = np.arange(cut_windows.sum()) - np.repeat(np.cumsum(cut_windows) - cut_windows, cut_windows)
+    goal = np.repeat(spots[live] + low[live], cut_windows) + step
+    out[goal] = np.minimum(out[goal], found[np.repeat(source, cut_windows) + step])
+    return out
+
+
+def _by_suffixes(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, firsts: np.ndarray, level: int = 0) -> np.ndarray:
+    """As `first_documents`, by suffix arrays over the different runs of each anchor."""
+    windows = sizes - WINDOW + 1
+    out = np.repeat(firsts, windows)
     starts, spots = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
     order = np.argsort(keys, kind="stable")
     head = _firsts(keys[order])
@@ -280,7 +335,7 @@ def first_documents(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, first
         heads, kind = sort[new], np.empty(len(sort), "i8")
         kind[sort] = np.cumsum(new) - 1
         inner_sizes = cut.windows[heads] + WINDOW - 1
-        inner = first_documents(_gather(part, cut.start[heads], inner_sizes), inner_sizes, cut.key[heads], doc[heads], level + 1)
+        inner = _by_suffixes(_gather(part, cut.start[heads], inner_sizes), inner_sizes, cut.key[heads], doc[heads], level + 1)
         inner_spots = np.cumsum(cut.windows[heads]) - cut.windows[heads]
         run_starts = np.cumsum(sizes[runs]) - sizes[runs]
         goal = spots[runs][cut.owner] + cut.start - run_starts[cut.owner]
@@ -405,7 +460,7 @@ def remove_repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
     by_chunk = deal(source, ["doc_id", "text"], total, CHUNK).groupBy("chunk")
     buckets, coarse = buckets_for(total / 14), max(8, total // STRETCHES)
     asked = by_chunk.applyInArrow(lambda t: _anchors(t, buckets),
-                                  "chunk int, bucket int, keys binary, several binary")
+                                  "chunk int, bucket int, keys binary, several binary, runs binary")
     shared = asked.groupBy("bucket").applyInArrow(_shared, "chunk int, bucket int, shared binary")
     sent = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(
         lambda d, a: _stretches(d, a, coarse),
