@@ -373,6 +373,24 @@ def _over_catalog(select: str) -> str:
     return over_books(select, _CATALOG)
 
 
+# Windows against the limits in force when they began.
+_LIMITS = """
+WITH calls AS (SELECT event_type AS model, 'key-' || user_id % 3 AS key, user_id, CAST(floor(value) AS BIGINT) AS tokens, ts FROM events),
+limits AS (
+  SELECT model, 1 AS rpm, 20 + length(model) - 4 * n AS rpd, 100 + 200 * n AS tpm, CASE n WHEN 0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-12' END AS valid_from
+  FROM (SELECT DISTINCT model FROM calls), (VALUES (0), (1)) AS v(n) WHERE model <> 'signup' OR n = 1),
+pool AS (SELECT key, CASE key WHEN 'key-2' THEN TIMESTAMP '2024-01-20' ELSE CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) END AS active_from FROM calls GROUP BY key),
+minutes AS (SELECT date_trunc('minute', ts) AS w, model, key, count(*) AS n, sum(tokens) AS t FROM calls GROUP BY ALL),
+days AS (SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS w, model, key, count(*) AS n FROM calls GROUP BY ALL),
+users AS (SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS w, user_id, count(*) AS n FROM calls GROUP BY ALL),
+used AS (
+  SELECT 'rpm' AS scope, model, key, NULL AS user_id, w, n AS used, (SELECT arg_max(rpm, valid_from) FROM limits l WHERE l.model = m.model AND valid_from <= w) AS ceiling FROM minutes m
+  UNION ALL SELECT 'tpm', model, key, NULL, w, t, (SELECT arg_max(tpm, valid_from) FROM limits l WHERE l.model = m.model AND valid_from <= w) FROM minutes m
+  UNION ALL SELECT 'rpd', model, key, NULL, w, n, (SELECT arg_max(rpd, valid_from) FROM limits l WHERE l.model = d.model AND valid_from <= w) FROM days d
+  UNION ALL SELECT 'user_day', NULL, NULL, user_id, w, n, 25 * greatest(1, (SELECT count(*) FROM pool WHERE active_from <= w)) FROM users)
+SELECT scope, model, key, CAST(user_id AS BIGINT) AS user_id, strftime(w, '%Y-%m-%d %H:%M') AS window_start, CAST(used AS BIGINT) AS used,
+       CAST(ceiling AS BIGINT) AS ceiling, CAST(greatest(used - ceiling, 0 * ceiling) AS BIGINT) AS over FROM used"""
+
 _TRACE = """WITH trace AS (
   SELECT 'run-' || user_id AS run_id, CASE WHEN event_type = 'error' AND value < 90 THEN 'explaining' ELSE
          CASE event_type WHEN 'signup' THEN 'normalising' WHEN 'view' THEN 'matching' WHEN 'click' THEN 'triaging'
@@ -422,6 +440,10 @@ staged AS (
   SELECT *, list_position(['queued', 'normalising', 'matching', 'triaging', 'explaining', 'scoring', 'failed'], state) AS s FROM (
   SELECT * FROM seen UNION ALL SELECT run_id, 'queued', min(seen_at) FROM trace GROUP BY run_id HAVING bool_or(state = 'normalising')))
 SELECT run_id, state, epoch_us(lead(seen_at) OVER (PARTITION BY run_id ORDER BY s)) // 1000 - epoch_us(seen_at) // 1000 AS millis FROM staged QUALIFY state <> 'failed'""",
+    "usage_against_limits": _LIMITS,
+    "streamed_usage_against_limits": _LIMITS,
+    "large_files": over_books("SELECT id, 'Naïve & Co, \"' || ord || '\" second line' AS customer, CAST(amount AS VARCHAR) AS amount, "
+                              "strftime(issued_at, '%Y-%m-%d') AS issued_at, coalesce(ref, '') AS ref FROM inv"),
     "run_durations": _TRACE + "SELECT run_id, epoch_us(updated_at) // 1000 - epoch_us(created_at) // 1000 AS millis FROM standing",
     "usage_totals": "SELECT 'run-' || user_id AS run_id, count(*) AS requests, CAST(sum(floor(value)) AS BIGINT) AS tokens, "
                     "bool_or(value > 150) AS degraded FROM events GROUP BY 1",
@@ -556,4 +578,6 @@ counted AS (
 
 
 def statements() -> dict[str, str]:
-    return {**MATCHING, **SCORING, **REPORTING, **SCALARS, **FILES, **CATALOG, **FAULTS, **AUDITS, **COMPARISON}
+    found = {**MATCHING, **SCORING, **REPORTING, **SCALARS, **FILES, **CATALOG, **FAULTS, **AUDITS, **COMPARISON}
+    # what a stream leaves behind equals the table's own figures
+    return {**found, "streamed_stage_durations": found["stage_durations"]}

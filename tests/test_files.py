@@ -1,11 +1,14 @@
 """Messy files written here, read back through the whole path."""
 
+import csv
 import datetime as dt
+import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tieout.sources import mapping, records, tables
+from tieout.sources import mapping, records, splits, tables
 
 BANK = "Date,Narration,Withdrawal,Deposit,Balance\n"
 ROWS = "".join(f"0{i}/08/2026,NEFT row {i},,\"1,00{i}.50\",5000\n" for i in range(1, 9))
@@ -107,3 +110,54 @@ def test_error_cap(spark):
     built = records.build_records(fields(spark, "bank", rows), "bank")
     assert records.reported_errors(built.errors).count() == 200
     assert built.health.first().error_count == 250
+
+
+def _messy(seed, rows):
+    """Cells with quoted line ends, doubled quotes, stray quotes, lone carriage returns and ragged rows."""
+    rng = random.Random(seed)
+    cells = ["1,200.50", "plain", "two\nlines", 'say ""hi""', 'x"y', "", " ", "a\r\nb", "é₹", '"', "12/08/2026", 'q""', "\n\n"]
+
+    def cell():
+        one = rng.choice(cells)
+        quoted = "\n" in one or "," in one or "\r" in one or rng.random() < 0.3
+        return f'"{one.replace(chr(34) * 2, chr(34)).replace(chr(34), chr(34) * 2)}"' + rng.choice(["", "", "tail"]) if quoted else one
+
+    lines = [",".join(cell() for _ in range(rng.choice([5, 5, 5, 3, 7]))) for _ in range(rows)]
+    end = rng.choice(["\n", "\r\n"])
+    return BANK + "".join(line + (end if rng.random() < 0.97 else "\r" if rng.random() < 0.5 else end * 2) for line in lines)
+
+
+@pytest.mark.parametrize("size", [350])
+def test_files_in_byte_ranges_equal_whole_files(spark, tmp_path, size):
+    for name, content in FILES.items():
+        (tmp_path / name).write_bytes(content)
+    for seed in range(4):
+        (tmp_path / f"messy{seed}.csv").write_bytes(_messy(seed, 40).encode("utf-8-sig" if seed % 2 else "utf-8"))
+    (tmp_path / "open.csv").write_text(BANK + ROWS + '1,"never closed\nx,y\n')
+    whole = tables.parse_files(tables.read_files(spark, str(tmp_path)).withColumn("path", F.substring_index("path", "/", -1)))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        lines = splits.read_lines(spark, str(tmp_path))
+        if size < 1000:
+            assert lines.filter("path like '%messy0%'").select("block").distinct().count() > 5
+        parsed = tables.parse_paths(spark, str(tmp_path))
+        last = F.substring_index("path", "/", -1)
+        for name in ("rows", "files", "rejected"):
+            got, want = (sorted(map(repr, f.collect())) for f in (getattr(parsed, name).withColumn("path", last), getattr(whole, name)))
+            assert got == want, name
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+
+
+def test_ends_inside_quotes_as_the_csv_module_sees_it():
+    rng, opener = random.Random(3), splits._openers((",",))[0]
+    for _ in range(20_000):
+        line = "".join(rng.choices('",a\r', k=rng.randint(0, 9)))
+        mark = "\x00"
+        for inside in (False, True):
+            text = ('"' if inside else "") + line + "\n" + mark
+            rows = list(csv.reader(io.StringIO(text, newline="")))
+            assert splits.ends_inside(line.encode(), opener, inside) == (rows[-1] != [mark])

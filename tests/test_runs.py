@@ -13,7 +13,7 @@ from tieout import model
 from tieout.operators import audit, faults, ordering, triage
 from tieout.plans import books as fixture
 from tieout.plans.reconcile import reconcile
-from tieout.streaming import incremental, trace, usage
+from tieout.streaming import incremental, stages, trace, usage
 
 SF = "/root/testdata/sf0.001"
 
@@ -199,3 +199,42 @@ def test_batches_equal_looking_at_everything_again(spark, tmp_path):
     assert {(r.id, r.code) for r in held.exceptions().collect()} == want_exceptions
     looked_at = [d.run.books.payments.count() for d in deltas]
     assert looked_at[2] < 0.35 * source.payments.count()  # about 3 % of each kind touch up to 12 % of the settlements
+
+
+def test_windows_are_held_against_the_limits_of_their_time(spark):
+    at = dt.datetime(2024, 5, 1, 10, 0)
+    rows = [(7, "m", "k1", 60, at + dt.timedelta(seconds=s)) for s in (0, 10, 50)]
+    rows += [(7, "m", "k2", 10, at + dt.timedelta(days=1, seconds=s)) for s in (0, 61)] + [(8, "other", "k1", 5, at)]
+    calls = spark.createDataFrame(rows, "user_id bigint, model string, key string, tokens bigint, at timestamp")
+    limits = spark.createDataFrame([("m", 2, 10, 100, dt.datetime(2024, 1, 1)), ("m", 1, 1, 5, dt.datetime(2024, 5, 2))],
+                                   "model string, rpm int, rpd int, tpm int, valid_from timestamp")
+    keys = spark.createDataFrame([("k1", dt.datetime(2024, 1, 1)), ("k2", dt.datetime(2024, 5, 2))], "key string, active_from timestamp")
+    got = {(r.scope, r.model, r.key, r.user_id, r.window_start.day, r.window_start.minute): (r.used, r.ceiling, r.over)
+           for r in usage.against_limits(usage.usage_by_minute(calls), limits, keys).collect()}
+    assert got == {
+        ("rpm", "m", "k1", None, 1, 0): (3, 2, 1), ("tpm", "m", "k1", None, 1, 0): (180, 100, 80), ("rpd", "m", "k1", None, 1, 0): (3, 10, 0),
+        ("rpm", "m", "k2", None, 2, 0): (1, 1, 0), ("rpm", "m", "k2", None, 2, 1): (1, 1, 0), ("tpm", "m", "k2", None, 2, 0): (10, 5, 5),
+        ("tpm", "m", "k2", None, 2, 1): (10, 5, 5), ("rpd", "m", "k2", None, 2, 0): (2, 1, 1),
+        ("rpm", "other", "k1", None, 1, 0): (1, None, None), ("tpm", "other", "k1", None, 1, 0): (5, None, None),
+        ("rpd", "other", "k1", None, 1, 0): (1, None, None),
+        ("user_day", None, None, 7, 1, 0): (3, 25, 0), ("user_day", None, None, 8, 1, 0): (1, 25, 0), ("user_day", None, None, 7, 2, 0): (2, 50, 0)}
+    fixed = usage.against_limits(usage.usage_by_minute(calls), limits, keys, user_quota=2)
+    assert {(r.user_id, r.used, r.over) for r in fixed.where("scope = 'user_day'").collect()} == {(7, 3, 1), (8, 1, 0), (7, 2, 0)}
+    empty = usage.against_limits(usage.usage_by_minute(calls.limit(0)), limits, keys)
+    assert empty.count() == 0
+
+
+def test_live_stage_times_follow_late_rows_and_forget(spark, tmp_path):
+    """Each file is a micro-batch: a late row moves a beginning back, a silent run is forgotten and starts anew."""
+    at = dt.datetime(2024, 1, 1)
+    files = [[("a", "matching", 10), ("a", "scoring", 40), ("b", "normalising", 5)], [("a", "normalising", 4), ("a", "matching", 7)],
+             [("c", "matching", 5_000)], [("c", "scoring", 5_010)], [("b", "matching", 5_020), ("c", "failed", 5_030)]]
+    for k, rows in enumerate(files):
+        frame = spark.createDataFrame([(r, s, at + dt.timedelta(seconds=x), k) for r, s, x in rows], "run_id string, state string, at timestamp, event_id bigint")
+        frame.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    live = stages.live_stage_durations(stream, 60_000, "100 seconds")
+    got = {(r.run_id, r.state): r.millis for r in trace.drain_counts(live, "live", ["run_id", "state"]).collect()}
+    assert got["a", "queued"] == 0 and got["a", "normalising"] == 3000 and got["a", "matching"] == 33_000 and got["a", "scoring"] is None
+    assert got["c", "matching"] == 10_000 and got["c", "scoring"] == 20_000 and ("c", "failed") not in got
+    assert got["b", "normalising"] is None and got["b", "matching"] is None  # forgotten in between: its later row has no earlier one

@@ -9,6 +9,7 @@ from tieout.functions.money import format_paise
 from tieout.operators.triage import open_bank_lines, open_settlements
 from tieout.plans import books as fixture
 from tieout.plans.reconcile import Run
+from tieout.session import new_folder
 
 FILE_ROWS = 120
 
@@ -125,6 +126,36 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             .parquet(sf_dir))
 
 
+def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of several files; each spans all times, so that later files bring late rows."""
+    folder = new_folder(spark, "event-files")
+    events(spark, sf_dir).repartition(4, F.xxhash64("event_id")).write.parquet(folder)
+    return spark.readStream.schema(events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def keyed_calls(event_rows: DataFrame) -> DataFrame:
+    """Calls with the key of the pool that each one used."""
+    rows = calls_of(event_rows)
+    return rows.withColumn("key", F.concat(F.lit("key-"), (F.col("user_id") % 3).cast("string")))
+
+
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, rpm, rpd, tpm, valid_from): two versions for every model but `signup`, which gets its first on the 12th."""
+    model, at = F.col("event_type"), F.array(F.lit("2024-01-01"), F.lit("2024-01-12"))
+    rows = events(spark, sf_dir).select("event_type").distinct().select(model.alias("model"), F.posexplode(at).alias("n", "day"))
+    return rows.filter("model <> 'signup' OR n = 1").select(
+        "model", F.lit(1).alias("rpm"), (20 + F.length("model") - 4 * F.col("n")).alias("rpd"), (100 + 200 * F.col("n")).alias("tpm"),
+        F.to_timestamp("day").alias("valid_from"))
+
+
+def key_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, active_from): a key is in the pool from the day of its first call, one of them from the 20th."""
+    calls = keyed_calls(events(spark, sf_dir))
+    first = F.date_trunc("day", F.min("at"))
+    return calls.groupBy("key").agg(first.alias("first")).select(
+        "key", F.when(F.col("key") == "key-2", F.to_timestamp(F.lit("2024-01-20"))).otherwise(F.col("first")).alias("active_from"))
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A written answer per order with the JSON it was given; some state numbers of their own."""
     k = F.col("k")

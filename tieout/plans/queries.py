@@ -17,9 +17,9 @@ from tieout.operators.invoices import band_candidates
 from tieout.plans import books as fixture
 from tieout.plans import derived
 from tieout.plans.reconcile import Run, batch_algebra, reconcile, settled_payments, unbalanced_batches
-from tieout.session import materialize
+from tieout.session import materialize, new_folder
 from tieout.sources import codecs, mapping, records, tables
-from tieout.streaming import trace, usage
+from tieout.streaming import stages, trace, usage
 from tieout.streaming.incremental import OpenBooks
 from tieout.vocab import SUBSET_CANDIDATES, exception_dimension, label_of
 
@@ -513,6 +513,20 @@ def ledger_files(spark, sf):
     return _ingested(spark, sf, "ledger")[1].good.select("id", "number", "customer", "amount", "issued_at", "ref")
 
 
+@query
+def large_files(spark, sf):
+    """Invoices in a few files that grow with the table, with line ends inside quotes, read in byte ranges."""
+    folder = new_folder(spark, "large-files")
+    source = fixture.invoices(spark, sf).select(
+        F.col("id").alias("Invoice No"), F.format_string('Naïve & Co, "%d"\nsecond line', "ord").alias("Customer"),
+        F.col("amount").cast("string").alias("Amount"), F.date_format("issued_at", "yyyy-MM-dd").alias("Invoice Date"),
+        F.col("ref").alias("Reference"))
+    source.repartition(2, F.xxhash64("Invoice No")).write.option("header", True).option("escape", '"').csv(folder)
+    parsed = tables.parse_paths(spark, folder)
+    return parsed.rows.select(*[F.get("values", F.lit(i)).alias(name) for i, name in enumerate(
+        ("id", "customer", "amount", "issued_at", "ref"))])
+
+
 @query
 def gateway_files(spark, sf):
     return _ingested(spark, sf, "gateway")[1].good.select(
@@ -772,6 +786,30 @@ def usage_by_user_day(spark, sf):
         "user_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "calls", "over")
 
 
+@query
+def streamed_stage_durations(spark, sf):
+    """Stage times kept up live over files that bring late rows, as they stand at the end."""
+    live = stages.live_stage_durations(derived.trace_of(derived.event_files(spark, sf)), 60 * 86_400_000, "40 days")
+    return trace.drain_counts(live, "stages", ["run_id", "state"])
+
+
+def _limit_report(minutes: DataFrame, spark, sf) -> DataFrame:
+    found = usage.against_limits(minutes, derived.limits(spark, sf), derived.key_pool(spark, sf), None)
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
+@query
+def usage_against_limits(spark, sf):
+    return _limit_report(usage.usage_by_minute(derived.keyed_calls(derived.events(spark, sf))), spark, sf)
+
+
+@query
+def streamed_usage_against_limits(spark, sf):
+    """The minutes are counted on a stream of several files, the limits are looked up in what it leaves."""
+    stream = usage.usage_by_minute(derived.keyed_calls(derived.event_files(spark, sf)), "40 days")
+    return _limit_report(trace.drain_counts(stream, "minutes", usage.MINUTE_KEYS), spark, sf)
+
+
 def _in_two_batches(spark, sf) -> OpenBooks:
     """All books first, but the lines of odd batches only in a second batch."""
     def build():

@@ -2,8 +2,8 @@
 
 Each step is a DataFrame job over all files: sniffing, decoding and choosing the
 separator work on the file column, shaping works on one row per line. Python only
-splits the text of a file into cells. A file is one upload, so it is bounded by the
-row cap; larger feeds belong in `spark.read.csv`.
+splits text into cells. `parse_files` takes whole files as rows, one task each; `parse_paths`
+reads files of any size from their paths in byte ranges (`splits`), many tasks to a file.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from tieout.functions.text import (
     collapse, filled_cells, header_names, is_blank, is_blank_row, is_summary_row, let, looks_like_header)
 from tieout.session import materialize
+from tieout.sources import splits
 
 # Thresholds of reading a table (fixed values).
 HEADER_SCAN_LIMIT = 40
@@ -28,6 +29,8 @@ BODY_SAMPLE = 12
 MIN_BODY_AGREEMENT = 0.6
 MIN_DELIMITER_AGREEMENT = 0.9
 DELIMITERS = (",", ";", "\t", "|")
+# Rows of a file that are numbered together.
+STRETCH_ROWS = 100_000
 
 # Windows-1252 where it differs from Latin-1; five bytes have no character in it.
 _HIGH = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
@@ -63,9 +66,14 @@ def decode(files: DataFrame) -> DataFrame:
     latin = F.decode(F.col("content"), "ISO-8859-1")
     encoding = (F.when(F.is_valid_utf8(raw), "utf-8").when(latin.rlike(_UNDEFINED), "latin-1")
                 .otherwise("cp1252"))
-    text = (F.when(F.col("encoding") == "utf-8", F.regexp_replace(raw, "^﻿", ""))
+    return files.withColumn("encoding", encoding).withColumn("text", _decoded(F.col("content")))
+
+
+def _decoded(content: Column) -> Column:
+    """The text of bytes whose `encoding` is known."""
+    raw, latin = content.cast("string"), F.decode(content, "ISO-8859-1")
+    return (F.when(F.col("encoding") == "utf-8", F.regexp_replace(raw, "^﻿", ""))
             .when(F.col("encoding") == "cp1252", F.translate(latin, _HIGH, _HIGH_1252)).otherwise(latin))
-    return files.withColumn("encoding", encoding).withColumn("text", text)
 
 
 def _mode(values: Column) -> Column:
@@ -140,21 +148,45 @@ def locate_headers(grid: DataFrame) -> DataFrame:
         F.coalesce("sure", "maybe").isNotNull().alias("obvious"))
 
 
+def _reason(kind: Column) -> Column:
+    """Why a file of this kind is not read."""
+    reasons = {"empty": "file is empty", "image": "file content is an image, not a table",
+               "pdf": "this is a PDF; use the statement line extraction on its text",
+               "xlsx": "this is a workbook; convert it to delimited text first"}
+    return F.element_at(F.create_map(*[F.lit(x) for kv in reasons.items() for x in kv]), kind)
+
+
 def parse_files(files: DataFrame, max_rows: int | None = None) -> Parsed:
     """All files (path, content) to shaped rows, with every repair counted.
 
     `max_rows` rejects longer files, for uploads that promise to be short; feeds have no limit.
     """
     kinds = files.withColumn("kind", content_kind(F.col("content")))
-    reasons = {"empty": "file is empty", "image": "file content is an image, not a table",
-               "pdf": "this is a PDF; use the statement line extraction on its text",
-               "xlsx": "this is a workbook; convert it to delimited text first"}
-    reason = F.element_at(F.create_map(*[F.lit(x) for kv in reasons.items() for x in kv]), F.col("kind"))
-    wrong = kinds.filter("kind <> 'csv'").select("path", reason.alias("reason"))
+    wrong = kinds.filter("kind <> 'csv'").select("path", _reason(F.col("kind")).alias("reason"))
 
     decoded = decode(kinds.filter("kind = 'csv'"))
     # Cut once: locating headers, shaping and counting all read the same cells.
     grid = materialize(tokenize(decoded), "grid")
+    return _shaped(grid, decoded.select("path", "encoding", choose_delimiter(F.col("text")).alias("delimiter")), wrong, max_rows)
+
+
+def parse_paths(spark: SparkSession, *paths: str, max_rows: int | None = None) -> Parsed:
+    """As `parse_files`, of files of any size: each is read in byte ranges by many tasks."""
+    lines = splits.read_lines(spark, *paths)
+    ranges = materialize(splits.describe_ranges(lines, DELIMITERS), "ranges")
+    marks = ranges.groupBy("path").agg(F.bool_and("utf8").alias("utf8"), F.bool_or("undefined").alias("undefined"))
+    head = ranges.filter("block = 0").select("path", F.aggregate(
+        "head", F.lit(b"").cast("binary"), lambda all_, line: F.concat(all_, line, F.lit(b"\n"))).alias("content"))
+    kinds = head.join(marks, "path").withColumn("kind", content_kind(F.col("content")))
+    wrong = kinds.filter("kind <> 'csv'").select("path", _reason(F.col("kind")).alias("reason"))
+    encoding = F.when(F.col("utf8"), "utf-8").when(F.col("undefined"), "latin-1").otherwise("cp1252")
+    known = kinds.filter("kind = 'csv'").withColumn("encoding", encoding)
+    known = known.select("path", "encoding", choose_delimiter(_decoded(F.col("content"))).alias("delimiter"))
+    known = materialize(known.withColumn("rank", F.array_position(F.lit(list(DELIMITERS)), F.col("delimiter")).cast("int") - 1), "described")
+    return _shaped(splits.grid(lines, known, ranges), known.select("path", "encoding", "delimiter"), wrong, max_rows)
+
+
+def _shaped(grid: DataFrame, described: DataFrame, wrong: DataFrame, max_rows: int | None) -> Parsed:
     located = locate_headers(grid)
     header = grid.join(located.select("path", F.col("header_row").alias("row_no")), ["path", "row_no"], "left_semi")
     located = located.join(header.select("path", header_names(F.col("cells")).alias("headers")), "path")
@@ -177,11 +209,16 @@ def parse_files(files: DataFrame, max_rows: int | None = None) -> Parsed:
     width = F.size("headers")
     values = F.transform(F.slice("cells", F.lit(1), width), collapse)
     padded = F.concat(values, F.array_repeat(F.lit(""), width - F.size(values)))
-    # One file per group, and a file is at most `max_rows` rows.
-    order = Window.partitionBy("path").orderBy("row_no")
+    # Numbered inside stretches of a file, after the data rows of the stretches before.
+    stretch = F.floor(F.col("row_no") / STRETCH_ROWS).alias("stretch")
     data = lines.filter("kind = 'data'").select(
-        "path", F.row_number().over(order).alias("row_number"), "headers", padded.alias("values"),
-        (F.size("cells") > width).alias("cut"))
+        "path", stretch, "row_no", "headers", padded.alias("values"), (F.size("cells") > width).alias("cut"))
+    earlier = Window.partitionBy("path").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begins = lines.filter("kind = 'data'").groupBy("path", stretch).agg(F.count("*").alias("n")).select(
+        "path", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    within = F.row_number().over(Window.partitionBy("path", "stretch").orderBy("row_no"))
+    data = data.withColumn("within", within).join(begins, ["path", "stretch"]).select(
+        "path", (F.col("within") + F.col("begin")).alias("row_number"), "headers", "values", "cut")
 
     filled = data.select("path", F.posexplode("values").alias("at", "value")).filter("value <> ''")
     in_use = filled.groupBy("path", "at").agg(F.lit(1).alias("one")).groupBy("path").agg(
@@ -197,7 +234,7 @@ def parse_files(files: DataFrame, max_rows: int | None = None) -> Parsed:
     info = (usable.select("path", "header_row", "obvious", "headers").join(repairs, "path")
             .join(in_use, "path", "left").withColumn("in_use", F.coalesce("in_use", F.array().cast("array<int>")))
             .withColumn("keep", keep)
-            .join(decoded.select("path", "encoding", choose_delimiter(F.col("text")).alias("delimiter")), "path"))
+            .join(described, "path"))
     unnamed = F.size(F.filter("headers", lambda h: h.rlike("^column_\\d+$")))
     shaped_files = info.select(
         "path", F.transform("keep", lambda i: F.get("headers", i)).alias("headers"), "encoding", "delimiter",
