@@ -10,7 +10,11 @@ and every occurrence but a class's first (by document, then place) is a removal.
 A passage that is pasted inside a paragraph, or cut otherwise, is found word by word: RUN words in a
 row that an earlier row has, or an earlier place of the same text, are removed too, as spans beside
 the removed paragraphs. The least five-word shingle of each RUN words is its anchor; only windows on
-anchors that occur twice are hashed and compared.
+anchors that occur twice are hashed, and neighbours on one anchor are one row, a stretch. Equal stretches are compared
+once: the windows of their first place find the first place of each window, runs of such places are segments, and
+every stretch is held against its segments.
+
+Texts are read once for paragraphs, bands and anchors, and those with a shared anchor once more.
 
 Equal paragraphs are one entry from the start. A bucket larger than BLOCK entries is worked in
 pairs of blocks, each a task of its own, which hand out a spanning forest instead of pairs.
@@ -24,15 +28,18 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from .chunks import bucket_of, buckets_for, flat, mixed, packed, text_bytes
-from .common import map_texts, read, store
+from .common import read as read_table
+from .common import store
 from .components import components
 from .simhash import forest
 
@@ -43,6 +50,8 @@ ROWS_PER_BAND = 3
 BLOCK = 2000
 # Words in a row that are a passage wherever they lie.
 RUN = 50
+# Words of paragraphs whose band keys are worked out together.
+WORDS_AT_ONCE = 1_000_000
 # Bytes of text per paragraph, only to choose the number of buckets.
 PARAGRAPH_BYTES = 100
 
@@ -52,6 +61,11 @@ def bands_for(similarity: float, recall: float, rows: int = ROWS_PER_BAND) -> in
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity ** rows))
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case words; a letter whose lower case has several characters stays in its word."""
+    return WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in WORD.findall(text)]
+
+
 def paragraphs(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of every paragraph; together they cover the text."""
     from zlib import crc32
@@ -61,7 +75,7 @@ def paragraphs(text: str) -> list[tuple[int, int, list[str]]]:
         end = match.end()
         if end == match.start():
             continue
-        own = WORD.findall(match[0].lower())
+        own = words_of(match[0])
         words += own
         if match[0][-1] == "\n" or (own and crc32(" ".join(own).encode()) % 2 == 0):
             out.append((start, end, words))
@@ -110,47 +124,133 @@ def unit_hash(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words).encode())
 
 
-def _sent(batches: Iterator[pa.RecordBatch], bands: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Distinct (band key, paragraph) of each batch, packed by bucket."""
-    known: dict[str, int] = {}
-    seeds = np.random.default_rng(5).integers(1, 1 << 62, bands * ROWS_PER_BAND).astype("u8") * np.uint64(2) + np.uint64(1)
-    for batch in batches:
-        units: dict[int, int] = {}
-        hashes, sizes, size = [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            shingled, starts = _shingled(np.concatenate(hashes), np.array(sizes))
-            keys = np.zeros((bands, len(sizes)), "u8")
-            for k, seed in enumerate(seeds):
-                least = np.minimum.reduceat(shingled * seed, starts)
-                keys[k // ROWS_PER_BAND] = keys[k // ROWS_PER_BAND] * np.uint64(0x9E3779B97F4A7C15) + least
-            keys = mixed(keys + np.arange(1, bands + 1, dtype="u8")[:, None]).ravel()
-            owners = np.tile(np.array(list(units)[-len(sizes):], "u8"), bands)
-            order = np.argsort(keys)
-            keys, owners = keys[order], owners[order]
-            which, first = np.unique(bucket_of(keys, buckets), return_index=True)
-            ends = np.concatenate([first[1:], [len(keys)]])
-            yield pa.RecordBatch.from_arrays([pa.array(which.astype("i4")), packed(keys.view("i8"), ends),
-                                              packed(owners.view("i8"), ends)], names=["bucket", "keys", "units"])
-
-        for text in batch.column(0).to_pylist():
-            for _, _, words in paragraphs(text or ""):
-                if len(words) >= MIN_WORDS and (unit := unit_hash(words)) not in units:
-                    units[unit] = len(words)
-                    hashes.append(_hashes(words, known))
-                    sizes.append(len(words))
-                    size += len(words)
-                    if size > 1_000_000:
-                        yield from flush()
-                        hashes, sizes, size = [], [], 0
-        if sizes:
-            yield from flush()
+def _seeds(bands: int) -> np.ndarray:
+    return np.random.default_rng(5).integers(1, 1 << 62, bands * ROWS_PER_BAND).astype("u8") * np.uint64(2) + np.uint64(1)
+
+
+def _band_rows(hashes: list[np.ndarray], units: list[int], bands: int, buckets: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(bucket, keys, units): the band keys of paragraphs, packed by bucket."""
+    shingled, starts = _shingled(np.concatenate(hashes), np.array([len(h) for h in hashes]))
+    keys = np.zeros((bands, len(hashes)), "u8")
+    for k, seed in enumerate(_seeds(bands)):
+        least = np.minimum.reduceat(shingled * seed, starts)
+        keys[k // ROWS_PER_BAND] = keys[k // ROWS_PER_BAND] * np.uint64(0x9E3779B97F4A7C15) + least
+    keys = mixed(keys + np.arange(1, bands + 1, dtype="u8")[:, None]).ravel()
+    owners = np.tile(np.array(units, "u8"), bands)
+    order = np.argsort(keys)
+    keys, owners = keys[order], owners[order]
+    which, first = np.unique(bucket_of(keys, buckets), return_index=True)
+    ends = np.concatenate([first[1:], [len(keys)]])
+    return pa.array(which.astype("i4")), packed(keys.view("i8"), ends), packed(owners.view("i8"), ends)
+
+
+def _least(found: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` neighbours, by doubling."""
+    span = 1
+    while 2 * span <= width:
+        found, span = np.minimum(found[:-span], found[span:]), 2 * span
+    rest = width - span
+    return np.minimum(found[:len(found) - rest], found[rest:])
+
+
+def _anchors(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor, several) of texts of at least RUN words: each anchor once, and whether its shingle recurs in the text."""
+    found, starts = _shingled(hashes, sizes)
+    count = sizes - RUN + 1
+    spot = np.repeat(starts - np.cumsum(count) + count, count) + np.arange(count.sum())
+    least, owner = _least(found, RUN - SHINGLE + 1)[spot], np.repeat(np.arange(len(sizes)), count)
+    fresh = np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
+    least, owner = least[fresh], owner[fresh]
+    order = np.lexsort((least, owner))
+    least, owner = least[order], owner[order]
+    fresh = np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
+    least, owner = least[fresh], owner[fresh]
+    salt = mixed(np.arange(len(sizes), dtype="u8"))
+    every, times = np.unique(mixed(found + np.repeat(salt, sizes - SHINGLE + 1)), return_counts=True)
+    return owner, least, times[np.searchsorted(every, mixed(least + salt[owner]))] > 1
+
+
+def _edges_of(text: str) -> tuple[int, int]:
+    """Where the first word starts and the last one ends."""
+    end = len(text)
+    while end and not WORD.match(text[end - 1]):
+        end -= 1
+    return WORD.search(text).start(), end
+
+
+UNITS = "array<struct<place: int, start: bigint, length: bigint, unit: bigint>>"
+
+
+def read_texts(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """What one reading of the texts gives, stored: rows of texts, and rows of band keys, which have a bucket.
+
+    (key, version, units, anchors, several, low, high) of each text: its paragraphs that are long enough to be judged,
+    and if it has RUN words its anchors and the edges of its words; `version` is a hash of the text, which tells rows with the
+    same id apart. (bucket, keys, members): the distinct paragraphs of a batch under their band keys.
+    """
+    bands = bands_for(similarity, recall)
+    buckets = buckets_for(bands * text_bytes(docs, text) / PARAGRAPH_BYTES)
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+    schema = StructType([StructField(f.name, f.dataType) for f in source.schema.fields[:2]] + StructType.fromDDL(
+        f"units {UNITS}, anchors array<bigint>, several array<boolean>, low bigint, high bigint, "
+        "bucket int, keys array<bigint>, members array<bigint>").fields)
+    kinds = to_arrow_schema(schema)
+
+    def filled(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        rows = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in kinds], schema=kinds)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hashes, units, edges, fresh = [], [], [], {}
+            for one in batch.column(2).to_pylist():
+                found = paragraphs(one or "")
+                own = _hashes([w for _, _, words in found for w in words], known)
+                at, mine = 0, []
+                for place, (start, end, words) in enumerate(found):
+                    if len(words) >= MIN_WORDS:
+                        mine.append((place, start, end - start, unit_hash(words)))
+                        fresh.setdefault(mine[-1][3], own[at:at + len(words)])
+                    at += len(words)
+                units.append(mine)
+                hashes.append(own)
+                edges.append(_edges_of(one) if len(own) >= RUN else (None, None))
+            flat_units = [u for mine in units for u in mine]
+            place, start, length, unit = zip(*flat_units, strict=True) if flat_units else [()] * 4
+            unit = np.array(unit, "u8").view("i8")
+            struct = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                                                 pa.array(unit, pa.int64())], ["place", "start", "length", "unit"])
+            sizes = np.array([len(h) for h in hashes])
+            long = np.flatnonzero(sizes >= RUN)
+            counts = np.zeros(len(sizes), "i8")
+            anchors, several = np.zeros(0, "u8"), np.zeros(0, bool)
+            if len(long):
+                owner, anchors, several = _anchors(np.concatenate([hashes[k] for k in long]), sizes[long])
+                counts[long] = np.bincount(owner, minlength=len(long))
+            yield filled({
+                "key": batch.column(0), "version": batch.column(1), "units": packed(struct, np.cumsum([len(m) for m in units])),
+                "anchors": packed(anchors.view("i8"), np.cumsum(counts)), "several": packed(several, np.cumsum(counts)),
+                "low": pa.array([e[0] for e in edges], pa.int64()), "high": pa.array([e[1] for e in edges], pa.int64())})
+            names, words = list(fresh), list(fresh.values())
+            while names:
+                size, take = 0, 0
+                while take < len(names) and size < WORDS_AT_ONCE:
+                    size += len(words[take])
+                    take += 1
+                bucket, keys, members = _band_rows(words[:take], names[:take], bands, buckets)
+                yield filled({"bucket": bucket, "keys": keys, "members": members})
+                names, words = names[take:], words[take:]
+
+    return store(source.mapInArrow(read, schema), "read")
 
 
 def _met(table: pa.Table) -> pa.Table:
     """The distinct members of every band key that at least two paragraphs share."""
     keys, _ = flat(table.column("keys"))
-    units, _ = flat(table.column("units"))
+    units, _ = flat(table.column("members"))
     order = np.lexsort((units, keys))
     keys, units = keys[order], units[order]
     fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (units[1:] != units[:-1])])
@@ -182,33 +282,9 @@ def _verified(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, version, place, start, length, unit) of every paragraph that is long enough to be judged.
-
-    `version` is a hash of the text, which tells rows with the same id apart.
-    """
-    def start() -> Callable:
-        def work(texts: list[str]) -> list:
-            out = []
-            for t in texts:
-                out.append([{"place": i, "start": a, "length": b - a, "unit": int(np.uint64(unit_hash(w)).astype("i8"))}
-                            for i, (a, b, w) in enumerate(paragraphs(t)) if len(w) >= MIN_WORDS])
-            kind = pa.list_(pa.struct([("place", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("unit", pa.int64())]))
-            return [pa.array(out, kind)]
-        return work
-
-    versioned = docs.select(F.col(key), F.xxhash64(text).alias("version"), F.col(text))
-    found = map_texts(versioned, [key, "version"], text,
-                      "units array<struct<place:int,start:bigint,length:bigint,unit:bigint>>", start)
-    return found.select(key, "version", F.inline("units"))
-
-
-def similar_units(docs: DataFrame, places: DataFrame, key: str, text: str, similarity: float, recall: float) -> DataFrame:
+def similar_units(docs: DataFrame, read: DataFrame, places: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """Edges (a, b) between different paragraphs with exact Jaccard similarity of at least `similarity`."""
-    bands = bands_for(similarity, recall)
-    buckets = buckets_for(bands * text_bytes(docs, text) / PARAGRAPH_BYTES)
-    sent = docs.select(text).mapInArrow(lambda it: _sent(it, bands, buckets),
-                                        "bucket int, keys array<bigint>, units array<bigint>")
+    sent = read.where("bucket is not null").select("bucket", "keys", "members")
     members = store(sent.groupBy("bucket").applyInArrow(_met, "key bigint, unit bigint"), "members")
     # one near copy shares most bands with the other: keep one key for each set of members
     sets = members.groupBy("key").agg(F.bit_xor(F.xxhash64("unit")).alias("mark"), F.count("*").alias("n"))
@@ -243,12 +319,14 @@ def similar_units(docs: DataFrame, places: DataFrame, key: str, text: str, simil
         lambda t: _verified(t, similarity), "a bigint, b bigint").distinct()
 
 
-def removals(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def removals(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, recall: float = RECALL,
+             read: DataFrame | None = None) -> DataFrame:
     """Every occurrence of a passage but its first: (key, version, place, start, length, class_unit, first_key),
     the last being the row that keeps the passage."""
-    found = store(occurrences(docs, key, text), "paragraphs")
+    read = read or read_texts(docs, key, text, similarity, recall)
+    found = read.where("bucket is null").select(F.col("key").alias(key), "version", F.inline("units"))
     places = found.groupBy("unit").agg(F.min(F.struct(key, "version", "place")).alias("first"), F.count("*").alias("n"))
-    linked = components(similar_units(docs, places, key, text, similarity, recall))
+    linked = components(similar_units(docs, read, places, key, text, similarity))
     rooted = places.join(linked, places["unit"] == linked["node"], "left").select(
         "unit", "first", "n", F.coalesce("component", "unit").alias("class_unit"))
     classes = rooted.groupBy("class_unit").agg(F.min("first").alias("kept"), F.sum("n").alias("copies")).where("copies > 1")
@@ -275,64 +353,43 @@ def _window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(total)
 
 
-def _anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of a text of at least RUN words, and the least one of every window of RUN words."""
-    found = _shingled(hashes, np.array([len(hashes)]))[0]
-    least, length, size = found, 1, RUN - SHINGLE + 1
-    while 2 * length <= size:
-        least = np.minimum(least[:-length], least[length:])
-        length *= 2
-    count = len(found) - size + 1
-    return found, np.minimum(least[:count], least[size - length:size - length + count])
-
-
-def _placed(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of all words."""
-    found = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
-    if not found:
-        return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8")
-    words, starts, ends = zip(*found, strict=True)
-    return _hashes(list(words), known), np.array(starts), np.array(ends)
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, version, content, at, hashes, starts, ends) of neighbouring windows of RUN words on one wanted anchor.
 
-
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(version, anchor, times) of each text's anchors, and one row without an anchor with its bounds."""
-    known: dict[str, int] = {}
-    for batch in batches:
-        versions, anchors, times, low, high = [], [], [], [], []
-        for version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            hashes, starts, ends = _placed(text or "", known)
-            if len(hashes) < RUN:
-                continue
-            found, least = _anchors(hashes)
-            own = np.unique(least)
-            all_own = found[np.isin(found, own)]
-            _, count = np.unique(all_own, return_counts=True)
-            versions += [version] * (len(own) + 1)
-            anchors += [*own.view("i8").tolist(), None]
-            times += [*count.tolist(), 0]
-            low += [None] * len(own) + [int(starts[0])]
-            high += [None] * len(own) + [int(ends[-1])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(versions, pa.int64()), pa.array(anchors, pa.int64()), pa.array(times, pa.int64()),
-             pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["version", "anchor", "times", "low", "high"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, version, hash, at, start, end) of the windows of RUN words whose anchor is wanted."""
+    A stretch has fewer windows than RUN words, so its first and last window hold all its words.
+    """
     known: dict[str, int] = {}
+    width = RUN - SHINGLE + 1
     for batch in batches:
+        rows, at, contents, sizes = [], [], [], []
+        hashed, starts, ends = [np.zeros(0, "u8")], [np.zeros(0, "i8")], [np.zeros(0, "i8")]
         for row, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            hashes, starts, ends = _placed(text or "", known)
-            _, least = _anchors(hashes)
-            at = np.flatnonzero(np.isin(least, np.array(wanted, "i8").view("u8")))
-            one = batch.slice(row, 1)
-            same = np.zeros(len(at), "i8")
+            own = _hashes(words_of(text), known)
+            least = _least(_shingled(own, np.array([len(own)]))[0], width)
+            spot = np.flatnonzero(np.isin(least, np.array(wanted, "i8").view("u8")))
+            if not len(spot):
+                continue
+            head = np.concatenate([[True], (spot[1:] != spot[:-1] + 1) | (least[spot[1:]] != least[spot[:-1]])])
+            begin = np.flatnonzero(head)
+            inside = np.arange(len(spot)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(spot)]])))
+            begin = np.flatnonzero(inside % width == 0)
+            count = np.diff(np.concatenate([begin, [len(spot)]]))
+            windows = _window_hashes(own, RUN)[spot]
+            spans = np.array([m.span() for m in WORD.finditer(text)])
+            rows.append(np.full(len(begin), row))
+            at.append(spot[begin])
+            sizes.append(count)
+            contents.append(mixed(mixed(windows[begin] + mixed(windows[begin + count - 1])) + count.astype("u8")))
+            hashed.append(windows)
+            starts.append(spans[spot, 0])
+            ends.append(spans[spot + RUN - 1, 1])
+        if rows:
+            row, stops = pa.array(np.concatenate(rows)), np.cumsum(np.concatenate(sizes))
             yield pa.RecordBatch.from_arrays(
-                [one.column(0).take(pa.array(same)), one.column(1).take(pa.array(same)),
-                 pa.array(_window_hashes(hashes, RUN)[at].view("i8")), pa.array(at.astype("i8")),
-                 pa.array(starts[at].astype("i8")), pa.array(ends[at + RUN - 1].astype("i8"))],
-                names=["key", "version", "hash", "at", "start", "end"])
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(contents).view("i8")),
+                 pa.array(np.concatenate(at).astype("i8")), packed(np.concatenate(hashed).view("i8"), stops),
+                 packed(np.concatenate(starts).astype("i8"), stops), packed(np.concatenate(ends).astype("i8"), stops)],
+                names=["key", "version", "content", "at", "hashes", "starts", "ends"])
 
 
 def _pieces(spans: list[dict]) -> list[dict]:
@@ -357,43 +414,56 @@ def _pieces(spans: list[dict]) -> list[dict]:
     return out
 
 
-def repeated_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
+def repeated_runs(docs: DataFrame, key: str, text: str, read: DataFrame | None = None) -> DataFrame:
     """(key, version, start, end, hash, first) of every RUN words in a row that an earlier place has word for word.
 
     Earlier is an earlier row, or an earlier place of the same text that doesn't overlap; `first` is the key of the
     row that has them first and `hash` names them. A text that another row has too is one span of all its words.
     """
+    read = read or read_texts(docs, key, text)
     kind = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[key]
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
-    told = store(rows.select("version", "text").mapInArrow(
-        _told, "version bigint, anchor bigint, times bigint, low bigint, high bigint").distinct(), "anchors")
-    owners = store(rows.groupBy("version").agg(F.min(F.struct("key")).alias("owner")), "owners")
-    found = told.where("anchor is not null").select("version", "anchor", "times")
-    shared = found.groupBy("anchor").agg(F.min("version").alias("a"), F.max("version").alias("b"), F.max("times").alias("times"))
-    shared = shared.where("a <> b or times > 1").select("anchor")
+    # every text once, with its first row
+    texts = store(read.where("bucket is null").groupBy("version").agg(
+        F.min(F.struct("key")).alias("owner"), F.any_value("anchors").alias("anchors"), F.any_value("several").alias("several"),
+        F.min("low").alias("low"), F.min("high").alias("high")), "texts")
+    found = texts.select("version", F.inline(F.arrays_zip("anchors", "several")).alias("anchor", "several"))
+    shared = found.groupBy("anchor").agg(F.min("version").alias("a"), F.max("version").alias("b"), F.bool_or("several").alias("several"))
+    shared = shared.where("a <> b or several").select("anchor")
     wanted = found.join(shared, "anchor").groupBy("version").agg(F.collect_list("anchor").alias("wanted"))
-    wanted = wanted.join(owners, "version").select(F.col("version").alias("v"), F.col("owner.key").alias("k"), "wanted")
+    wanted = wanted.join(texts.select("version", "owner"), "version").select(
+        F.col("version").alias("v"), F.col("owner.key").alias("k"), "wanted")
     held = rows.join(wanted, rows["key"].eqNullSafe(wanted["k"]) & (rows["version"] == wanted["v"]))
-    windows = store(held.select("key", "version", "text", "wanted").mapInArrow(
-        _windows, f"key {kind}, version bigint, hash bigint, at bigint, start bigint, end bigint"), "windows")
-    place = F.struct("key", "version", "at")
-    first = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
-    own = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("version") == F.col("first.version"))
-    again = windows.join(first, "hash").where(~own | (F.col("at") >= F.col("first.at") + RUN)).select(
-        "key", "version", "start", "end", "hash", F.col("first.key").alias("first"))
+    stretches = store(held.select("key", "version", "text", "wanted").mapInArrow(
+        _stretches, f"key {kind}, version bigint, content bigint, at bigint, hashes array<bigint>, starts array<bigint>, ends array<bigint>"),
+        "stretches")
+    # the first place of equal stretches finds the first place of each of their windows
+    firsts = stretches.groupBy("content").agg(F.min(F.struct("key", "version", "at", "hashes")).alias("rep"))
+    windows = firsts.select("content", "rep.key", "rep.version", "rep.at", F.posexplode("rep.hashes").alias("j", "hash"))
+    place = F.struct("key", "version", (F.col("at") + F.col("j")).alias("at"))
+    first = windows.groupBy("hash").agg(F.min(place).alias("first"))
+    # windows that follow each other at their first place too are a segment: `gap` is where a stretch there would begin
+    told = windows.select("content", "j", "hash").join(first, "hash").select(
+        "content", "j", "hash", F.col("first.key").alias("first"), F.col("first.version").alias("of"), (F.col("first.at") - F.col("j")).alias("gap"))
+    along = Window.partitionBy("content", "first", "of", "gap").orderBy("j")
+    segments = (told.withColumn("part", F.col("j") - F.row_number().over(along)).groupBy("content", "first", "of", "gap", "part")
+                .agg(F.min("j").alias("j"), F.max("j").alias("last"), F.min_by("hash", "j").alias("hash")))
+    own = F.col("key").eqNullSafe(F.col("first")) & (F.col("version") == F.col("of"))
+    again = stretches.join(segments, "content").where(~own | (F.col("at") - F.col("gap") >= RUN)).select(
+        "key", "version", F.get("starts", "j").alias("start"), F.get("ends", "last").alias("end"), "hash", "first")
     # other rows with the same text
-    bounds = told.where("anchor is null").select("version", F.col("low").alias("start"), F.col("high").alias("end"))
-    copies = rows.select("key", "version").distinct().join(owners, "version").where(
-        ~F.col("key").eqNullSafe(F.col("owner.key"))).join(bounds, "version").select(
-        "key", "version", "start", "end", F.col("version").alias("hash"), F.col("owner.key").alias("first"))
+    copies = rows.select("key", "version").distinct().join(texts.where("low is not null").select("version", "owner", "low", "high"), "version").where(
+        ~F.col("key").eqNullSafe(F.col("owner.key"))).select(
+        "key", "version", F.col("low").alias("start"), F.col("high").alias("end"), F.col("version").alias("hash"), F.col("owner.key").alias("first"))
     return again.unionByName(copies)
 
 
 def passages(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The `removals`, and what is left of `repeated_runs` beside them: rows of the same columns without a place."""
-    taken = store(removals(docs, key, text), "removals")
+    read = read_texts(docs, key, text)
+    taken = store(removals(docs, key, text, read=read), "removals")
     kind = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[key]
-    runs = repeated_runs(docs, key, text).select("key", "version", F.struct(
+    runs = repeated_runs(docs, key, text, read).select("key", "version", F.struct(
         F.lit(True).alias("run"), "start", "end", "hash", "first").alias("span"))
     lines = taken.select(F.col(key).alias("key"), "version", F.struct(
         F.lit(False).alias("run"), "start", (F.col("start") + F.col("length")).alias("end"), F.col("class_unit").alias("hash"),
@@ -442,5 +512,5 @@ def kept_text(text: Column, spans: Column) -> Column:
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each passage to remove: where it is, its class and the document that keeps it."""
-    found = passages(read(spark, sf_dir, "documents"), "doc_id", "text")
+    found = passages(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", "place", "start", "length", F.col("class_unit").alias("class_id"), "first_doc_id")
