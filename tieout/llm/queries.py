@@ -34,9 +34,9 @@ part AS MATERIALIZED (SELECT item_id, n, i, array_to_string(w[i + 1:i + 5], ' ')
 part_count AS (SELECT item_id, n, s, count(*) AS c FROM part GROUP BY ALL),
 doc AS (SELECT doc_id, w, len(w) AS m FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
 cut AS MATERIALIZED (SELECT doc_id, m, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM doc, unnest(range(m - 4)) AS t(p)),
-laid AS MATERIALIZED (
-  SELECT DISTINCT doc_id, n, greatest(0, least(p - i, m - n)) AS start, least(n, m) AS size
-  FROM cut JOIN (SELECT DISTINCT n, i, s FROM part) USING (s)),
+laid AS MATERIALIZED (  -- every start in documents that share a shingle with an item of the size
+  SELECT doc_id, n, unnest(range(greatest(m - n, 0) + 1)) AS start, least(n, m) AS size
+  FROM (SELECT DISTINCT doc_id, m, n FROM cut JOIN (SELECT DISTINCT n, s FROM part) USING (s))),
 held AS (
   SELECT doc_id, n, start, size, s, count(*) AS c FROM laid JOIN cut USING (doc_id)
   WHERE p BETWEEN start AND start + size - 5 GROUP BY ALL),
