@@ -8,6 +8,15 @@ from oracle.books_sql import EXACT, EXCEPTIONS, TRUTH, over, over_books, over_ru
 from tieout.functions.narration import NOISE_WORDS
 
 
+def _tree(leaves: str) -> str:
+    """(g, node) from (g, node): sha256 over the sorted nodes that share four digits, then two, then none."""
+    nodes = f"SELECT g, node AS spot, node FROM ({leaves})"
+    for digits in (4, 2, 0):
+        nodes = (f"SELECT g, spot, sha256(string_agg(node, '' ORDER BY node)) AS node FROM (SELECT g, left(spot, {digits}) AS spot, "
+                 f"spot || node AS node FROM ({nodes})) GROUP BY ALL")
+    return nodes
+
+
 def grouped(paise: str) -> str:
     """Rupees in Indian grouping; DuckDB's patterns have no look-ahead."""
     digits = f"lpad(CAST(abs({paise}) AS VARCHAR), CAST(greatest(3, length(CAST(abs({paise}) AS VARCHAR))) AS INTEGER), '0')"
@@ -202,17 +211,18 @@ SCORING = {
         "amount_at_risk, payments_auto * 90 AS seconds_saved, (payments_auto * 90 // 3600) || 'h' || CASE WHEN payments_auto * 90 // 60 % 60 = 0 "
         "THEN '' ELSE ' ' || lpad(CAST(payments_auto * 90 // 60 % 60 AS VARCHAR), 2, '0') || 'm' END AS time_saved FROM scored", METRICS),
     "output_hash": over_run(
-        "SELECT count(*) AS groups, sha256(CAST(sum(CAST(('0x' || substr(sha256(line), 1, 15)) AS HUGEINT)) AS VARCHAR)) AS output_hash FROM "
-        "(SELECT concat_ws('|', g.id, CAST(coalesce(s, 0) AS VARCHAR), settlement_id, bank_line_id, status, pass_id, "
-        "printf('%.4f', CAST(confidence AS DOUBLE)), '0') AS line FROM groups g LEFT JOIN (SELECT group_id, "
-        "sum(CAST(('0x' || substr(sha256(kind || ':' || id), 1, 15)) AS HUGEINT)) AS s FROM members WHERE kind IN ('invoice', 'payment') GROUP BY 1) m "
-        "ON g.id = m.group_id)"),
+        "SELECT (SELECT count(*) FROM groups) AS groups, node AS output_hash FROM (" + _tree(
+            "SELECT 0 AS g, sha256(concat_ws('|', g.id, coalesce(m.node, ''), settlement_id, bank_line_id, status, pass_id, "
+            "printf('%.4f', CAST(confidence AS DOUBLE)), '0')) AS node FROM groups g LEFT JOIN ("
+            + _tree("SELECT group_id AS g, sha256(kind || ':' || id) AS node FROM members WHERE kind IN ('invoice', 'payment')")
+            + ") m ON g.id = m.g") + ")"),
     "sweep_summary": over_books(
-        "SELECT 'label ' || k % 10 AS label, count(*) AS runs, CAST(sum(k % 977) AS BIGINT) AS records, "
+        "SELECT *, CAST(row_number() OVER (ORDER BY label = 'all', label) AS INT) AS position FROM ("
+        "SELECT label, count(*) AS runs, CAST(sum(k % 977) AS BIGINT) AS records, "
         "round(avg(k % 100 / 100.0) FILTER (k % 4 <> 1), 4) AS precision, round(avg(k % 64 / 64.0) FILTER (k % 4 <> 1), 4) AS recall, "
         "CAST(sum(k % 3) FILTER (k % 4 <> 1) AS BIGINT) AS false_matches_total, max(k % 3) FILTER (k % 4 <> 1) AS false_matches_worst, "
         "round(avg(k % 256 / 256.0), 4) AS auto_rate, round(avg(k % 83), 1) AS open_exceptions_mean, "
-        "round(median(amount / 100.0), 1) AS throughput_rps_median FROM o GROUP BY 1"),
+        "round(median(amount / 100.0), 1) AS throughput_rps_median FROM (SELECT *, unnest(['label ' || k % 10, 'all']) AS label FROM o) GROUP BY 1)"),
 }
 
 _DAYS = ("days AS (SELECT CAST(unnest(generate_series((SELECT min(settled_at) FROM stl), (SELECT min(settled_at) FROM stl) + 13, INTERVAL 1 DAY)) "
@@ -343,7 +353,7 @@ FILES = {
     "header_mapping": over_books(
         "SELECT role, sha256(array_to_string(list_transform(list_append(string_split(h, ';'), 'Extra ' || e), lambda x: lower(x)), chr(31))) AS signature, "
         "m || CASE role WHEN 'ledger' THEN ',number' ELSE ',-' END AS fields "
-        "FROM (SELECT DISTINCT b % 5 AS e FROM o), (VALUES "
+        "FROM (SELECT DISTINCT o_custkey AS e FROM o), (VALUES "
         "('ledger', 'Invoice No;Customer Name;Amount Due;Invoice Date;Reference;Notes', 'id,customer,amount,issued_at,ref,-'), "
         "('gateway', 'Payment ID;Invoice Ref;Gross Amount;Gateway Fee;GST on Fee;Status;Created At;Method;Settlement ID', "
         "'id,invoice_ref,gross,fee,tax,status,captured_at,method,settlement_id'), "

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions.money import duration_text
 from tieout.model import AMOUNT_OF, AnswerKey, Books
+from tieout.operators.ordering import with_ordinals
+from tieout.session import materialize
 from tieout.vocab import KINDS, SECONDS_PER_MANUAL_MATCH, UNMATCHABLE
 
 
@@ -140,32 +142,71 @@ def run_impact(metrics: DataFrame) -> DataFrame:
         seconds.alias("seconds_saved"), duration_text(seconds).alias("time_saved"))
 
 
+TOTAL = "all"
+
+
+def exact_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median) of the values that are there.
+
+    Rows are put into one global order by key and value, in ranges, so a key that holds nearly all of them is spread over many
+    tasks; the one or two rows in the middle of each key's places are then picked by number.
+    """
+    held = rows.select(key, value).filter(F.col(value).isNotNull()).withColumn("__tie", F.monotonically_increasing_id())
+    placed = materialize(with_ordinals(held, [key, value, "__tie"], "place"), "placed")
+    spans = placed.groupBy(F.col(key).alias("of")).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    # a key's one or two middle places, asked of the numbers
+    middle = spans.select(F.explode(F.array_distinct(F.array(F.expr("first + (n - 1) div 2"), F.expr("first + n div 2")))).alias("place"))
+    return placed.join(middle, "place").groupBy(key).agg(F.avg(value).alias("median"))
+
+
 def sweep_summary(history: DataFrame) -> DataFrame:
-    """Metrics history by label: sums, means and the exact median throughput."""
-    return history.groupBy("label").agg(
+    """Metrics history by label, and over all labels: sums, means and the exact median throughput.
+
+    `position` is the order of the report: labels by name, the total last.
+    """
+    both = history.withColumn("label", F.explode(F.array("label", F.lit(TOTAL))))
+    totals = both.groupBy("label").agg(
         F.count("*").alias("runs"), F.sum("records").alias("records"),
         F.round(F.avg("precision"), 4).alias("precision"), F.round(F.avg("recall"), 4).alias("recall"),
         F.coalesce(F.sum("false_matches"), F.lit(0)).alias("false_matches_total"),
         F.coalesce(F.max("false_matches"), F.lit(0)).alias("false_matches_worst"),
         F.round(F.avg("auto_rate"), 4).alias("auto_rate"),
-        F.round(F.avg("open_exceptions"), 1).alias("open_exceptions_mean"),
-        F.round(F.median("throughput_rps"), 1).alias("throughput_rps_median"))
+        F.round(F.avg("open_exceptions"), 1).alias("open_exceptions_mean"))
+    medians = exact_medians(both, "label", "throughput_rps").select(F.col("label").alias("of"), "median")
+    joined = totals.join(medians, totals["label"].eqNullSafe(F.col("of")), "left").drop("of")
+    # a row for each label
+    order = Window.orderBy(F.col("label").eqNullSafe(TOTAL), F.col("label").asc_nulls_first())
+    return joined.withColumn("throughput_rps_median", F.round("median", 1)).withColumn(
+        "position", F.row_number().over(order)).drop("median")
+
+
+def multiset_hash(leaves: DataFrame, by: list[str], leaf: str) -> DataFrame:
+    """(by, hash): one sha256 over the multiset of sha256 texts in `leaf`, for each value of `by`.
+
+    A tree: leaves that share their first four digits are sorted and hashed, then nodes that share two, then all. A node holds at most
+    a 65,536th of the leaves, or 256 nodes, and two multisets with one hash would be a collision of sha256.
+    """
+    nodes = leaves.select(*by, F.col(leaf).alias("node"), F.col(leaf).alias("spot"))
+    for digits in (4, 2, 0):
+        nodes = nodes.select(*by, F.concat("spot", "node").alias("node"), F.substring("spot", 1, digits).alias("spot")).groupBy(*by, "spot").agg(
+            F.sha2(F.array_join(F.sort_array(F.collect_list("node")), ""), 256).alias("node"))
+    return nodes.select(*by, F.col("node").alias("hash"))
 
 
 def output_hash(groups: DataFrame, members: DataFrame) -> DataFrame:
     """One sha256 for a result, whatever order or partitioning it arrives in.
 
-    Records and groups are hashed one by one and added up, so equal results give
-    equal hashes and no group or run is ever one long string.
+    Each group's members are hashed as a multiset, and the groups with these hashes as another, so
+    equal results give equal hashes and no group or run is ever one long string.
     """
-    def folded(text: Column) -> Column:
-        return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-
-    held = members.filter(F.col("kind").isin("invoice", "payment"))
-    per_group = held.groupBy(F.col("group_id").alias("id")).agg(
-        F.sum(folded(F.concat_ws(":", "kind", "id"))).alias("members"))
-    line = F.concat_ws("|", "id", F.coalesce(F.col("members"), F.lit(0)).cast("string"), "settlement_id",
+    held = members.filter(F.col("kind").isin("invoice", "payment")).select(
+        F.col("group_id").alias("id"), F.sha2(F.concat_ws(":", "kind", F.col("id")), 256).alias("leaf"))
+    per_group = multiset_hash(held, ["id"], "leaf").withColumnRenamed("hash", "members")
+    line = F.concat_ws("|", "id", F.coalesce(F.col("members"), F.lit("")), "settlement_id",
                        "bank_line_id", "status", "pass_id", F.format_string("%.4f", F.col("confidence")),
                        F.col("residual").cast("string"))
-    total = groups.join(per_group, "id", "left").agg(F.count("*").alias("groups"), F.sum(folded(line)).alias("s"))
-    return total.select("groups", F.sha2(F.coalesce(F.col("s"), F.lit(0)).cast("string"), 256).alias("output_hash"))
+    lines = groups.join(per_group, "id", "left").select(F.lit(0).alias("run"), F.sha2(line, 256).alias("leaf"))
+    root = multiset_hash(lines, ["run"], "leaf")
+    both = groups.agg(F.count("*").alias("groups")).select("groups", F.lit(None).cast("string").alias("hash")).unionByName(
+        root.select(F.lit(None).cast("bigint").alias("groups"), "hash"))
+    return both.agg(F.max("groups").alias("groups"), F.coalesce(F.max("hash"), F.sha2(F.lit(""), 256)).alias("output_hash"))

@@ -573,9 +573,9 @@ def header_mapping(spark, sf):
     parts = []
     for role in ("ledger", "gateway", "settlement", "bank"):
         names = F.split(F.lit(derived.HEADERS[role].replace("{d}", ";")), ";")
-        parts.append(fixture.orders(spark, sf).filter("k % 12 = 0").select(
-            F.concat(F.lit(f"{role}-"), F.col("b").cast("string")).alias("path"), F.lit(role).alias("role"),
-            F.concat(names, F.array(F.concat(F.lit("Extra "), (F.col("b") % 5).cast("string")))).alias("headers")))
+        parts.append(fixture.orders(spark, sf).select(
+            F.concat(F.lit(f"{role}-"), F.col("k").cast("string")).alias("path"), F.lit(role).alias("role"),
+            F.concat(names, F.array(F.concat(F.lit("Extra "), F.col("o_custkey").cast("string")))).alias("headers")))
     files = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     signed = files.select("role", text.header_signature(F.col("headers")).alias("signature"), "headers").distinct()
     wanted = signed.select("role", "signature", F.get("headers", F.size("headers") - 1).alias("header"),
