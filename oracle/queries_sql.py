@@ -454,6 +454,14 @@ SELECT run_id, state, epoch_us(lead(seen_at) OVER (PARTITION BY run_id ORDER BY
     "streamed_usage_against_limits": _LIMITS,
     "large_files": over_books("SELECT id, 'Naïve & Co, \"' || ord || '\" second line' AS customer, CAST(amount AS VARCHAR) AS amount, "
                               "strftime(issued_at, '%Y-%m-%d') AS issued_at, coalesce(ref, '') AS ref FROM inv"),
+    "constraint_breaches": _over_catalog(
+        "SELECT 'dataset name of a user' AS rule, to_json([CAST(user_id % 7 AS VARCHAR), name])::VARCHAR AS key, count(*) AS rows FROM datasets GROUP BY ALL HAVING count(*) > 1 "
+        "UNION ALL SELECT 'role of a dataset', to_json([dataset_id, CASE WHEN k % 101 = 3 THEN 'invoice' ELSE role END])::VARCHAR, count(*) FROM files GROUP BY ALL HAVING count(*) > 1 "
+        "UNION ALL SELECT 'known role', '[\"invoice\"]', count(*) FROM files WHERE k % 101 = 3 HAVING count(*) > 0 "
+        "UNION ALL SELECT 'exception of a run', to_json(['r' || b % 3, 'EXC-settlement-' || id])::VARCHAR, 2 FROM stl WHERE b % 31 = 4 "
+        "UNION ALL SELECT 'request key of a user', to_json([CAST(user_id % 7 AS VARCHAR), idempotency_key])::VARCHAR, count(*) FROM runs "
+        "WHERE idempotency_key IS NOT NULL GROUP BY ALL HAVING count(*) > 1 "
+        "UNION ALL SELECT DISTINCT 'held-out seeds', to_json([CAST(b AS VARCHAR)])::VARCHAR, 2 FROM o WHERE b % 50 = 1 AND b % 70 = 1"),
     "run_durations": _TRACE + "SELECT run_id, epoch_us(updated_at) // 1000 - epoch_us(created_at) // 1000 AS millis FROM standing",
     "usage_totals": "SELECT 'run-' || user_id AS run_id, count(*) AS requests, CAST(sum(floor(value)) AS BIGINT) AS tokens, "
                     "bool_or(value > 150) AS degraded FROM events GROUP BY 1",

@@ -7,6 +7,7 @@ from statistics import median
 import pytest
 
 from tieout.operators import scoring
+from tieout.operators.constraints import Disjoint, Listed, Unique, breaches
 
 
 def test_medians_of_a_label_that_holds_nearly_all_rows(spark):
@@ -38,3 +39,17 @@ def test_hashes_tell_multisets_apart(spark, change):
             for rows in (leaves, other))
     assert a == {"g": _tree(leaves)} and b == {"g": _tree(other)}
     assert (a == b) == (change in ("none", "order"))
+
+
+def test_rules_over_several_tables_in_one_pass(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, None), (1, None), (2, 'q"'), (2, 'q"'), (2, 'q"')], "u int, n string")
+    b = spark.createDataFrame([(5, "ledger"), (6, "letter"), (6, None), (None, "bank")], "seed int, role string")
+    rules = [Unique("names", "a", ("u", "n")), Unique("users", "a", ("u",)), Disjoint("apart", ("a", "u"), ("c", "seed")),
+             Disjoint("seeds", ("b", "seed"), ("c", "seed")), Listed("role", "b", "role", ("ledger", "bank"))]
+    c = spark.createDataFrame([(6,), (9,), (None,)], "seed int")
+    got = {(r.rule, r.key): r.rows for r in breaches({"a": a, "b": b, "c": c}, rules).collect()}
+    assert got == {("names", '["1","x"]'): 2, ("names", '["2","q\\""]'): 3, ("users", '["1"]'): 4, ("users", '["2"]'): 3,
+                   ("seeds", '["6"]'): 3, ("role", '["letter"]'): 1, ("role", "[null]"): 1}
+    assert breaches({"a": a.limit(0), "b": b.limit(0), "c": c}, rules).count() == 0
+    with pytest.raises(ValueError, match="no rule"):
+        breaches({"other": a}, rules)

@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tieout.functions.text import request_key
+from tieout.operators.constraints import Disjoint, Listed, Unique
 from tieout.operators.joins import spread_nulls
 from tieout.vocab import ROLES, RUN_STATES, TERMINAL_STATES
 
 MAX_PAGE = 200
 
+# What must hold over the catalog's tables.
+RULES = (
+    Unique("dataset name of a user", "datasets", ("user_id", "name")), Unique("role of a dataset", "files", ("dataset_id", "role")),
+    Unique("exception of a run", "exceptions", ("run_id", "exception_id")), Unique("request key of a user", "runs", ("user_id", "idempotency_key")),
+    Disjoint("held-out seeds", ("golden", "seed"), ("held_out", "seed")), Listed("known role", "files", "role", tuple(ROLES)))
+
 
 def for_user(rows: DataFrame, user_id) -> DataFrame:
     """Only the user's own rows; someone else's row and no row look the same."""

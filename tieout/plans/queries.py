@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tieout.functions import dates, money, narration, text
 from tieout.functions.calendar import add_business_days, is_business_day
 from tieout.model import duplicate_ids
-from tieout.operators import audit, catalog, faults, linking, ordering, reporting, scoring, similarity, triage
+from tieout.operators import audit, catalog, constraints, faults, linking, ordering, reporting, scoring, similarity, triage
 from tieout.operators.invoices import band_candidates
 from tieout.plans import books as fixture
 from tieout.plans import derived
@@ -663,6 +663,22 @@ def repeated_request_keys(spark, sf):
         catalog.repeated_keys(derived.datasets(spark, sf), "user_id", "name").withColumnRenamed("name", "idempotency_key"))
 
 
+@query
+def constraint_breaches(spark, sf):
+    """All rules of the catalog in one pass, over tables with planted breaches of each."""
+    files = derived.dataset_files(spark, sf).select("dataset_id", F.when(
+        F.col("uploaded_at") % 101 == 3, F.lit("invoice")).otherwise(F.col("role")).alias("role"))
+    filed = fixture.settlements(fixture.payments(spark, sf)).select(
+        F.concat(F.lit("r"), (F.col("ord") % 3).cast("string")).alias("run_id"), F.concat(F.lit("EXC-settlement-"), "id").alias("exception_id"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("ord") % 31 == 4, 2).otherwise(1))).alias("copy"))
+    batches = fixture.orders(spark, sf).select(F.col("b").alias("seed")).distinct()
+    tables_ = {
+        "datasets": derived.datasets(spark, sf).withColumn("user_id", F.col("user_id") % 7), "files": files, "exceptions": filed,
+        "runs": derived.runs(spark, sf).withColumn("user_id", F.col("user_id") % 7),
+        "golden": batches.filter("seed % 50 = 1"), "held_out": batches.filter("seed % 70 = 1")}
+    return constraints.breaches(tables_, catalog.RULES)
+
+
 @query
 def idempotent_runs(spark, sf):
     keyed = derived.runs(spark, sf).withColumn("user_id", F.col("user_id") % 7)
