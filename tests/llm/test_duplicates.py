@@ -235,7 +235,9 @@ def _brute_runs(rows):
     return out
 
 
-def test_passages_inside_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("frequent", [20_000, 3])
+def test_passages_inside_lines_equal_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(paragraphs, "FREQUENT", frequent)
     rng = random.Random(17)
     shared = [prose(2300 + k, 70).replace(".", "") for k in range(5)]
     rows = [(k, t) for k, t in odd_rows() if t is None or len(t) < 20_000] + [(60, "same " * 130)]

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -52,6 +52,10 @@ BLOCK = 2000
 RUN = 50
 # Words of paragraphs whose band keys are worked out together.
 WORDS_AT_ONCE = 1_000_000
+# Stretches on one anchor from which their windows are compared one by one.
+FREQUENT = 20_000
+# Bytes of text per compared window, only to choose the number of buckets.
+STRETCH_BYTES = 16
 # Bytes of text per paragraph, only to choose the number of buckets.
 PARAGRAPH_BYTES = 100
 
@@ -128,20 +132,27 @@ def _seeds(bands: int) -> np.ndarray:
     return np.random.default_rng(5).integers(1, 1 << 62, bands * ROWS_PER_BAND).astype("u8") * np.uint64(2) + np.uint64(1)
 
 
-def _band_rows(hashes: list[np.ndarray], units: list[int], bands: int, buckets: int) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """(bucket, keys, units): the band keys of paragraphs, packed by bucket."""
+def _band_keys(hashes: list[np.ndarray], bands: int) -> np.ndarray:
+    """The band keys of paragraphs: a row for each paragraph."""
     shingled, starts = _shingled(np.concatenate(hashes), np.array([len(h) for h in hashes]))
     keys = np.zeros((bands, len(hashes)), "u8")
     for k, seed in enumerate(_seeds(bands)):
         least = np.minimum.reduceat(shingled * seed, starts)
         keys[k // ROWS_PER_BAND] = keys[k // ROWS_PER_BAND] * np.uint64(0x9E3779B97F4A7C15) + least
-    keys = mixed(keys + np.arange(1, bands + 1, dtype="u8")[:, None]).ravel()
-    owners = np.tile(np.array(units, "u8"), bands)
-    order = np.argsort(keys)
-    keys, owners = keys[order], owners[order]
-    which, first = np.unique(bucket_of(keys, buckets), return_index=True)
-    ends = np.concatenate([first[1:], [len(keys)]])
-    return pa.array(which.astype("i4")), packed(keys.view("i8"), ends), packed(owners.view("i8"), ends)
+    return mixed(keys + np.arange(1, bands + 1, dtype="u8")[:, None]).T
+
+
+def _sent(batches: Iterator[pa.RecordBatch], bands: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Paragraphs with their band keys to (bucket, keys, members), packed by bucket."""
+    for batch in batches:
+        for members, keys in zip(*(batch.column(c) for c in (0, 1)), strict=True):
+            keys, owners = np.asarray(keys.values).view("u8"), np.repeat(np.asarray(members.values), bands)
+            order = np.argsort(keys)
+            keys, owners = keys[order], owners[order]
+            which, first = np.unique(bucket_of(keys, buckets), return_index=True)
+            ends = np.concatenate([first[1:], [len(keys)]])
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype("i4")), packed(keys.view("i8"), ends), packed(owners, ends)],
+                                             names=["bucket", "keys", "members"])
 
 
 def _least(found: np.ndarray, width: int) -> np.ndarray:
@@ -182,18 +193,17 @@ UNITS = "array<struct<place: int, start: bigint, length: bigint, unit: bigint>>"
 
 
 def read_texts(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """What one reading of the texts gives, stored: rows of texts, and rows of band keys, which have a bucket.
+    """What one reading of the texts gives, stored: rows of texts, and rows of `members`.
 
     (key, version, units, anchors, several, low, high) of each text: its paragraphs that are long enough to be judged,
     and if it has RUN words its anchors and the edges of its words; `version` is a hash of the text, which tells rows with the
-    same id apart. (bucket, keys, members): the distinct paragraphs of a batch under their band keys.
+    same id apart. (members, keys): the distinct paragraphs of a batch, and as many band keys for each as there are bands.
     """
     bands = bands_for(similarity, recall)
-    buckets = buckets_for(bands * text_bytes(docs, text) / PARAGRAPH_BYTES)
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     schema = StructType([StructField(f.name, f.dataType) for f in source.schema.fields[:2]] + StructType.fromDDL(
         f"units {UNITS}, anchors array<bigint>, several array<boolean>, low bigint, high bigint, "
-        "bucket int, keys array<bigint>, members array<bigint>").fields)
+        "members array<bigint>, keys array<bigint>").fields)
     kinds = to_arrow_schema(schema)
 
     def filled(columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -240,8 +250,8 @@ def read_texts(docs: DataFrame, key: str, text: str, similarity: float = SIMILAR
                 while take < len(names) and size < WORDS_AT_ONCE:
                     size += len(words[take])
                     take += 1
-                bucket, keys, members = _band_rows(words[:take], names[:take], bands, buckets)
-                yield filled({"bucket": bucket, "keys": keys, "members": members})
+                keys, own = _band_keys(words[:take], bands).ravel().view("i8"), np.array(names[:take], "u8").view("i8")
+                yield filled({"members": packed(own, np.array([take])), "keys": packed(keys, np.array([len(keys)]))})
                 names, words = names[take:], words[take:]
 
     return store(source.mapInArrow(read, schema), "read")
@@ -282,9 +292,13 @@ def _verified(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-def similar_units(docs: DataFrame, read: DataFrame, places: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+def similar_units(docs: DataFrame, read: DataFrame, places: DataFrame, key: str, text: str, similarity: float,
+                  recall: float) -> DataFrame:
     """Edges (a, b) between different paragraphs with exact Jaccard similarity of at least `similarity`."""
-    sent = read.where("bucket is not null").select("bucket", "keys", "members")
+    bands = bands_for(similarity, recall)
+    buckets = buckets_for(bands * text_bytes(docs, text) / PARAGRAPH_BYTES)
+    sent = read.where("members is not null").select("members", "keys").mapInArrow(
+        lambda it: _sent(it, bands, buckets), "bucket int, keys array<bigint>, members array<bigint>")
     members = store(sent.groupBy("bucket").applyInArrow(_met, "key bigint, unit bigint"), "members")
     # one near copy shares most bands with the other: keep one key for each set of members
     sets = members.groupBy("key").agg(F.bit_xor(F.xxhash64("unit")).alias("mark"), F.count("*").alias("n"))
@@ -324,9 +338,9 @@ def removals(docs: DataFrame, key: str, text: str, similarity: float = SIMILARIT
     """Every occurrence of a passage but its first: (key, version, place, start, length, class_unit, first_key),
     the last being the row that keeps the passage."""
     read = read or read_texts(docs, key, text, similarity, recall)
-    found = read.where("bucket is null").select(F.col("key").alias(key), "version", F.inline("units"))
+    found = read.where("members is null").select(F.col("key").alias(key), "version", F.inline("units"))
     places = found.groupBy("unit").agg(F.min(F.struct(key, "version", "place")).alias("first"), F.count("*").alias("n"))
-    linked = components(similar_units(docs, read, places, key, text, similarity))
+    linked = components(similar_units(docs, read, places, key, text, similarity, recall))
     rooted = places.join(linked, places["unit"] == linked["node"], "left").select(
         "unit", "first", "n", F.coalesce("component", "unit").alias("class_unit"))
     classes = rooted.groupBy("class_unit").agg(F.min("first").alias("kept"), F.sum("n").alias("copies")).where("copies > 1")
@@ -354,14 +368,14 @@ def _window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, version, content, at, hashes, starts, ends) of neighbouring windows of RUN words on one wanted anchor.
+    """(key, version, anchor, content, at, hashes, starts, ends) of neighbouring windows of RUN words on one wanted anchor.
 
     A stretch has fewer windows than RUN words, so its first and last window hold all its words.
     """
     known: dict[str, int] = {}
     width = RUN - SHINGLE + 1
     for batch in batches:
-        rows, at, contents, sizes = [], [], [], []
+        rows, at, contents, sizes, anchors = [], [], [], [], []
         hashed, starts, ends = [np.zeros(0, "u8")], [np.zeros(0, "i8")], [np.zeros(0, "i8")]
         for row, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             own = _hashes(words_of(text), known)
@@ -378,6 +392,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = np.array([m.span() for m in WORD.finditer(text)])
             rows.append(np.full(len(begin), row))
             at.append(spot[begin])
+            anchors.append(least[spot[begin]])
             sizes.append(count)
             contents.append(mixed(mixed(windows[begin] + mixed(windows[begin + count - 1])) + count.astype("u8")))
             hashed.append(windows)
@@ -386,10 +401,45 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             row, stops = pa.array(np.concatenate(rows)), np.cumsum(np.concatenate(sizes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(contents).view("i8")),
-                 pa.array(np.concatenate(at).astype("i8")), packed(np.concatenate(hashed).view("i8"), stops),
-                 packed(np.concatenate(starts).astype("i8"), stops), packed(np.concatenate(ends).astype("i8"), stops)],
-                names=["key", "version", "content", "at", "hashes", "starts", "ends"])
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(anchors).view("i8")),
+                 pa.array(np.concatenate(contents).view("i8")), pa.array(np.concatenate(at).astype("i8")),
+                 packed(np.concatenate(hashed).view("i8"), stops), packed(np.concatenate(starts).astype("i4"), stops),
+                 packed(np.concatenate(ends).astype("i4"), stops)],
+                names=["key", "version", "anchor", "content", "at", "hashes", "starts", "ends"])
+
+
+def _segments(table: pa.Table) -> pa.Table:
+    """A bucket's stretches (content, key, version, at, j, hashes) to segments: (content, j, last, hash, first, of, gap).
+
+    All windows with one hash are in one bucket. A segment's windows follow each other at their first place too, where a stretch
+    would begin at `gap`.
+    """
+    table = table.combine_chunks().sort_by([("key", "ascending"), ("version", "ascending"), ("at", "ascending")])
+    keys = table.column("key")
+    order = np.concatenate([np.flatnonzero(keys.is_null().to_numpy()), np.flatnonzero(keys.is_valid().to_numpy())])  # no key comes first
+    table = table.take(pa.array(order))
+    hashes, sizes = flat(table.column("hashes"))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    begin = table.column("j").to_numpy().astype("i8")
+    j = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[row]
+    at, version = table.column("at").to_numpy(), table.column("version").to_numpy()
+    # equal keys and versions are one text, whose windows come in order of their places
+    codes = table.column("key").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    fresh = np.concatenate([[True], (codes[1:] != codes[:-1]) | (version[1:] != version[:-1])])
+    text = np.cumsum(fresh) - 1
+    rank = np.lexsort(((at[row] + j), text[row], hashes))
+    head = np.concatenate([[True], hashes[rank][1:] != hashes[rank][:-1]])
+    lead = np.empty(len(row), "i8")
+    lead[rank] = rank[np.maximum.accumulate(np.where(head, np.arange(len(rank)), 0))]
+    gap = (at[row] + j)[lead] - j
+    cut = np.concatenate([[True], (row[1:] != row[:-1]) | (text[row[lead]][1:] != text[row[lead]][:-1]) | (gap[1:] != gap[:-1])])
+    head = np.flatnonzero(cut)
+    last = np.concatenate([head[1:], [len(row)]]) - 1
+    source = pa.array(row[lead[head]])
+    return pa.table({
+        "content": table.column("content").take(pa.array(row[head])), "j": pa.array(j[head].astype("i4")), "last": pa.array(j[last].astype("i4")),
+        "hash": pa.array(hashes[head]), "first": table.column("key").take(source), "of": table.column("version").take(source),
+        "gap": pa.array(gap[head])})
 
 
 def _pieces(spans: list[dict]) -> list[dict]:
@@ -424,7 +474,7 @@ def repeated_runs(docs: DataFrame, key: str, text: str, read: DataFrame | None =
     kind = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[key]
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     # every text once, with its first row
-    texts = store(read.where("bucket is null").groupBy("version").agg(
+    texts = store(read.where("members is null").groupBy("version").agg(
         F.min(F.struct("key")).alias("owner"), F.any_value("anchors").alias("anchors"), F.any_value("several").alias("several"),
         F.min("low").alias("low"), F.min("high").alias("high")), "texts")
     found = texts.select("version", F.inline(F.arrays_zip("anchors", "several")).alias("anchor", "several"))
@@ -435,22 +485,24 @@ def repeated_runs(docs: DataFrame, key: str, text: str, read: DataFrame | None =
         F.col("version").alias("v"), F.col("owner.key").alias("k"), "wanted")
     held = rows.join(wanted, rows["key"].eqNullSafe(wanted["k"]) & (rows["version"] == wanted["v"]))
     stretches = store(held.select("key", "version", "text", "wanted").mapInArrow(
-        _stretches, f"key {kind}, version bigint, content bigint, at bigint, hashes array<bigint>, starts array<bigint>, ends array<bigint>"),
+        _stretches, f"key {kind}, version bigint, anchor bigint, content bigint, at bigint, hashes array<bigint>, "
+        "starts array<int>, ends array<int>"),
         "stretches")
-    # the first place of equal stretches finds the first place of each of their windows
-    firsts = stretches.groupBy("content").agg(F.min(F.struct("key", "version", "at", "hashes")).alias("rep"))
-    windows = firsts.select("content", "rep.key", "rep.version", "rep.at", F.posexplode("rep.hashes").alias("j", "hash"))
-    place = F.struct("key", "version", (F.col("at") + F.col("j")).alias("at"))
-    first = windows.groupBy("hash").agg(F.min(place).alias("first"))
-    # windows that follow each other at their first place too are a segment: `gap` is where a stretch there would begin
-    told = windows.select("content", "j", "hash").join(first, "hash").select(
-        "content", "j", "hash", F.col("first.key").alias("first"), F.col("first.version").alias("of"), (F.col("first.at") - F.col("j")).alias("gap"))
-    along = Window.partitionBy("content", "first", "of", "gap").orderBy("j")
-    segments = (told.withColumn("part", F.col("j") - F.row_number().over(along)).groupBy("content", "first", "of", "gap", "part")
-                .agg(F.min("j").alias("j"), F.max("j").alias("last"), F.min_by("hash", "j").alias("hash")))
+    # the first place of equal stretches finds the first place of each of their windows, in the bucket of their anchor; windows of
+    # anchors with very many stretches go to buckets of their own
+    counts = stretches.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT).select("anchor", F.lit(True).alias("hot"))
+    buckets = F.lit(buckets_for(text_bytes(docs, text) / STRETCH_BYTES))
+    firsts = stretches.groupBy("anchor", "content").agg(F.min(F.struct("key", "version", "at", "hashes")).alias("rep"))
+    told = firsts.join(counts, "anchor", "left").select("anchor", "content", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
+    names = ["content", "key", "version", "at"]
+    calm = told.where("not hot").select(F.pmod(F.xxhash64("anchor"), buckets).alias("bucket"), *names, F.lit(0).alias("j"), "hashes")
+    single = told.where("hot").select(*names, F.posexplode("hashes").alias("j", "hash"))
+    single = single.select(F.pmod(F.xxhash64("hash"), buckets).alias("bucket"), *names, "j", F.array("hash").alias("hashes"))
+    segments = calm.unionByName(single).groupBy("bucket").applyInArrow(
+        _segments, f"content bigint, j int, last int, hash bigint, first {kind}, of bigint, gap bigint")
     own = F.col("key").eqNullSafe(F.col("first")) & (F.col("version") == F.col("of"))
     again = stretches.join(segments, "content").where(~own | (F.col("at") - F.col("gap") >= RUN)).select(
-        "key", "version", F.get("starts", "j").alias("start"), F.get("ends", "last").alias("end"), "hash", "first")
+        "key", "version", F.get("starts", "j").cast("bigint").alias("start"), F.get("ends", "last").cast("bigint").alias("end"), "hash", "first")
     # other rows with the same text
     copies = rows.select("key", "version").distinct().join(texts.where("low is not null").select("version", "owner", "low", "high"), "version").where(
         ~F.col("key").eqNullSafe(F.col("owner.key"))).select(
