@@ -97,7 +97,8 @@ def choose_delimiter(text: Column) -> Column:
         best = F.array_max(F.array_compact(F.array(*[score(i, d) for i, d in enumerate(DELIMITERS)])))
         return F.coalesce(best["delimiter"], F.lit(","))
 
-    lines = F.slice(F.split(text, "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"), 1, HEADER_SCAN_LIMIT)
+    head = F.substring_index(text, "\n", HEADER_SCAN_LIMIT)  # holds at least as many lines; the rest is not split
+    lines = F.slice(F.split(head, "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"), 1, HEADER_SCAN_LIMIT)
     return let(F.slice(F.filter(lines, lambda line: ~is_blank(line)), 1, BODY_SAMPLE), chosen)
 
 
@@ -167,7 +168,9 @@ def parse_files(files: DataFrame, max_rows: int | None = None) -> Parsed:
     decoded = decode(kinds.filter("kind = 'csv'"))
     # Cut once: locating headers, shaping and counting all read the same cells.
     grid = materialize(tokenize(decoded), "grid")
-    return _shaped(grid, decoded.select("path", "encoding", choose_delimiter(F.col("text")).alias("delimiter")), wrong, max_rows)
+    head = F.substring_index(F.col("content").cast("string"), "\n", HEADER_SCAN_LIMIT).cast("binary")
+    described = decoded.select("path", "encoding", choose_delimiter(_decoded(head)).alias("delimiter"))
+    return _shaped(grid, described, wrong, max_rows)
 
 
 def parse_paths(spark: SparkSession, *paths: str, max_rows: int | None = None) -> Parsed:
