@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from ..operators.components import components
 from .chunks import bucket_of, buckets_for, flat, mixed, packed, text_bytes
 from .common import read as read_table
 from .common import store
-from .components import components
 from .simhash import forest
 
 SENTENCE = re.compile(r"[^\n.!?]*+(?:[.!?]++[\"')\]]*+|\n|\Z)")

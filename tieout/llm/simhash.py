@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import map_texts, read, store
-from .components import components
 
 SHINGLE_WORDS = 4
 SEED = 42

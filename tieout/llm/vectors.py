@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .chunks import flat, mixed
 from .common import read, store
-from .components import components
 from .simhash import forest
 
 COSINE, RECALL = 0.95, 0.999
