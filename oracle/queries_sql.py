@@ -598,4 +598,5 @@ counted AS (
 def statements() -> dict[str, str]:
     found = {**MATCHING, **SCORING, **REPORTING, **SCALARS, **FILES, **CATALOG, **FAULTS, **AUDITS, **COMPARISON}
     # what a stream leaves behind equals the table's own figures
-    return {**found, "streamed_stage_durations": found["stage_durations"]}
+    return {**found, "streamed_stage_durations": found["stage_durations"],
+            "books_round_trip": f"SELECT part, h.* FROM ({found['output_hash']}) h, (VALUES ('books'), ('json')) AS p(part)"}

@@ -632,6 +632,26 @@ def json_round_trip(spark, sf):
         filed.agg(F.lit("exceptions").alias("part"), F.count("*").alias("n"), F.sum("amount_at_risk").alias("amount")))
 
 
+@query
+def books_round_trip(spark, sf):
+    """Books to the JSON lines of the four roles and back, run again, and the result through its own JSON: the hash stays."""
+    run = _run(spark, sf)
+    books, folder = run.books, new_folder(spark, "books-json")
+    listed = books.membership.groupBy("settlement_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "payment_id"))),
+                                                                       lambda p: p["payment_id"]).alias("payment_ids"))
+    settled = books.settlements.join(listed, F.col("id") == F.col("settlement_id"), "left").drop("settlement_id")
+    parts = {"ledger": books.invoices, "gateway": books.payments, "bank": books.bank_lines,
+             "settlement": settled.withColumn("payment_ids", F.coalesce("payment_ids", F.array().cast("array<string>")))}
+    for role, rows in parts.items():
+        codecs.records_to_json(rows).write.text(f"{folder}/{role}")
+    read = {role: spark.read.text(f"{folder}/{role}").withColumnRenamed("value", "json") for role in parts}
+    again = reconcile(codecs.books_from_json(**read).replaced(unique_ids=True))
+    codecs.write_result(again.groups, again.members, again.exceptions, f"{folder}/result")
+    groups, members, _ = codecs.read_result(spark, f"{folder}/result")
+    first, second = scoring.output_hash(run.groups, run.members), scoring.output_hash(groups, members)
+    return first.withColumn("part", F.lit("books")).unionByName(second.withColumn("part", F.lit("json")))
+
+
 @query
 def exceptions_export(spark, sf):
     return codecs.exceptions_export(_run(spark, sf).exceptions)
