@@ -1,7 +1,7 @@
 """Document filtering as a chain of stages; each reads what the one before has written.
 
 Documents that the toxicity classifier rejects go; one document of each group of near copies
-(Jaccard similarity of five-word shingles at least 0.8) stays; bytes of repeated 50-byte strings
+(linked by SimHash fingerprints or MinHash bands, Jaccard similarity of five-word shingles at least 0.8) stays; bytes of repeated 50-byte strings
 go; documents that hold a benchmark item go; the rest is encoded. All columns of the documents pass
 through, and `text` and `n_chars` follow the removals.
 """

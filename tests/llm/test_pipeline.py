@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.cases import odd_rows, prose, table
-from tieout.llm import decontaminate, nearcopies, toxicity
+from tieout.llm import decontaminate, nearcopies, simhash, toxicity
 
 
 def _tokens(text):
@@ -132,6 +132,18 @@ def test_stage_drops_verified_near_copies_only(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3}
 
 
+def test_stage_links_by_simhash_groups(spark, monkeypatch):
+    """Without any band, fingerprints within 4 bits bring candidates together, and the exact check follows."""
+    whole = nearcopies.signatures
+    monkeypatch.setattr(nearcopies, "signatures", lambda *a: whole(*a).withColumn("bands", F.array().cast("array<bigint>")))
+    words = prose(1700, 2000, 3000).split()
+    near = [*words[:-1], "changed"]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, prose(1701, 300)), (4, None), (5, " ")]
+    assert sum(simhash.fingerprint(t) != simhash.fingerprint(rows[0][1]) for _, t in rows[:2]) <= 1
+    kept = nearcopies.one_of_each(table(spark, rows), "doc_id", "text")
+    assert {r.doc_id for r in kept.collect()} == {1, 3, 4}
+
+
 @pytest.fixture
 def folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(toxicity, "STEPS", 150)

@@ -1,12 +1,13 @@
-"""Near copies of whole texts: MinHash bands for the candidates, exact Jaccard similarity to link them.
+"""Near copies of whole texts: SimHash groups and MinHash bands for the candidates, exact Jaccard similarity to link them.
 
 Words are those of `simhash` (ASCII letters folded, cut at ASCII white space). Texts are compared
 by their sets of five-word shingles; a text of fewer words is one shingle. Texts that share a band
 meet under its key and are linked only where the exact similarity of their sets reaches the
 threshold; bands are as many as `paragraphs.bands_for` says for the wanted recall there.
 
-SimHash doesn't find these candidates: at similarity 0.8 about 10 of 64 bits differ, and a radius
-of 13 takes blocks of so few bits that a fixed share of all pairs would meet.
+The groups of `simhash` (fingerprints at 4 or fewer differing bits) are such keys as well. They alone
+don't find all candidates: at similarity 0.8 about 10 of 64 bits differ, and a radius of 13 takes blocks
+of so few bits that a fixed share of all pairs would meet.
 
 Equal texts are one entry from the start. A key's texts are dealt to blocks of HELD shingles that
 meet in pairs, each a task of its own; a text linked there is not compared again except to find
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
+from . import simhash
 from .chunks import flat, mixed
 from .common import map_texts, store
 from .paragraphs import RECALL, SHINGLE, SIMILARITY, bands_for, shingles
@@ -112,6 +114,13 @@ def _linked(table: pa.Table, similarity: float) -> pa.Table:
                      "b": np.concatenate(b) if b else np.zeros(0, "i8")})
 
 
+def simhash_keys(rows: DataFrame) -> DataFrame:
+    """(unit, key): the units of (unit, row, text) under a key for each group of linked SimHash fingerprints."""
+    marked = store(simhash.fingerprints(rows, ["unit", "row"], "text").dropDuplicates(["unit"]), "prints")
+    rooted = simhash.groups(marked, "unit")
+    return marked.join(rooted, "fp").select("unit", F.xxhash64(F.lit("simhash"), "root").alias("key"))
+
+
 def links(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Links (a, b) between the units of (unit, row, text) that join all pairs of at least `similarity`.
 
@@ -119,7 +128,8 @@ def links(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECAL
     """
     bands = bands_for(similarity, recall, ROWS_PER_BAND)
     signed = store(signatures(rows, ["unit", "row"], "text", bands).dropDuplicates(["unit"]), "signatures")
-    asked = signed.select("unit", "row", "size", F.explode("bands").alias("key"))
+    asked = signed.select("unit", "row", "size", F.explode("bands").alias("key")).unionByName(
+        signed.join(simhash_keys(rows), "unit").select("unit", "row", "size", "key"))
     # near copies share most bands: keep one key for each set of texts
     sets = asked.groupBy("key").agg(F.bit_xor(F.xxhash64("unit")).alias("mark"), F.count("*").alias("n"),
                                     F.sum("size").alias("size")).where("n > 1")
