@@ -8,6 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tieout import session
+from tieout.functions.text import header_signature
 from tieout.sources import mapping, records, splits, tables
 
 BANK = "Date,Narration,Withdrawal,Deposit,Balance\n"
@@ -161,3 +163,37 @@ def test_ends_inside_quotes_as_the_csv_module_sees_it():
             text = ('"' if inside else "") + line + "\n" + mark
             rows = list(csv.reader(io.StringIO(text, newline="")))
             assert splits.ends_inside(line.encode(), opener, inside) == (rows[-1] != [mark])
+
+
+def _planned(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_cell_is_parsed_in_one_place_of_the_plan(spark):
+    rows = spark.createDataFrame([("a", "ledger", 1, {"amount": "1.00", "issued_at": "2024-01-02"})],
+                                 "path string, role string, row_number long, fields map<string, string>")
+    assert _planned(records.build_records(rows, "ledger").good).count("empty date") == 1
+
+
+def test_rows_of_files_are_judged_once(spark):
+    content = b"Invoice No,Amount\nA1,10.00\n,\nTotal,10.00\n"
+    parsed = tables.parse_files(spark.createDataFrame([("a", bytearray(content))], "path string, content binary"))
+    assert "RLIKE" not in _planned(parsed.rows).upper()
+    assert [(r.row_number, r["values"]) for r in parsed.rows.collect()] == [(1, ["A1", "10.00"])]
+    assert [(r.blank_rows, r.summary_rows, r.data_rows) for r in parsed.files.collect()] == [(1, 1, 1)]
+
+
+def test_larger_tables_are_spread_to_more_tasks(spark, monkeypatch, tmp_path):
+    spark.range(1000).write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(session, "SPREAD_BYTES", 40)
+    rows = session.spread(spark.read.parquet(f"{tmp_path}/t"), "id")
+    assert rows.rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism and rows.count() == 1000
+
+
+def test_shapes_are_mapped_once_when_there_are_proposals(spark):
+    files = spark.createDataFrame([("a", "ledger", ["Invoice No", "Extra"])], "path string, role string, headers array<string>")
+    wanted = files.select("role", header_signature(F.col("headers")).alias("signature"), F.lit("Extra").alias("header"),
+                          F.lit("number").alias("field"), F.lit(1).alias("ord"))
+    mapped = mapping.map_shapes(files, wanted)
+    assert "_mapped" not in _planned(mapped)
+    assert [r.fields for r in mapped.collect()] == [["id", "number"]]

@@ -89,9 +89,10 @@ def build_records(mapped: DataFrame, role: str) -> Records:
         F.exists(F.map_values("fields"), lambda v: ~is_blank(F.coalesce(v, F.lit("")))))
     numbered = F.concat(F.lit(ID_PREFIX[role]), F.format_string("%06d", F.col("row_number")))
     rows = rows.withColumn("id", F.when(_given("id"), field("id")).otherwise(numbered))
-    for name in CHECKED[role]:
-        parse = parse_date if name in DATES else parse_amount
-        rows = rows.withColumn(f"p_{name}", parse(F.coalesce(field(name), F.lit(""))))
+    parsed = [(parse_date if name in DATES else parse_amount)(F.coalesce(field(name), F.lit(""))).alias(f"p_{name}")
+              for name in CHECKED[role]]
+    # Made as rows of a one-row list: the planner would copy plain columns into every filter and use, and parse each cell many times.
+    rows = rows.select("*", F.inline(F.array(F.struct(*parsed))))
 
     absent = F.array_compact(F.array(*[F.when(~_given(n), F.lit(n)) for n in REQUIRED[role]]))
     reason = F.when(F.size(absent) > 0, F.concat(F.lit("missing required field(s): "), F.array_join(absent, ", ")))
