@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tieout.functions.text import header_signature
+from tieout.session import materialize
 
 # Accepted header names per field, best first (fixed values).
 FIELD_HEADERS: dict[str, dict[str, tuple[str, ...]]] = {
@@ -112,6 +113,7 @@ def map_shapes(files: DataFrame, proposals: DataFrame | None = None) -> DataFram
     lone = mapped.select("role", "signature", F.posexplode("mapped").alias("at", "m"), "headers").select(
         "role", "signature", "at", F.get("headers", F.col("at")).alias("header"), "m.field", "m.resolved")
     if proposals is not None:
+        lone = materialize(lone, "shapes")  # read three times
         taken = lone.filter("field is not null").select("role", "signature", "field")
         wanted = proposals.join(lone.filter("not resolved").select("role", "signature", "header", "at"),
                                 ["role", "signature", "header"]).filter("field is not null")
