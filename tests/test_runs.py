@@ -91,6 +91,27 @@ def test_grounding_tolerances(spark):
     assert found == {c[0]: c[3] for c in cases}
 
 
+def test_long_answers_are_compared_by_buckets_and_short_ones_in_rows(spark, monkeypatch):
+    """Both ways give the same; only answers with much text go by buckets, and rows that share an id meet."""
+    rows = [(k % 40 or None, f"{k * 37 % 101}.{k % 7} of {k * 11 % 1000} and {k % 40}", f'{{"a": [{k * 41 % 97}, {k % 13}.5], "b": {k}}}')
+            for k in range(200)] + [(99, None, '{"n": 1}'), (98, "5 and 5 and 5.0", None)]
+    rows += [(77, " ".join(str(n) for n in range(3000)), "[%s]" % ", ".join(str(n * 1.5) for n in range(0, 3000, 3)))]
+    frame = spark.createDataFrame(rows, "answer_id int, text string, payload string")
+    sent, by_buckets = [], audit._compared_by_buckets
+    monkeypatch.setattr(audit, "_compared_by_buckets", lambda part: sent.append(part) or by_buckets(part))
+
+    def found():
+        return sorted(audit.answer_grounding(frame, frame).collect(), key=str)
+    mixed = found()
+    assert {r.answer_id for r in sent[0].select("answer_id").distinct().collect()} == {77}
+    monkeypatch.setattr(audit, "PAIRS_IN_ROW", 0)
+    assert found() == mixed and len(mixed) == len(rows)
+    monkeypatch.setattr(audit, "PAIRS_IN_ROW", 10 ** 12)
+    assert found() == mixed
+    assert {(r.numbers, r.unexplained) for r in mixed if r.answer_id == 98} == {(1, 1)}
+    assert {(r.numbers, r.grounded) for r in mixed if r.answer_id in (None, 99)} == {(0, True)}
+
+
 def plain(value):
     return round(float(value), 6) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
