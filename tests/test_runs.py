@@ -187,6 +187,25 @@ def test_a_new_object_goes_on_where_the_last_one_stopped(spark, tmp_path):
     assert ("invoice", "I0") not in filed and ("bank_line", "B0") not in filed
 
 
+def test_the_first_batch_asks_no_lookup(spark, tmp_path, monkeypatch):
+    """Nothing has arrived before it, so it is reconciled as it came."""
+    at = dt.datetime.combine(DAY, dt.time(9))
+    inv = [(f"I{i}", "", "c", 1000 * (i + 1), DAY, f"I{i}", i) for i in range(2)]
+    pay = [(f"P{i}", None, f"I{i}", 1000 * (i + 1), 0, 0, 0, "captured", at, "upi", None, i) for i in range(2)]
+    pay.append(("P9", None, "I0", 1000, 0, 0, 0, "captured", at, "upi", None, 9))
+    stl = [(f"S{i}", f"UTR{i}00000000{i}", 1000 * (i + 1), 0, 0, 0, DAY, [f"P{i}"], i) for i in range(2)]
+    bank = [(f"B{i}", DAY, f"UTR {i}00000000{i} X", 1000 * (i + 1), 0, 0, i) for i in (0, 3)]
+    asked = []
+    touching = incremental.OpenBooks._touching
+    monkeypatch.setattr(incremental.OpenBooks, "_touching", lambda self, name, *rest: asked.append(name) or touching(self, name, *rest))
+    books, held = make(spark, inv, pay, stl, bank), incremental.OpenBooks(spark, str(tmp_path))
+    held.apply(books, 0)
+    assert not asked
+    whole = reconcile(books)
+    assert [g.id for g in held.groups().collect()] == [g.id for g in whole.groups.collect()] == ["S0"]
+    assert {(e.id, e.code) for e in held.exceptions().collect()} == {(e.id, e.code) for e in whole.exceptions.collect()}
+
+
 def _naive(books_of, batches):
     """Every batch reconciles all that has arrived; (groups with their batch, exceptions)."""
     arrived, held, groups, run = None, None, {}, None

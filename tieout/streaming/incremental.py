@@ -8,7 +8,8 @@ A batch touches an open settlement if the settlement, one of its payments or a l
 arrived, or if it once lost its records to others and an invoice arrived that one of its payments may mean. No
 other settlement can change: its lookups give what they gave before, and records stay with their owners. The
 touched settlements are reconciled over books that hold every record under their keys, and so get the links,
-candidates and counts that all books would give them.
+candidates and counts that all books would give them. The first batch touches every settlement it brings and only
+its own records can be under their keys, so it is reconciled as it came and asks no lookup.
 """
 
 from __future__ import annotations
@@ -161,8 +162,19 @@ class OpenBooks:
         invoices = cited.unionByName(near).dropDuplicates(["id"])
         return Books(materialize(invoices, "invoices"), payments, settlements, membership, materialize(lines, "lines"), unique_ids=True)
 
+    def _first_books(self, fresh: Books) -> Books:
+        """What `_books` would find for the first batch: all that has arrived is its own, and nothing is held yet."""
+        settlements = fresh.settlements.where(F.col("id").isNotNull())
+        invoices, lines = fresh.invoices.dropDuplicates(["id"]), fresh.bank_lines.dropDuplicates(["id"])
+        return fresh.replaced(invoices=materialize(invoices, "invoices"), settlements=settlements, bank_lines=materialize(lines, "lines"))
+
     def _refiled(self, fresh: Books, run: Run, known: list[int], before: list[int]) -> DataFrame:
         """Exceptions of the batch's open records, of touched settlements, and of older payments that copy one just paid."""
+        if not before:  # no older payment that could be a copy, and none that has an owner
+            payments = fresh.payments.dropDuplicates(["id"])
+            taken = run.chain.select("payment_id", "invoice_id", "gross", "invoice_ref")
+            rest = residue(fresh.replaced(payments=payments, unique_ids=True), taken, run.outcomes)
+            return settlement_exceptions(run.outcomes).unionByName(rest)
         paid = run.chain.where("invoice_ref <> ''").select("invoice_ref", "gross").distinct()
         copies = self._touching("payments_by_ref", known, paid)
         payments = materialize(fresh.payments.select(*copies.columns).union(copies).dropDuplicates(["id"]), "payments")
@@ -185,9 +197,12 @@ class OpenBooks:
                 "payments": fresh.payments, "payments_by_ref": fresh.payments, "invoices_by_ref": fresh.invoices,
                 "invoices_by_day": fresh.invoices, "issue_days": fresh.invoices.select("issued_at").distinct(),
                 "lines_by_utr": lines}, batch_id)
-        books = self._books(self._touched(fresh, lines, known, before), known)
-        ids = books.payments.select("id").union(books.invoices.select("id")).union(books.bank_lines.select("id"))
-        held = self._touching("members", before, ids).select("kind", "id")
+        if before:
+            books = self._books(self._touched(fresh, lines, known, before), known)
+            ids = books.payments.select("id").union(books.invoices.select("id")).union(books.bank_lines.select("id"))
+            held = self._touching("members", before, ids).select("kind", "id")
+        else:
+            books, held = self._first_books(fresh), None
         run = reconcile(books, held)
         run = replace(run, chain=materialize(run.chain, "chain"), members=materialize(run.members, "members"))
         lost = run.outcomes.where((F.col("link_status") == LINKED) & ~F.col("accepted")).select("settlement_id")
