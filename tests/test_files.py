@@ -197,3 +197,31 @@ def test_shapes_are_mapped_once_when_there_are_proposals(spark):
     mapped = mapping.map_shapes(files, wanted)
     assert "_mapped" not in _planned(mapped)
     assert [r.fields for r in mapped.collect()] == [["id", "number"]]
+
+
+def test_rows_of_ranges_stay_where_they_lie_and_keep_their_numbers(spark, tmp_path, monkeypatch):
+    body = ["Invoice No,Amount Due,Invoice Date"] + [f"INV{i},{i}.00,2024-01-02" for i in range(60)]
+    (tmp_path / "a.csv").write_text("\n".join(body) + "\n")
+    monkeypatch.setattr(tables, "STRETCH_ROWS", 4)
+    monkeypatch.setattr(tables.splits, "grid", kept := Kept(tables.splits.grid))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parsed = tables.parse_paths(spark, str(tmp_path / "a.csv"))
+        plan = kept.result._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r["row_number"], r["values"][0]) for r in parsed.rows.collect())
+        parts = parsed.rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert "REPARTITION_BY_NUM" in parts
+    assert rows == [(i + 1, f"INV{i}") for i in range(60)]
+
+
+class Kept:
+    def __init__(self, call):
+        self.call = call
+
+    def __call__(self, *given):
+        self.result = self.call(*given)
+        return self.result

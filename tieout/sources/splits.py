@@ -238,6 +238,8 @@ def grid(lines: DataFrame, files: DataFrame, ranges: DataFrame) -> DataFrame:
     before = Window.partitionBy("path").orderBy("block", "crosses").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("path", "block", "crosses", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
                          F.coalesce(F.sum("full").over(before), F.lit(0)).alias("full_before"))
+    # A row or two per range: sent to the rows, which would else be shuffled with a whole range to a task.
+    base = materialize(base, "base").hint("broadcast" if few else "merge")
     return rows.join(base, ["path", "block", "crosses"]).select(
         "path", (F.col("local_no") + F.col("n_before")).alias("row_no"), (F.col("filled") + F.col("full_before")).alias("filled_no"),
         "cells", "problem")

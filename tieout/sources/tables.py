@@ -222,6 +222,10 @@ def _shaped(grid: DataFrame, described: DataFrame, wrong: DataFrame, max_rows: i
     earlier = Window.partitionBy("path").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     begins = lines.filter("kind = 'data'").groupBy("path", stretch).agg(F.count("*").alias("n")).select(
         "path", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    begins = materialize(begins, "begins")
+    parts = -(-lines.filter("kind = 'data'").count() // STRETCH_ROWS)
+    if parts > data.sparkSession.sparkContext.defaultParallelism:  # a stretch to a task, however many there are
+        data = data.repartition(parts, "path", "stretch")
     within = F.row_number().over(Window.partitionBy("path", "stretch").orderBy("row_no"))
     data = data.withColumn("within", within).join(begins, ["path", "stretch"]).select(
         "path", (F.col("within") + F.col("begin")).alias("row_number"), "values")
