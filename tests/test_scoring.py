@@ -6,8 +6,10 @@ from statistics import median
 
 import pytest
 
+from tieout.model import AnswerKey
 from tieout.operators import scoring
 from tieout.operators.constraints import Disjoint, Listed, Unique, breaches
+from tieout.vocab import UNMATCHABLE
 
 
 def test_medians_of_a_label_that_holds_nearly_all_rows(spark):
@@ -53,3 +55,23 @@ def test_rules_over_several_tables_in_one_pass(spark):
     assert breaches({"a": a.limit(0), "b": b.limit(0), "c": c}, rules).count() == 0
     with pytest.raises(ValueError, match="no rule"):
         breaches({"other": a}, rules)
+
+
+def test_class_recall_looks_a_record_up_once(spark):
+    """Repeated members, groups and key rows; a record in an exact and in another group; records of no group."""
+    def rows(schema, *values):
+        return spark.createDataFrame(list(values), schema)
+    member = "group_id string, kind string, id string"
+    members = rows(member, ("g1", "invoice", "i1"), ("g1", "invoice", "i1"), ("g1", "payment", "p1"), ("g1", "bank_line", "b1"),
+                   ("g2", "invoice", "i1"), ("g2", "invoice", "i2"), ("g2", "bank_line", "b2"), (None, "invoice", "i4"))
+    groups = rows("id string", ("g1",), ("g1",), ("g2",))
+    key = AnswerKey(rows("settlement_id string, bank_line_id string", ("g1", "b1"), ("g2", "b2")),
+                    rows(member, ("g1", "invoice", "i1"), ("g1", "payment", "p1"), ("g2", "invoice", "i2")),
+                    rows("kind string, id string, group_id string, difficulty string", ("invoice", "i1", "g1", "clean"),
+                         ("invoice", "i1", "g1", "clean"), ("invoice", "i2", "g2", "clean"), ("invoice", "i3", UNMATCHABLE, "none"),
+                         ("invoice", "i4", UNMATCHABLE, "none"), ("bank_line", "b2", "g2", "line"), ("payment", "p1", "g1", "clean")))
+    found = scoring.class_recall(groups, members, key)
+    assert {r["class"]: (r["count"], r["recall"]) for r in found.collect()} == {
+        "clean": (3, 2 / 3), "none": (2, 0.5), "line": (1, 1.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line for line in plan.splitlines()) == 4  # three of them tell which groups are exact

@@ -55,7 +55,8 @@ def rejected_proposals(claims: DataFrame, valid: DataFrame, held: DataFrame | No
         lost = materialize(claims.join(held, ["kind", "id"], "left_semi").select("prop").distinct()
                            .join(valid.select("prop"), "prop", "left_semi"), "lost")
         valid = valid.join(lost, "prop", "left_anti")
-    contested = contested_records(claims).select("kind", "id")
+    # Written, so that their number is known: few are broadcast and the claims stay where they lie.
+    contested = materialize(contested_records(claims).select("kind", "id"), "contested_records")
     # Validity is applied to the few contested rows, not to all claims.
     asked = claims.join(contested, ["kind", "id"]).join(valid.select("prop"), "prop", "left_semi")
     asked = materialize(asked.select("prop", "kind", "id").distinct(), "contested")

@@ -87,12 +87,11 @@ def run_metrics(books: Books, groups: DataFrame, members: DataFrame, exceptions:
 def class_recall(groups: DataFrame, members: DataFrame, key: AnswerKey) -> DataFrame:
     """Per difficulty class: how many records, and the share with the right outcome."""
     exact = exact_groups(groups, members, key)
-    held = members.filter(F.col("kind").isin("invoice", "bank_line"))
-    exact_invoices = held.filter("kind = 'invoice'").join(exact, "group_id", "left_semi").select("kind", "id")
-    grouped = held.select("kind", "id").distinct().withColumn("grouped", F.lit(True))
-    right = exact_invoices.distinct().withColumn("exact", F.lit(True))
-    records = (key.records.filter(F.col("kind").isin("invoice", "bank_line"))
-               .join(grouped, ["kind", "id"], "left").join(right, ["kind", "id"], "left"))
+    held = members.filter(F.col("kind").isin("invoice", "bank_line")).select("group_id", "kind", "id")
+    held = held.join(exact.distinct().withColumn("right", F.lit(True)), "group_id", "left")
+    # One row per record that a group holds, with whether an exact group does.
+    grouped = held.groupBy("kind", "id").agg(F.lit(True).alias("grouped"), F.bool_or("right").alias("exact"))
+    records = key.records.filter(F.col("kind").isin("invoice", "bank_line")).join(grouped, ["kind", "id"], "left")
     good = F.when(F.col("kind") == "bank_line", F.col("grouped")).otherwise(F.col("exact"))
     correct = F.when(F.col("group_id") == UNMATCHABLE, F.col("grouped").isNull()).otherwise(
         F.coalesce(good, F.lit(False)))

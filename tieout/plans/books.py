@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions.money import payment_economics
 from tieout.model import AnswerKey, Books
-from tieout.session import spread
+from tieout.session import materialize, spread
 from tieout.vocab import UNMATCHABLE
 
 BATCH = 12
@@ -130,6 +130,15 @@ def books(spark: SparkSession, sf_dir: str, named: bool = False) -> Books:
                  unique_ids=True)
 
 
+def stored_books(spark: SparkSession, sf_dir: str) -> Books:
+    """The same books as tables; settlements and bank lines are made from the stored payments, not from the orders again."""
+    billed = materialize(invoices(spark, sf_dir, even=False), "invoices")
+    paid = materialize(payments(spark, sf_dir, even=False), "payments")
+    batches = materialize(settlements(paid), "settlements")
+    return Books(billed, paid, batches, materialize(membership(paid), "membership"),
+                 materialize(bank_lines(batches), "bank_lines"), unique_ids=True)
+
+
 def answer_key(source: Books) -> AnswerKey:
     """Which records belong together, and how hard each was made on purpose."""
     lines = source.bank_lines.filter(F.col("id").rlike("^BNK[0-9]")).select(
