@@ -56,11 +56,8 @@ def _snapshot(spark: SparkSession, sf: str) -> int | None:
 
 def _run(spark: SparkSession, sf: str) -> Run:
     def build() -> Run:
-        books = fixture.books(spark, sf)
         # Written once: every step of a run reads the books again.
-        books = books.replaced(**{name: materialize(getattr(books, name), name) for name in
-                                  ("invoices", "payments", "settlements", "membership", "bank_lines")})
-        run = reconcile(books)
+        run = reconcile(fixture.stored_books(spark, sf))
         return replace(run, groups=materialize(run.groups, "groups"), members=materialize(run.members, "members"),
                        exceptions=materialize(run.exceptions, "exceptions"))
     return _stored(spark, sf, "run", build)
@@ -643,7 +640,7 @@ def books_round_trip(spark, sf):
     parts = {"ledger": books.invoices, "gateway": books.payments, "bank": books.bank_lines,
              "settlement": settled.withColumn("payment_ids", F.coalesce("payment_ids", F.array().cast("array<string>")))}
     for role, rows in parts.items():
-        codecs.records_to_json(rows).write.text(f"{folder}/{role}")
+        codecs.records_to_json(rows).write.option("compression", "gzip").text(f"{folder}/{role}")
     read = {role: spark.read.text(f"{folder}/{role}").withColumnRenamed("value", "json") for role in parts}
     again = reconcile(codecs.books_from_json(**read).replaced(unique_ids=True))
     codecs.write_result(again.groups, again.members, again.exceptions, f"{folder}/result")
@@ -876,10 +873,7 @@ def incremental_exceptions(spark, sf):
 
 def _corrupted(spark, sf, *specs: faults.Fault):
     def build():
-        books = fixture.books(spark, sf)
-        stored = {n: materialize(getattr(books, n), n) for n in
-                  ("invoices", "payments", "settlements", "membership", "bank_lines")}
-        books = books.replaced(**stored)
+        books = fixture.stored_books(spark, sf)
         key = fixture.answer_key(books)
         return books, replace(key, groups=materialize(key.groups, "key_groups"),
                               members=materialize(key.members, "key_members"),

@@ -47,7 +47,7 @@ def books_from_json(ledger: DataFrame, gateway: DataFrame, settlement: DataFrame
 def write_result(groups: DataFrame, members: DataFrame, exceptions: DataFrame, path: str) -> None:
     """A finished run as three folders of JSON lines."""
     for name, rows in (("groups", groups), ("members", members), ("exceptions", exceptions)):
-        rows.write.option("ignoreNullFields", "false").json(f"{path}/{name}")
+        rows.write.option("ignoreNullFields", "false").option("compression", "gzip").json(f"{path}/{name}")
 
 
 def read_result(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
