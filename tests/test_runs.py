@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,67 @@ def test_live_stage_times_follow_late_rows_and_forget(spark, tmp_path):
     assert got["a", "queued"] == 0 and got["a", "normalising"] == 3000 and got["a", "matching"] == 33_000 and got["a", "scoring"] is None
     assert got["c", "matching"] == 10_000 and got["c", "scoring"] == 20_000 and ("c", "failed") not in got
     assert got["b", "normalising"] is None and got["b", "matching"] is None  # forgotten in between: its later row has no earlier one
+
+
+class _Store:
+    """A state store in memory that counts the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_run_asks_the_state_store_at_most_four_times_a_micro_batch():
+    store, clock = _Store(), stages.StageClock(60_000)
+    clock.init(store)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    def arrive(*rows):
+        store.calls = 0
+        batch = pd.DataFrame(rows, columns=["state", "micros"])
+        out = list(clock.handleInputRows(("r",), iter([batch]), Times()))
+        assert store.calls <= 4
+        return [row for frame in out for row in frame.itertuples(index=False, name=None)]
+
+    assert dict((s, m) for _, s, m in arrive(("normalising", 5_000_000), ("matching", 9_000_000), (None, 1)))["normalising"] == 4000
+    assert store.timers == {69_000}
+    assert arrive(("matching", 9_500_000)) == []
+    assert dict((s, m) for _, s, m in arrive(("matching", 7_000_000)))["normalising"] == 2000
+    assert store.timers == {69_500}
+
+
+def test_stored_books_are_the_books_and_read_the_orders_twice(spark, monkeypatch):
+    read, orders = [], fixture.orders
+    monkeypatch.setattr(fixture, "orders", lambda *given: read.append(1) or orders(*given))
+    stored = fixture.stored_books(spark, SF)
+    assert len(read) == 2
+    plain = fixture.books(spark, SF)
+    for name in ("invoices", "payments", "settlements", "membership", "bank_lines"):
+        ours, theirs = getattr(stored, name), getattr(plain, name)
+        assert ours.schema.simpleString() == theirs.schema.simpleString()
+        assert ours.exceptAll(theirs).isEmpty() and theirs.exceptAll(ours).isEmpty()
+        assert "orders.parquet" not in "".join(ours.inputFiles())
