@@ -6,7 +6,7 @@ from statistics import median
 
 import pytest
 
-from tieout.model import AnswerKey
+from tieout.model import AnswerKey, Books
 from tieout.operators import scoring
 from tieout.operators.constraints import Disjoint, Listed, Unique, breaches
 from tieout.vocab import UNMATCHABLE
@@ -75,3 +75,28 @@ def test_class_recall_looks_a_record_up_once(spark):
         "clean": (3, 2 / 3), "none": (2, 0.5), "line": (1, 1.0)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join" in line for line in plan.splitlines()) == 4  # three of them tell which groups are exact
+
+
+def test_metrics_count_each_table_where_it_lies(spark):
+    """Repeated and null ids, open payments filed twice, no key; each figure's rows end in a count of their own."""
+    def rows(schema, *values):
+        return spark.createDataFrame(list(values), schema)
+    ids = [rows("id string", *[(f"{kind}{k}",) for k in range(n)]) for kind, n in (("i", 3), ("p", 5), ("s", 2), ("m", 9), ("b", 4))]
+    groups = rows("id string, status string, payout bigint", ("g1", "auto", 70), ("g2", "assisted", None), ("g2", "auto", 5), (None, "auto", 1))
+    members = rows("group_id string, kind string, id string", ("g1", "payment", "p0"), ("g1", "payment", "p0"), ("g2", "payment", "p1"),
+                   ("g2", "payment", None), ("g1", "invoice", "i0"), (None, "payment", "p2"), ("g9", "payment", "p3"))
+    exceptions = rows("kind string, record_id string, amount_at_risk bigint", ("payment", "p2", 4), ("payment", "p2", 6), ("payment", None, None),
+                      ("invoice", "p3", 1), (None, "p4", 2))
+    key = AnswerKey(rows("settlement_id string, bank_line_id string", ("g1", "b1"), ("g3", "b2")),
+                    rows("group_id string, kind string, id string", ("g1", "payment", "p0"), ("g1", "invoice", "i0")), groups)
+    found = scoring.run_metrics(Books(*ids), groups, members, exceptions, key)
+    want = {"auto_rate": 0.6, "assist_rate": 0.4, "open_rate": 0.4, "precision": 0.25, "recall": 0.5, "false_matches": 3, "records": 14,
+            "open_exceptions": 5, "amount_at_risk": 13, "payments_total": 5, "payments_auto": 3, "payments_assisted": 2, "amount_cleared": 76}
+    assert found.first().asDict() == want
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Union":
+        plan = plan.children().apply(0)
+    # every part is one row: no record goes through the union
+    assert all(plan.children().apply(k).maxRows().contains(1) for k in range(plan.children().size()))
+    empty = scoring.run_metrics(Books(*[x.limit(0) for x in ids]), groups.limit(0), members.limit(0), exceptions.limit(0))
+    assert [empty.first()[c] for c in ("auto_rate", "precision", "false_matches", "records", "amount_at_risk")] == [0.0, None, None, 0, 0]

@@ -36,39 +36,33 @@ def run_metrics(books: Books, groups: DataFrame, members: DataFrame, exceptions:
                 key: AnswerKey | None = None) -> DataFrame:
     """One row of rates and totals; accuracy columns are null without an answer key.
 
-    Every figure is a sum over one tagged union, so the counts meet in a single
-    aggregate with partial sums on the map side.
+    Each table is counted where it lies, in one pass for all its figures, and gives one row; the
+    rows meet in a union, so that no record passes through an aggregate of all figures.
     """
-    def tagged(rows: DataFrame, name: str, value: Column | None = None) -> DataFrame:
-        return rows.select(F.lit(name).alias("name"),
-                           (F.lit(1) if value is None else value).cast("decimal(38,0)").alias("value"))
-
+    count = F.count("*")
+    parts = [books.records(kind).agg(*[count.alias(n) for n in (
+        ("records", "payments_total") if kind == "payment" else ("records",))]) for kind in KINDS]
     status = members.filter("kind = 'payment'").join(
         groups.select(F.col("id").alias("group_id"), "status"), "group_id").select("id", "status").distinct()
-    open_payments = exceptions.filter("kind = 'payment'").select("record_id").distinct()
-    parts = [tagged(books.records(kind), "records") for kind in KINDS]
-    parts += [
-        tagged(books.payments, "payments_total"),
-        tagged(status.filter("status = 'auto'"), "payments_auto"),
-        tagged(status.filter("status = 'assisted'"), "payments_assisted"),
-        tagged(open_payments, "payments_open"),
-        tagged(exceptions, "open_exceptions"),
-        tagged(exceptions, "amount_at_risk", F.col("amount_at_risk")),
-        tagged(groups, "amount_cleared", F.col("payout")),
-        tagged(groups, "groups"),
-    ]
+    parts.append(status.agg(F.count_if(F.col("status") == "auto").alias("payments_auto"),
+                            F.count_if(F.col("status") == "assisted").alias("payments_assisted")))
+    # a row for each payment that is open, and one for all other records
+    paid = F.coalesce(F.col("kind") == "payment", F.lit(False))
+    open_rows = exceptions.groupBy(paid.alias("paid"), F.when(paid, F.col("record_id")).alias("record_id")).agg(
+        count.alias("n"), F.sum(F.col("amount_at_risk").cast("decimal(38,0)")).alias("at_risk"))
+    parts.append(open_rows.agg(F.count_if("paid").alias("payments_open"), F.sum("n").alias("open_exceptions"),
+                               F.sum("at_risk").alias("amount_at_risk")))
+    parts.append(groups.agg(F.sum(F.col("payout").cast("decimal(38,0)")).alias("amount_cleared"), count.alias("groups")))
     if key is not None:
-        parts += [tagged(exact_groups(groups, members, key), "exact_groups"), tagged(key.groups, "truth_groups")]
+        parts += [exact_groups(groups, members, key).agg(count.alias("exact_groups")),
+                  key.groups.agg(count.alias("truth_groups"))]
+    names = ["records", "payments_total", "payments_auto", "payments_assisted", "payments_open", "open_exceptions",
+             "amount_at_risk", "amount_cleared", "groups", "exact_groups", "truth_groups"]
+    parts = [p.select(*[(F.col(n) if n in p.columns else F.lit(None)).cast("decimal(38,0)").alias(n) for n in names]) for p in parts]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-
-    def total(name: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("name") == name, F.col("value"))), F.lit(0)).cast("long").alias(name)
-
-    names = ["records", "payments_total", "payments_auto", "payments_assisted", "payments_open", "open_exceptions",
-             "amount_at_risk", "amount_cleared", "groups", "exact_groups", "truth_groups"]
-    row = union.groupBy().agg(*[total(n) for n in names])
+    row = union.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
 
     def rate(name: str) -> Column:
         return _ratio(F.col(name), F.col("payments_total"), 0.0)
