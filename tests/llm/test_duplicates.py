@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -265,6 +266,52 @@ def test_passages_inside_lines_equal_brute_force(spark, monkeypatch, frequent):
     assert paragraphs.passages(table(spark, []), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("together", [32, 3, 1])
+def test_small_keys_are_compared_together(monkeypatch, together):
+    """Keys of one to nine members in one bucket; members of different keys are never compared."""
+    monkeypatch.setattr(paragraphs, "TOGETHER", together)
+    rng, rows, want = random.Random(31), [], Sets()
+    for key in range(60):
+        base, own = rng.sample(range(400), 20), []
+        for _ in range(rng.randrange(1, 10)):
+            own.append(sorted(set(base[:rng.choice((20, 19, 12))] + rng.sample(range(400), rng.randrange(3)))))
+        for k, x in enumerate(own):
+            rows.append((key // 2, 0, key % 2, key * 10 + k, x))
+            for j in range(k):
+                if len(set(x) & set(own[j])) >= 0.8 * len(set(x) | set(own[j])) - 1e-9:
+                    want.join(key * 10 + k, key * 10 + j)
+    rng.shuffle(rows)
+    table = pa.table({n: pa.array([r[i] for r in rows], pa.list_(pa.int64()) if n == "shingles" else pa.int64())
+                      for i, n in enumerate(("key", "i", "j", "unit", "shingles"))})
+    got = Sets()
+    for r in paragraphs._links(table, 0.8).to_pylist():
+        got.join(r["a"], r["b"])
+    same = {(a, b) for *_, a, _ in rows for *_, b, _ in rows if want.find(a) == want.find(b)}
+    assert same == {(a, b) for *_, a, _ in rows for *_, b, _ in rows if got.find(a) == got.find(b)} and len(same) > 1.5 * len(rows)
+
+
+def test_band_keys_are_sent_by_their_lower_half():
+    keys = np.array([[5 << 32 | 7, (1 << 63) + 9], [5 << 32 | 7, 5 << 32 | 8]], "u8")
+    batch = pa.RecordBatch.from_arrays([pa.array([[1, 2]], pa.list_(pa.int64())), pa.array([keys.ravel().view("i8")], pa.list_(pa.int64()))],
+                                       names=["members", "keys"])
+    sent = pa.Table.from_batches(paragraphs._sent(iter([batch]), 2, 8))
+    assert sent.schema.field("keys").type == pa.list_(pa.int32())
+    held = [paragraphs._met(sent.slice(k, 1)).to_pylist() for k in range(sent.num_rows)]
+    assert sorted((r["key"], r["unit"]) for part in held for r in part) == [(7, 1), (7, 2)]
+
+
+def test_words_and_paragraphs_of_letters_that_depend_on_their_neighbours():
+    rng = random.Random(8)
+    signs = "aB1_ .\n!?\"')]éÉßİΣσςΟ'ÀЖ中\u0301\u200b\u2019\U0001d400"
+    texts = ["", "\n", "\n\n", "a.", "ΟΔΟΣ. ΣΑΣ\u2019Σ", *("".join(rng.choice(signs) for _ in range(rng.randrange(120))) for _ in range(2000))]
+    for text in texts:
+        assert paragraphs.words_of(text) == [w.lower() for w in re.findall(r"\w+", text)]
+        assert [m.span() for m in re.finditer(r"\w+", text)] == list(zip(*(b.tolist() for b in paragraphs._bounds(text)), strict=True))
+        found = paragraphs.paragraphs(text)
+        assert [s for s, _, _ in found] == [0, *(e for _, e, _ in found)][:len(found)]
+        assert [w for *_, own in found for w in own] == paragraphs.words_of(text) and (not text or found[-1][1] == len(text))
+
+
 def test_bands_reach_the_recall():
     for similarity, recall in ((0.8, 0.99), (0.8, 0.999), (0.6, 0.9)):
         bands = paragraphs.bands_for(similarity, recall)

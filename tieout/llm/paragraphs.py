@@ -48,6 +48,8 @@ WORD = re.compile(r"\w+")
 SHINGLE, MIN_WORDS, SIMILARITY, RECALL = 5, 8, 0.8, 0.999
 ROWS_PER_BAND = 3
 BLOCK = 2000
+# Members of a key up to which keys are compared together.
+TOGETHER = 32
 # Words in a row that are a passage wherever they lie.
 RUN = 50
 # Words of paragraphs whose band keys are worked out together.
@@ -67,21 +69,28 @@ def bands_for(similarity: float, recall: float, rows: int = ROWS_PER_BAND) -> in
 
 def words_of(text: str) -> list[str]:
     """Lower-case words; a letter whose lower case has several characters stays in its word."""
-    return WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in WORD.findall(text)]
+    low = _lowered(text)
+    return [w.lower() for w in WORD.findall(text)] if low is None else WORD.findall(low)
+
+
+def _lowered(text: str) -> str | None:
+    """The text in lower case if that keeps every character's place and doesn't depend on its neighbours."""
+    return None if not text.isascii() and ("\u0130" in text or "\u03a3" in text) else text.lower()
 
 
 def paragraphs(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of every paragraph; together they cover the text."""
     from zlib import crc32
 
-    out, start, words = [], 0, []
-    for match in SENTENCE.finditer(text):
-        end = match.end()
-        if end == match.start():
-            continue
-        own = words_of(match[0])
+    low = _lowered(text)
+    every = words_of(text) if low is None else WORD.findall(low)
+    out, start, words, at = [], 0, [], 0
+    ends = [match.end() for match in SENTENCE.finditer(text)]
+    # a sentence never ends inside a word
+    for end, upto in zip(ends, np.searchsorted(_bounds(text)[0], ends).tolist(), strict=True):
+        own, at = every[at:upto], upto
         words += own
-        if match[0][-1] == "\n" or (own and crc32(" ".join(own).encode()) % 2 == 0):
+        if end and text[end - 1] == "\n" and end > start or (own and crc32(" ".join(own).encode()) % 2 == 0):
             out.append((start, end, words))
             start, words = end, []
     if start < len(text):
@@ -98,14 +107,14 @@ def _hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     import xxhash
 
     try:
-        return np.array([known[w] for w in words], "u8")
+        return np.fromiter(map(known.__getitem__, words), "u8", len(words))
     except KeyError:
         if len(known) > 500_000:
             known.clear()
         for word in words:
             if word not in known:
                 known[word] = xxhash.xxh64_intdigest(word)
-        return np.array([known[w] for w in words], "u8")
+        return np.fromiter(map(known.__getitem__, words), "u8", len(words))
 
 
 def _shingled(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +152,11 @@ def _band_keys(hashes: list[np.ndarray], bands: int) -> np.ndarray:
 
 
 def _sent(batches: Iterator[pa.RecordBatch], bands: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Paragraphs with their band keys to (bucket, keys, members), packed by bucket."""
+    """Paragraphs with their band keys to (bucket, keys, members), packed by bucket.
+
+    The upper half of a key chooses the bucket and the lower half tells keys in it apart; where two keys fall together, paragraphs
+    meet that share no band and the exact check keeps them apart.
+    """
     for batch in batches:
         for members, keys in zip(*(batch.column(c) for c in (0, 1)), strict=True):
             keys, owners = np.asarray(keys.values).view("u8"), np.repeat(np.asarray(members.values), bands)
@@ -151,7 +164,7 @@ def _sent(batches: Iterator[pa.RecordBatch], bands: int, buckets: int) -> Iterat
             keys, owners = keys[order], owners[order]
             which, first = np.unique(bucket_of(keys, buckets), return_index=True)
             ends = np.concatenate([first[1:], [len(keys)]])
-            yield pa.RecordBatch.from_arrays([pa.array(which.astype("i4")), packed(keys.view("i8"), ends), packed(owners, ends)],
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype("i4")), packed(keys.astype("u4").view("i4"), ends), packed(owners, ends)],
                                              names=["bucket", "keys", "members"])
 
 
@@ -181,6 +194,17 @@ def _anchors(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owner, least, times[np.searchsorted(every, mixed(least + salt[owner]))] > 1
 
 
+def _bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each match of WORD starts and ends."""
+    if text.isascii():
+        held = _WORDLIKE[np.frombuffer(text.encode(), "u1")]
+    else:
+        points, at = np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_inverse=True)
+        held = np.array([WORD.match(chr(p)) is not None for p in points.tolist()], bool)[at]
+    edges = np.flatnonzero(np.diff(held, prepend=False, append=False))
+    return edges[::2], edges[1::2]
+
+
 def _edges_of(text: str) -> tuple[int, int]:
     """Where the first word starts and the last one ends."""
     end = len(text)
@@ -189,6 +213,7 @@ def _edges_of(text: str) -> tuple[int, int]:
     return WORD.search(text).start(), end
 
 
+_WORDLIKE = np.array([WORD.match(chr(p)) is not None for p in range(128)])
 UNITS = "array<struct<place: int, start: bigint, length: bigint, unit: bigint>>"
 
 
@@ -254,12 +279,13 @@ def read_texts(docs: DataFrame, key: str, text: str, similarity: float = SIMILAR
                 yield filled({"members": packed(own, np.array([take])), "keys": packed(keys, np.array([len(keys)]))})
                 names, words = names[take:], words[take:]
 
-    return store(source.mapInArrow(read, schema), "read")
+    return store(source.mapInArrow(read, schema), "read", "zstd")
 
 
 def _met(table: pa.Table) -> pa.Table:
     """The distinct members of every band key that at least two paragraphs share."""
     keys, _ = flat(table.column("keys"))
+    keys = (table.column("bucket")[0].as_py() << 32) + keys.view("u4").astype("i8")
     units, _ = flat(table.column("members"))
     order = np.lexsort((units, keys))
     keys, units = keys[order], units[order]
@@ -292,13 +318,46 @@ def _verified(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
+def _links(table: pa.Table, similarity: float) -> pa.Table:
+    """A spanning forest of the similar pairs of many keys (or pairs of blocks), rows (key, i, j, unit, shingles).
+
+    Members of small ones are compared together on flat arrays, large ones one after the other.
+    """
+    table = table.combine_chunks().sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    names = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+    begin = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in names], axis=0)]))
+    count = np.diff(np.concatenate([begin, [table.num_rows]]))
+    made = [_verified(table.slice(b, n), similarity) for b, n in zip(begin[count > TOGETHER], count[count > TOGETHER], strict=True)]
+    rows = np.flatnonzero(np.repeat(count <= TOGETHER, count))
+    if len(rows):
+        few = table.take(pa.array(rows))
+        units, owner = few.column("unit").to_numpy(), np.repeat(np.arange(len(begin)), count)[rows]
+        values, sizes = flat(few.column("shingles"))
+        member = np.repeat(np.arange(len(rows)), sizes)
+        order = np.lexsort((values, owner[member]))
+        values, member = values[order], member[order]
+        pairs = [np.zeros(0, "i8")]
+        for k in range(1, TOGETHER):
+            same = np.flatnonzero((values[k:] == values[:-k]) & (owner[member[k:]] == owner[member[:-k]]))
+            if not len(same):
+                break
+            pairs.append(member[same] * len(rows) + member[same + k])
+        pairs, common = np.unique(np.concatenate(pairs), return_counts=True)
+        x, y = pairs // len(rows), pairs % len(rows)
+        close = common >= similarity * (sizes[x] + sizes[y] - common) - 1e-9
+        made.append(pa.table({"a": units[x[close]], "b": units[y[close]]}))
+    made = pa.concat_tables(made)
+    a, b = forest(made.column("a").to_numpy(), made.column("b").to_numpy())
+    return pa.table({"a": a, "b": b})
+
+
 def similar_units(docs: DataFrame, read: DataFrame, places: DataFrame, key: str, text: str, similarity: float,
                   recall: float) -> DataFrame:
     """Edges (a, b) between different paragraphs with exact Jaccard similarity of at least `similarity`."""
     bands = bands_for(similarity, recall)
     buckets = buckets_for(bands * text_bytes(docs, text) / PARAGRAPH_BYTES)
     sent = read.where("members is not null").select("members", "keys").mapInArrow(
-        lambda it: _sent(it, bands, buckets), "bucket int, keys array<bigint>, members array<bigint>")
+        lambda it: _sent(it, bands, buckets), "bucket int, keys array<int>, members array<bigint>")
     members = store(sent.groupBy("bucket").applyInArrow(_met, "key bigint, unit bigint"), "members")
     # one near copy shares most bands with the other: keep one key for each set of members
     sets = members.groupBy("key").agg(F.bit_xor(F.xxhash64("unit")).alias("mark"), F.count("*").alias("n"))
@@ -329,8 +388,10 @@ def similar_units(docs: DataFrame, read: DataFrame, places: DataFrame, key: str,
 
     shingled = held.select("text", "wanted").mapInArrow(cut, "unit bigint, shingles array<bigint>")
     shingled = shingled.dropDuplicates(["unit"])
-    return met.join(shingled, "unit").groupBy("key", "i", "j").applyInArrow(
-        lambda t: _verified(t, similarity), "a bigint, b bigint").distinct()
+    # many keys to a task: most have two or three paragraphs
+    dealt = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(8, math.ceil(members.count() / BLOCK)))).alias("bucket")
+    return met.join(shingled, "unit").select(dealt, "key", "i", "j", "unit", "shingles").groupBy("bucket").applyInArrow(
+        lambda t: _links(t, similarity), "a bigint, b bigint").distinct()
 
 
 def removals(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, recall: float = RECALL,
@@ -375,37 +436,40 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
     width = RUN - SHINGLE + 1
     for batch in batches:
-        rows, at, contents, sizes, anchors = [], [], [], [], []
-        hashed, starts, ends = [np.zeros(0, "u8")], [np.zeros(0, "i8")], [np.zeros(0, "i8")]
-        for row, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            own = _hashes(words_of(text), known)
-            least = _least(_shingled(own, np.array([len(own)]))[0], width)
-            spot = np.flatnonzero(np.isin(least, np.array(wanted, "i8").view("u8")))
-            if not len(spot):
-                continue
-            head = np.concatenate([[True], (spot[1:] != spot[:-1] + 1) | (least[spot[1:]] != least[spot[:-1]])])
-            begin = np.flatnonzero(head)
-            inside = np.arange(len(spot)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(spot)]])))
-            begin = np.flatnonzero(inside % width == 0)
-            count = np.diff(np.concatenate([begin, [len(spot)]]))
-            windows = _window_hashes(own, RUN)[spot]
-            spans = np.array([m.span() for m in WORD.finditer(text)])
-            rows.append(np.full(len(begin), row))
-            at.append(spot[begin])
-            anchors.append(least[spot[begin]])
-            sizes.append(count)
-            contents.append(mixed(mixed(windows[begin] + mixed(windows[begin + count - 1])) + count.astype("u8")))
-            hashed.append(windows)
-            starts.append(spans[spot, 0])
-            ends.append(spans[spot + RUN - 1, 1])
-        if rows:
-            row, stops = pa.array(np.concatenate(rows)), np.cumsum(np.concatenate(sizes))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(anchors).view("i8")),
-                 pa.array(np.concatenate(contents).view("i8")), pa.array(np.concatenate(at).astype("i8")),
-                 packed(np.concatenate(hashed).view("i8"), stops), packed(np.concatenate(starts).astype("i4"), stops),
-                 packed(np.concatenate(ends).astype("i4"), stops)],
-                names=["key", "version", "anchor", "content", "at", "hashes", "starts", "ends"])
+        if not batch.num_rows:
+            continue
+        texts = batch.column(2).to_pylist()
+        words = [_hashes(words_of(text), known) for text in texts]
+        sizes = np.array([len(own) for own in words])
+        own, first = np.concatenate(words), np.cumsum(sizes) - sizes
+        found, starts = _shingled(own, sizes)
+        # the windows of all texts after each other: their text, their place in it, and the least shingle of each
+        count = sizes - RUN + 1
+        row = np.repeat(np.arange(len(sizes)), count)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        least = _least(found, width)[starts[row] + place]
+        # windows on one anchor beside each other; an anchor that one text wants is wanted of every text that has it
+        fresh = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])])
+        wanted = np.unique(np.asarray(batch.column(3).flatten()).view("u8"))
+        beside = np.cumsum(fresh) - 1
+        spot = np.flatnonzero(np.isin(least[fresh], wanted)[beside])
+        if not len(spot):
+            continue
+        begin = np.flatnonzero(np.concatenate([[True], beside[spot][1:] != beside[spot][:-1]]))
+        inside = np.arange(len(spot)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(spot)]])))
+        begin = np.flatnonzero(inside % width == 0)
+        count = np.diff(np.concatenate([begin, [len(spot)]]))
+        word = first[row[spot]] + place[spot]
+        windows = _window_hashes(own, RUN)[word]
+        bounds = [_bounds(text) for text in texts]
+        low, high = (np.concatenate([b[k] for b in bounds]).astype("i4") for k in (0, 1))
+        head, stops = spot[begin], np.cumsum(count)
+        content = mixed(mixed(windows[begin] + mixed(windows[stops - 1])) + count.astype("u8"))
+        owner = pa.array(row[head])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(least[head].view("i8")), pa.array(content.view("i8")),
+             pa.array(place[head].astype("i8")), packed(windows.view("i8"), stops), packed(low[word], stops), packed(high[word + RUN - 1], stops)],
+            names=["key", "version", "anchor", "content", "at", "hashes", "starts", "ends"])
 
 
 def _segments(table: pa.Table) -> pa.Table:
@@ -476,7 +540,7 @@ def repeated_runs(docs: DataFrame, key: str, text: str, read: DataFrame | None =
     # every text once, with its first row
     texts = store(read.where("members is null").groupBy("version").agg(
         F.min(F.struct("key")).alias("owner"), F.any_value("anchors").alias("anchors"), F.any_value("several").alias("several"),
-        F.min("low").alias("low"), F.min("high").alias("high")), "texts")
+        F.min("low").alias("low"), F.min("high").alias("high")), "texts", "zstd")
     found = texts.select("version", F.inline(F.arrays_zip("anchors", "several")).alias("anchor", "several"))
     shared = found.groupBy("anchor").agg(F.min("version").alias("a"), F.max("version").alias("b"), F.bool_or("several").alias("several"))
     shared = shared.where("a <> b or several").select("anchor")
@@ -487,13 +551,14 @@ def repeated_runs(docs: DataFrame, key: str, text: str, read: DataFrame | None =
     stretches = store(held.select("key", "version", "text", "wanted").mapInArrow(
         _stretches, f"key {kind}, version bigint, anchor bigint, content bigint, at bigint, hashes array<bigint>, "
         "starts array<int>, ends array<int>"),
-        "stretches")
+        "stretches", "zstd")
     # the first place of equal stretches finds the first place of each of their windows, in the bucket of their anchor; windows of
     # anchors with very many stretches go to buckets of their own
     counts = stretches.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT).select("anchor", F.lit(True).alias("hot"))
     buckets = F.lit(buckets_for(text_bytes(docs, text) / STRETCH_BYTES))
     firsts = stretches.groupBy("anchor", "content").agg(F.min(F.struct("key", "version", "at", "hashes")).alias("rep"))
-    told = firsts.join(counts, "anchor", "left").select("anchor", "content", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
+    # at most one anchor for FREQUENT stretches: few at every size
+    told = firsts.join(F.broadcast(counts), "anchor", "left").select("anchor", "content", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
     names = ["content", "key", "version", "at"]
     calm = told.where("not hot").select(F.pmod(F.xxhash64("anchor"), buckets).alias("bucket"), *names, F.lit(0).alias("j"), "hashes")
     single = told.where("hot").select(*names, F.posexplode("hashes").alias("j", "hash"))
